@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, flac, jaccard, langid, mixing, shards, templates
+from . import chat, common, flac, hmm, jaccard, langid, mixing, shards, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), max_epochs=2.0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(common.fold() != 0))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(common.fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +37,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", F.coalesce(common.fold() == 0, F.lit(False)))
 
 
+def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("trains", common.fold() != 1)
+    return hmm.score(docs, "trains").withColumn("held_out", F.coalesce(common.fold() == 1, F.lit(False)))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "\\### Assistant: </turn> ok"
@@ -46,6 +58,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_decontamination, op4_jaccard_join, op5_language_id, op8_chat_format, op9_flac, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_language_id, op7_hmm, op8_chat_format, op9_flac, op10_kd_shards)}
 
 ORACLE: dict[str, str] = {}
