@@ -105,13 +105,13 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share:
     return Model(langs, masks, chance)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(id, lang_pred, score, coverage) of every row.
 
     score is the best language's share of all languages' corrected popcounts, coverage its share of
     the text's n-grams. A null text, one without a letter, or a model without languages: und, 0, 0.
     A text none of whose n-grams is known goes to the first language with score 0; ties go to the
-    first language by name.
+    first language by name. With carry, the result also has each whole row as the struct `row`.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((np.array(model.masks, np.uint8 if len(model.langs) <= 8 else np.uint64), model.langs, model.chance))
@@ -136,8 +136,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, letter, strict=True)]
                 share = np.where(letter & (all_ > 0), top / np.maximum(all_, 1e-9), 0.0)
                 cover = np.where(letter, np.minimum(1, top / np.maximum(size, 1)), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(cover)], [id_col, "lang_pred", "score", "coverage"])
+                more = [part.column(3)] if carry else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(cover), *more], [id_col, "lang_pred", "score", "coverage", *["row"][: len(more)]])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, coverage double")
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+    rows = docs.select(id_col, text_col, letter, *[F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")][: int(carry)])
+    row = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, coverage double{row}")

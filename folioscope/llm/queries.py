@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, flac, hmm, jaccard, langid, mixing, shards, templates, toxicity
+from . import chat, common, flac, hmm, jaccard, langid, mixing, packing, shards, templates, toxicity
+
+
+#: Path of the rank file for op6; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", F.coalesce(common.fold() == 0, F.lit(False)))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("trains", common.fold() != 1)
     return hmm.score(docs, "trains").withColumn("held_out", F.coalesce(common.fold() == 1, F.lit(False)))
@@ -58,6 +66,6 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_language_id, op7_hmm, op8_chat_format, op9_flac, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_language_id, op6_packing, op7_hmm, op8_chat_format, op9_flac, op10_kd_shards)}
 
 ORACLE: dict[str, str] = {}
