@@ -12,6 +12,7 @@ from folioscope.functions import text as T
 
 #: How far a quote reaches around its needle.
 LEAD, REACH = 140, 760
+WEAK_TITLES = ("document preamble", "table of contents", "glossary of terms", "index to financial statements", "under the securities act of 1933")
 _S = re.compile(T.PY_SPACE)
 
 
@@ -85,7 +86,7 @@ def verify_quotes(records: DataFrame, chunks: DataFrame, mode: str = "exact", se
     return rows.select(F.when(F.col("check") == "missing_chunk", "error").otherwise(severity).alias("severity"), "check", "id", "chunk_id")
 
 
-def evidence_gate(drafts: DataFrame, chunks: DataFrame, policy: DataFrame, weak_titles: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def evidence_gate(drafts: DataFrame, chunks: DataFrame, policy: DataFrame, weak_titles: tuple[str, ...] = WEAK_TITLES) -> tuple[DataFrame, DataFrame]:
     """(accepted cards, rejected rows) of drafts.
 
     policy: topic, allowed_titles; a draft's own allowed_titles and required_terms come first. A
