@@ -225,7 +225,7 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
 
     For a key: sums over its rows' words of log10(c + 0.5), of 1 where c > 0, and there of
     log10(c / training words of the class). Rows with a null key hold the number of distinct
-    training words and of those met once.
+    training words and of those met once. A word's hash keeps 48 bits besides its bucket's.
     """
     bits = max(1, (buckets - 1).bit_length())
     n_buckets, shift = 1 << bits, np.uint64(64 - bits)
@@ -246,31 +246,33 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
                     continue
                 edge = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
                 times = np.diff(np.append(edge, len(h)))
-                h, code, doc = h[edge], code[edge].astype(np.uint16), doc[edge].astype(np.uint16 if part.num_rows < 65536 else np.uint32)
+                more = -(-times // 255)  # a word met over 255 times takes several entries
+                times = np.where(np.arange(more.sum()) == np.repeat(np.cumsum(more) - 1, more), np.repeat((times - 1) % 255 + 1, more), 255).astype(np.uint8)
+                edge = np.repeat(edge, more)
+                h, code, doc = h[edge], code[edge].astype(np.uint16), doc[edge]
                 b = (h >> shift).astype(np.uint16 if bits <= 16 else np.uint32)
                 order = np.argsort(b, kind="stable")
-                b, h, code, doc, times = b[order], h[order], code[order], doc[order].astype(np.uint32), np.minimum(times[order], 2**32 - 1).astype(np.uint32)
+                b, h, code, doc, times = b[order], h[order], code[order], doc[order], times[order]
                 edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
                 ends = edges[1:]
                 keys, trains = np.asarray(part.column(0)), np.array(part.column(1).to_pylist(), bool)
-                ks, ts, cs, has = [], [], [], []
-                for a, e in zip(edges[:-1], ends, strict=True):
-                    d = np.flatnonzero(np.concatenate([[True], doc[a + 1 : e] != doc[a : e - 1]]))
-                    who = doc[a:e][d]
-                    ks.append(keys[who])
-                    ts.append(trains[who].astype(np.uint8))
-                    cs.append(np.diff(np.append(d, e - a)).astype(np.uint32))
-                    has.append(len(d))
-                own = np.cumsum(has)
-                yield pa.RecordBatch.from_arrays([pa.array(b[edges[:-1]].astype(np.int32)), binary(np.concatenate(ks), own), binary(np.concatenate(ts), own), binary(np.concatenate(cs), own), binary(h, ends), binary(code, ends), binary(times, ends)], ["bucket", "keys", "trains", "counts", "words", "codes", "times"])
+                run_ = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (b[1:] != b[:-1])]))
+                size = np.diff(np.append(run_, len(doc)))
+                more = -(-size // 32767)  # as many heads as a text's entries in the bucket need
+                who = np.repeat(doc[run_], more)
+                size = np.where(np.arange(more.sum()) == np.repeat(np.cumsum(more) - 1, more), np.repeat((size - 1) % 32767 + 1, more), 32767)
+                heads = (size | trains[who] << 15).astype(np.uint16)
+                own = np.searchsorted(np.repeat(b[run_], more), b[edges[:-1]], "right")
+                yield pa.RecordBatch.from_arrays([pa.array(b[edges[:-1]].astype(np.int32)), binary(keys[who], own), binary(heads, own), binary(h.astype(np.uint32), ends), binary((h >> np.uint64(32)).astype(np.uint16), ends), binary(code, ends), binary(times, ends)], ["bucket", "keys", "heads", "low", "mid", "codes", "times"])
 
     def flat(t: pa.Table, name: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
     def add(t: pa.Table) -> pa.Table:
-        c = flat(t, "counts", np.uint32)
-        key, is_train = np.repeat(flat(t, "keys", np.int64), c), np.repeat(flat(t, "trains", np.uint8), c)
-        word, code, times = flat(t, "words", np.uint64), flat(t, "codes", np.uint16), flat(t, "times", np.uint32).astype(np.float64)
+        heads = flat(t, "heads", np.uint16)
+        key, is_train = np.repeat(flat(t, "keys", np.int64), heads & 32767), np.repeat(heads >> 15, heads & 32767)
+        word = flat(t, "low", np.uint32).astype(np.uint64) | flat(t, "mid", np.uint16).astype(np.uint64) << np.uint64(32)
+        code, times = flat(t, "codes", np.uint16), flat(t, "times", np.uint8).astype(np.float64)
         order = np.argsort(word)
         edge = np.concatenate([[True], word[order][1:] != word[order][:-1]]) if len(word) else np.zeros(0, bool)
         kind = np.empty(len(word), np.int64)
@@ -283,7 +285,7 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
         edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
         who = key[order][edge]
         add_up = lambda v: np.add.reduceat(v[order], edge) if len(edge) else v
-        cols = [who, add_up(base), add_up(times * known), add_up(inside)]
+        cols = [who, add_up(base), add_up(times * known).astype(np.float32), add_up(inside).astype(np.float32)]
         q = (mix(who.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
         by = np.argsort(q, kind="stable")
         q, cols = q[by], [x[by] for x in cols]
@@ -297,9 +299,9 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
             return pa.table({"key": pa.array([None], pa.int64()), "base": pa.array([flat(t, "base", np.float64).sum()]), "known": pa.array([flat(t, "known", np.float64).sum()]), "inside": pa.array([0.0])})
         key = flat(t, "keys", np.int64)
         u, inv = np.unique(key, return_inverse=True)
-        return pa.table({"key": pa.array(u), **{c: pa.array(np.bincount(inv, flat(t, c, np.float64), len(u))) for c in ("base", "known", "inside")}})
+        return pa.table({"key": pa.array(u), **{c: pa.array(np.bincount(inv, flat(t, c, kind), len(u))) for c, kind in (("base", np.float64), ("known", np.float32), ("inside", np.float32))}})
 
-    dealt = docs.select(key_col, train_col, text_col).mapInArrow(deal, "bucket int, keys binary, trains binary, counts binary, words binary, codes binary, times binary")
+    dealt = docs.select(key_col, train_col, text_col).mapInArrow(deal, "bucket int, keys binary, heads binary, low binary, mid binary, codes binary, times binary")
     added = dealt.groupBy("bucket").applyInArrow(add, "q int, keys binary, base binary, known binary, inside binary")
     return added.groupBy("q").applyInArrow(gather, "key long, base double, known double, inside double")
 
@@ -318,7 +320,7 @@ def score(docs: DataFrame, train_col: str, states: int = 8, rounds: int = 4, id_
     hot = frequent_words(docs.where(train_col), text_col)
     rows = common.cut(coded(docs, hot, text_col), "codes")
     m = train(rows.where(train_col), hot, states, rounds)
-    buckets = max(4, min(4096, 1 << (2 * parts - 1).bit_length()))
+    buckets = max(4, 1 << (parts - 1).bit_length())
     sums = common.cut(rare_sums(docs, hot, m.count, buckets, "key", train_col, text_col), "sums")
     got = sums.where("key is null").agg(F.sum("base"), F.sum("known")).first()
     kinds, once = (got[0] or 0.0, got[1] or 0.0)
