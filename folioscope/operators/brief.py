@@ -32,11 +32,14 @@ def risk_cards(risks: DataFrame, chunks: DataFrame, policy: DataFrame, themes=tu
     rows = risks.where(F.col("risk_extraction_type") == "full_text").where(named)
     rows = rows.select("document_id", "id", "pos", "specificity", F.element_at("source_chunk_ids", 1).alias("chunk_id"), clean.alias("body"), T.strip_page_furniture(F.col("title")).alias("plain_title"))
     rows = rows.join(chunks.where(F.trim("title") == main_section).select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id")
-    rows = rows.withColumn("sentences", T.split_sentences(F.col("body")))
-    first = F.try_element_at("sentences", F.lit(1))
-    rows = rows.withColumn("used_first", F.coalesce((F.length(first) >= 45) & T.is_clean_title(first), F.lit(False)))
-    rows = rows.withColumn("title_sentence", F.when(F.col("used_first"), first).otherwise(F.col("plain_title"))).withColumn("card_title", T.clamp_sentence(F.col("title_sentence"), 180))
-    rows = rows.where(T.is_clean_title(F.col("card_title")) & ~T.has_advice(F.col("card_title")))
+
+    def titled(s, plain):
+        """Everything that comes from the sentences, each step bound once: a filter on it would else repeat them all."""
+        first = F.try_element_at(s, F.lit(1))
+        used = K.let(first, lambda f: F.coalesce((F.length(f) >= 45) & T.is_clean_title(f), F.lit(False)))
+        return K.let(used, lambda u: K.let(F.when(u, first).otherwise(plain), lambda ts: K.let(T.clamp_sentence(ts, 180), lambda ct: F.struct(s.alias("sentences"), u.alias("used_first"), ts.alias("title_sentence"), ct.alias("card_title"), (T.is_clean_title(ct) & ~T.has_advice(ct)).alias("ok")))))
+
+    rows = rows.withColumn("x", K.let(T.split_sentences(F.col("body")), lambda s: titled(s, F.col("plain_title")))).where("x.ok").select("*", "x.*")
     rows = rows.withColumn("theme", R.theme_for(F.col("title_sentence"), F.col("body"), list(themes))).withColumn("score", K.salience(F.col("card_title"), F.col("body"), F.col("specificity"), entities))
     chosen = K.select_with_caps(rows)
     rows = rows.join(chosen, ["document_id", "id"])

@@ -81,8 +81,8 @@ def verify_quotes(records: DataFrame, chunks: DataFrame, mode: str = "exact", se
     there = chunks.select(F.col("id").alias("chunk_id"), (T.norm_ws(F.col("text")) if mode == "exact" else T.alnum_signature(F.col("text"))).alias("have"))
     want = T.norm_ws(F.col("source_quote")) if mode == "exact" else T.alnum_signature(F.col("source_quote"))
     checked = pairs.join(there, "chunk_id", "left").select("chunk_id", "source_quote", F.when(F.col("have").isNull(), "missing_chunk").when(~F.col("have").contains(F.coalesce(want, F.lit(""))), "bad_quote").alias("check"))
-    bad = checked.where("check is not null")
-    rows = cited.join(bad, (cited["chunk_id"] == bad["chunk_id"]) & cited["source_quote"].eqNullSafe(bad["source_quote"])).select(cited["id"], cited["chunk_id"], "check")
+    bad = checked.where("check is not null").select(F.col("chunk_id").alias("_c"), F.col("source_quote").alias("_q"), "check")
+    rows = cited.join(bad, (F.col("chunk_id") == F.col("_c")) & F.col("source_quote").eqNullSafe(F.col("_q")))
     return rows.select(F.when(F.col("check") == "missing_chunk", "error").otherwise(severity).alias("severity"), "check", "id", "chunk_id")
 
 
