@@ -27,7 +27,7 @@ UNKNOWN = "und"
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashed ids of all n-grams of N bytes, and the row of each.
 
-    A-Z are lower-cased, white space and ASCII digits and marks become spaces; a row has spaces at its ends.
+    A-Z are lower-cased, white space and ASCII digits and marks become spaces; a row has N / 2 spaces at each end.
     """
     off, data = buffers(col)
     to = np.full(256, 32, np.uint8)
@@ -36,14 +36,15 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     to[65:91] += 32
     n = len(off) - 1
     size = np.diff(off)
-    padded = np.full(len(data) + (N - 2) * n + 2, 32, np.uint8)
+    padded = np.full(len(data) + N * n, 32, np.uint8)
     row = np.repeat(np.arange(n), size)
-    padded[np.arange(len(data)) + row * (N - 2) + 1] = to[data]
-    v = np.zeros(len(padded) - N + 1, np.uint64)
+    padded[np.arange(len(data)) + row * N + N // 2] = to[data]
+    own = np.repeat(np.arange(n), size + N)
+    v = np.zeros(max(0, len(padded) - N + 1), np.uint64)
     for j in range(N):
         v |= padded[j : j + len(v)].astype(np.uint64) << np.uint64(8 * j)
-    row = np.repeat(np.arange(n), size + N - 2)[: len(v)]
-    live = v != np.uint64(0x20202020)
+    row = own[: len(v)]
+    live = (v != np.uint64(0x20202020)) & (row == own[N - 1 :])  # no window runs into the next row
     return (mix(v[live]) >> np.uint64(64 - ID_BITS)).astype(np.uint32), row[live]
 
 
@@ -116,12 +117,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((np.array(model.masks, np.uint8 if len(model.langs) <= 8 else np.uint64), model.langs, model.chance))
 
+    # carried columns go flat under names of their own: a slice of a nested Arrow column would be sent whole
+    names = docs.columns if carry else [id_col, text_col]
+    id_at, text_at = names.index(id_col), names.index(text_col)
+
     def run(batches):
         masks, langs, chance = sent.value
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, f"_c{text_at}"):
                 n = part.num_rows
-                ids, row = grams(part.column(1))
+                ids, row = grams(part.column(text_at))
                 a, b, c = slots(ids)
                 hit = masks[a] & masks[b] & masks[c]
                 ends = np.searchsorted(row, np.arange(n + 1))
@@ -132,15 +137,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     score[k] = np.maximum(0, (total[ends[1:]] - total[ends[:-1]] - size * chance[k]) / (1 - chance[k]))
                 best = score.argmax(axis=0)
                 top, all_ = score.max(axis=0), score.sum(axis=0)
-                letter = np.array(part.column(2).to_pylist(), bool) & bool(langs)
+                letter = np.array(part.column(len(names)).to_pylist(), bool) & bool(langs)
                 pred = [langs[k] if ok else UNKNOWN for k, ok in zip(best, letter, strict=True)]
                 share = np.where(letter & (all_ > 0), top / np.maximum(all_, 1e-9), 0.0)
                 cover = np.where(letter, np.minimum(1, top / np.maximum(size, 1)), 0.0)
-                more = [part.column(3)] if carry else []
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(share), pa.array(cover), *more], [id_col, "lang_pred", "score", "coverage", *["row"][: len(more)]])
+                kept = part.columns[: len(names)] if carry else [part.column(id_at)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(share), pa.array(cover)], [*(f"_c{i}" for i in (range(len(names)) if carry else [id_at])), "lang_pred", "score", "coverage"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
-    rows = docs.select(id_col, text_col, letter, *[F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")][: int(carry)])
-    row = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, coverage double{row}")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)], letter)
+    kinds = ", ".join(f"_c{i} {rows.schema[f'_c{i}'].dataType.simpleString()}" for i in (range(len(names)) if carry else [id_at]))
+    out = rows.mapInArrow(run, f"{kinds}, lang_pred string, score double, coverage double")
+    whole = [F.struct(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)]).alias("row")] if carry else []
+    return out.select(F.col(f"_c{id_at}").alias(id_col), "lang_pred", "score", "coverage", *whole)
