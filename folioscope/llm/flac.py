@@ -199,7 +199,10 @@ def parse_head(media: bytes) -> tuple[dict, np.ndarray, int]:
         at += 4 + size
     if info["bits"] != 8 or info["channels"] != 1 or points is None or len(points) * info["block"] != info["samples"] or info["block"] != BLOCK:
         raise ValueError("only 8-bit mono streams with a point for every frame of 576 samples")
-    return info, points["byte"].astype(np.int64), at
+    offsets = points["byte"].astype(np.int64)
+    if len(offsets) == 0 or offsets[0] or (np.diff(np.append(offsets, len(media) - at)) < 8).any():
+        raise ValueError("seek table")
+    return info, offsets, at
 
 
 def decode_frames(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .textvec import Words, mix, slices
 
 WINDOW, STRIDE = 32, 16
-WORD_BITS, CHAR_BITS = 13, 12
+WORD_BITS, CHAR_BITS = 15, 12
 DW, DC, H, DA = 8, 8, 8, 8
 SHARP = 2.0
 AT_ONCE = 2048
+TABLE_RATE = 1000.0
 
 
 class Inputs:
@@ -38,7 +39,7 @@ class Inputs:
         flat[np.repeat(end - n, size) + 1 + at] = w.data[np.repeat(a, size) + at]
         flat[end - 1] = 62
         gram = flat[:-2] | flat[1:-1] << np.uint64(8) | flat[2:] << np.uint64(16)
-        starts = np.concatenate([np.arange(s) for s in ()]) if False else np.repeat(end - n, size) + at
+        starts = np.repeat(end - n, size) + at
         self.gram = (mix(gram[starts]) & np.uint64((1 << CHAR_BITS) - 1)).astype(np.int64)
         self.gram_word = np.repeat(np.arange(1, len(u) + 1), size)
         self.gram_size = np.concatenate([[1], size])
@@ -56,7 +57,7 @@ class Inputs:
     def embed(self, p: dict) -> np.ndarray:
         """(distinct words + 1, DW + DC) inputs; the pad's are 0."""
         e = np.zeros((len(self.word), DW + DC), np.float32)
-        e[1:, :DW] = p["word"][self.word[1:]]
+        e[1:, :DW] = p["word"][self.word[1:]] * p["seen"][self.word[1:], None]
         c = np.zeros((len(self.word), DC), np.float32)
         if len(self.gram):
             edges = np.concatenate([[0], np.cumsum(self.gram_size[1:])[:-1]])
@@ -68,7 +69,7 @@ class Inputs:
 def start(seed: int) -> dict:
     g = np.random.default_rng(seed)
     r = lambda *s, k=0.3: (g.standard_normal(s) * k).astype(np.float32)
-    p = {"word": r(1 << WORD_BITS, DW, k=0.3), "char": r(1 << CHAR_BITS, DC, k=0.6), "A": r(2 * H, DA), "v": r(DA), "w": r(2 * H), "b": np.full(1, -2, np.float32)}
+    p = {"word": r(1 << WORD_BITS, DW, k=0.3), "char": r(1 << CHAR_BITS, DC, k=0.6), "A": r(2 * H, DA), "v": r(DA), "w": r(2 * H), "b": np.full(1, -2, np.float32), "seen": np.ones(1 << WORD_BITS, np.float32)}
     for d in "fb":
         p |= {f"W{d}": r(DW + DC, 3 * H), f"U{d}": r(H, 3 * H), f"c{d}": np.zeros(3 * H, np.float32)}
     return p
@@ -174,17 +175,26 @@ def gradient(p: dict, x: Inputs, label: np.ndarray, weight: np.ndarray) -> tuple
         dgates = _sum_by(idx.T.ravel(), dx.reshape(-1, 3 * H), len(e))
         g[f"U{d}"], g[f"W{d}"], g[f"c{d}"] = du, e.T @ dgates, dgates.sum(axis=0)
         de += dgates @ p[f"W{d}"].T
-    g["word"] = _sum_by(x.word[1:], de[1:, :DW], 1 << WORD_BITS)
+    g["word"] = _sum_by(x.word[1:], de[1:, :DW] * p["seen"][x.word[1:], None], 1 << WORD_BITS)
     g["char"] = _sum_by(x.gram, (de[:, DW:] / x.gram_size[:, None])[x.gram_word], 1 << CHAR_BITS)
     return loss, g
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 0.02, positive: float = 3.0, seed: int = 0, max_words: int = 12_000) -> dict:
+def common_words(texts: list[str], least: int) -> np.ndarray:
+    """1 for each word slot that at least `least` texts have, else 0."""
+    n = np.zeros(1 << WORD_BITS, np.int64)
+    for t in texts:
+        n[np.unique(Inputs(pa.array([t])).word[1:])] += 1
+    return (n >= min(least, max(1, len(texts) // 20))).astype(np.float32)
+
+
+def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 0.02, seed: int = 0, max_words: int = 12_000, min_texts: int = 3, table_rate: float = TABLE_RATE) -> dict:
     """Adam over random batches of whole texts; half of each batch is drawn from each label where both exist.
 
-    A batch closes early at max_words words, or holds one longer text.
+    A batch closes early at max_words words, or holds one longer text. Words of fewer than
+    min_texts texts have no embedding of their own, only their characters'. The tables move by
+    plain gradients, so a word counts by how often it occurs and texts aren't learnt by heart.
     """
-    del positive
     g = np.random.default_rng(seed)
     p = start(seed)
     labels = np.asarray(labels, float)
@@ -195,7 +205,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 3
     if not groups:
         return p
     size = np.array([len((t or "").split()) for t in texts])
-    names = [k for k in p if k != "empty"]
+    names = [k for k in p if k not in ("empty", "seen")]
+    p["seen"] = common_words([texts[i] for i in live], min_texts)
     m, v = ({k: np.zeros_like(p[k]) for k in names} for _ in range(2))
     queue = [[] for _ in groups]
     for step in range(1, steps + 1):
@@ -215,7 +226,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 3
         for k in names:
             m[k] += 0.1 * (d[k] - m[k])
             v[k] += 0.01 * (d[k] ** 2 - v[k])
-            p[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            p[k] -= lr * table_rate * m[k] if k in ("word", "char") else lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     return p
 
 
