@@ -22,10 +22,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An artefact with a fixed schema: Parquet, or JSON arrays where the path ends in .json; empty if missing."""
+    names = spark.createDataFrame([], schema).columns
     try:
         if path.endswith(".json"):
-            return spark.read.schema(schema).json(path, multiLine=True)
-        return spark.read.schema(schema).parquet(path)
+            return spark.read.schema(schema).json(path, multiLine=True).select(names)
+        return spark.read.schema(schema).parquet(path).select(names)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
