@@ -22,6 +22,8 @@ ID_BITS = 20
 SLOT_BITS = 20
 HASHES = 3
 UNKNOWN = "und"
+#: Text worked on at once; each byte makes an n-gram of 8 bytes and more.
+AT_ONCE = 1 << 18
 
 
 def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +77,13 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share:
     def run(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, AT_ONCE):
                 ids, row = grams(part.column(0))
                 names, lang = np.unique(np.array(part.column(1).to_pylist(), dtype=object).astype(str), return_inverse=True)
                 for k, name in enumerate(names):
                     held.setdefault(name, np.zeros(1 << ID_BITS, np.int64))
-                    held[name] += np.bincount(ids[lang[row] == k], minlength=1 << ID_BITS)
+                    at, n = np.unique(ids[lang[row] == k], return_counts=True)
+                    held[name][at] += n
         for name, c in held.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "gram", "n"])
@@ -124,7 +127,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches):
         masks, langs, chance = sent.value
         for batch in batches:
-            for part in slices(batch, f"_c{text_at}"):
+            for part in slices(batch, f"_c{text_at}", AT_ONCE):
                 n = part.num_rows
                 ids, row = grams(part.column(text_at))
                 a, b, c = slots(ids)
