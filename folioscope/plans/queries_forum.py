@@ -12,6 +12,7 @@ from folioscope.operators import rules as R
 from folioscope.plans.queries_text import THEME, THREAD_SECTION, thread_sections
 from folioscope.plans.registry import Tables, query
 from folioscope.streaming import counters, price
+from folioscope.streaming.run import drain
 
 ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
 
@@ -264,3 +265,23 @@ def n3_staleness(t):
 def n4_rate_counts(t):
     rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("action"))
     return counters.rate_counts_stream(rows, 3600).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "action", "n")
+
+
+def event_stream(t: Tables):
+    """The table of events as a stream of files."""
+    path = f"{t.sf_dir}/events.parque[t]"
+    rows = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT to_timestamp(b * 3600)::TIMESTAMP AS window_start, user_id, action, count(*) AS n FROM (SELECT floor(epoch(ts) / 3600) AS b, user_id, event_type AS action FROM events) WHERE (b + 1) * 3600 <= (SELECT floor(epoch_ms(max(ts)) / 1000.0 - 60) FROM events) GROUP BY ALL")
+def n4_rate_counts_stream(t):
+    rows = event_stream(t).withColumnRenamed("event_type", "action")
+    out = drain(counters.rate_counts_stream(rows, 3600, "1 minute"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "action", "n")
+
+
+@query("SELECT target_id, CAST(sum(value) AS BIGINT) AS score FROM (SELECT user_id, event_id % 97 AS target_id, arg_max(CASE WHEN value >= 100 THEN 1 ELSE -1 END, (ts, event_id)) AS value FROM events GROUP BY ALL) GROUP BY 1")
+def n5_votes_stream(t):
+    rows = event_stream(t).select("event_id", "ts", "user_id", (F.col("event_id") % 97).alias("target_id"), F.when(F.col("value") >= 100, 1).otherwise(-1).cast("long").alias("value"))
+    return drain(counters.vote_deltas_stream(rows)).groupBy("target_id").agg(F.sum("delta").alias("score"))

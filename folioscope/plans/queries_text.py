@@ -62,6 +62,32 @@ def b1_html_blocks(t):
     return H.html_blocks(A.read_raw(t.spark, f"{t.sf_dir}/pages.parquet"))
 
 
+def indexes(t: Tables):
+    """A filing index page for each order: a row a line item."""
+    row = F.concat(F.lit("<tr><td> "), F.when(F.col("l_linenumber") == 4, 0).otherwise(F.col("l_linenumber")), F.lit("</td><td>"), "l_returnflag", F.lit("&amp;D</td><td><a href='/x/"), "l_partkey", F.lit(".htm'>f</a></td><td>EX-"), "l_suppkey", F.lit(".1</td></tr>"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"]), "").alias("r"))
+    return rows.select(F.col("l_orderkey").alias("document_id"), F.concat(F.lit("<p>x<table><tr><td></table><table class='a tableFile'>"), "r", F.lit("</table>")).alias("html"))
+
+
+@query("SELECT l_orderkey AS document_id, l_linenumber || '-ex' || l_suppkey || '1' AS id, CAST(l_linenumber AS BIGINT) AS sequence, 'EX-' || l_suppkey || '.1' AS type, l_returnflag || '&D' AS description, l_partkey || '.htm' AS filename, 'u/' || l_partkey || '.htm' AS source_url FROM lineitem WHERE l_linenumber <> 4")
+def a4_filing_inventory(t):
+    return H.filing_inventory(indexes(t), "u/")
+
+
+@query("SELECT l_orderkey AS document_id, CAST(1 AS BIGINT) AS ord, string_agg(CASE WHEN l_linenumber = 4 THEN 0 ELSE l_linenumber END || ' ' || l_returnflag || '&D f EX-' || l_suppkey || '.1', ' ' ORDER BY l_linenumber, l_returnflag, l_partkey || '.htm', l_suppkey || '.1') AS text FROM lineitem GROUP BY 1")
+def b7_extract_tables(t):
+    return H.extract_tables(indexes(t))
+
+
+@query("""SELECT package_id, sequence, filename FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY CASE WHEN lower(type) IN ('s-1', 's1') AND html THEN 1 WHEN regexp_matches(lower(type), 's-?1') AND html THEN 2 ELSE 3 END, sequence) AS n
+ FROM (SELECT l_orderkey AS package_id, l_linenumber * 1000000 + l_partkey AS sequence, CASE l_suppkey % 4 WHEN 0 THEN 'S-1' WHEN 1 THEN 's-1/A' WHEN 2 THEN 'EX' ELSE 'S1' END AS type, l_partkey || CASE l_partkey % 3 WHEN 0 THEN '.htm' WHEN 1 THEN '.HTML' ELSE '.txt' END AS filename, l_partkey % 3 < 2 AS html FROM lineitem)
+ WHERE (regexp_matches(lower(type), 's-?1') AND html) OR starts_with(filename, '7')) WHERE n = 1""")
+def b8_pick_main_document(t):
+    s, p = F.col("l_suppkey") % 4, F.col("l_partkey") % 3
+    rows = t.lineitem.select(F.col("l_orderkey").alias("package_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("sequence"), F.when(s == 0, "S-1").when(s == 1, "s-1/A").when(s == 2, "EX").otherwise("S1").alias("type"), F.concat("l_partkey", F.when(p == 0, ".htm").when(p == 1, ".HTML").otherwise(".txt")).alias("filename"))
+    return S.pick_main_document(rows.withColumn("sequence", F.col("sequence").cast("long")), "^7").select("package_id", "sequence", "filename")
+
+
 @query(f"WITH {MARKED} SELECT document_id, pos, is_heading, CAST(level AS BIGINT) AS level FROM marked")
 def b2_mark_headings(t):
     return S.mark_headings(line_blocks(t)).select("document_id", "pos", "is_heading", "level")
