@@ -264,7 +264,22 @@ def j3_validate_corpus(t):
     return Q.validate_corpus(*corpus(t))
 
 
-@query()
+def _warn(check: str, table: str, having: str, id_: str = "NULL", detail: str = "n") -> str:
+    return f"SELECT 'warning' AS severity, '{check}' AS \"check\", CAST({id_} AS VARCHAR) AS id, CAST({detail} AS VARCHAR) AS detail FROM {table} WHERE {having}"
+
+
+@query(
+    " UNION ALL ".join([
+        _warn("few sections", "(SELECT count(*) AS n FROM documents)", "n < 50"), _warn("few facts", "(SELECT count(*) AS n FROM benchmark)", "n < 25"),
+        _warn("full-text risks out of range", f"(SELECT count(*) AS n FROM {RISKS} WHERE risk_extraction_type = 'full_text')", "n NOT BETWEEN 40 AND 220"),
+        _warn("suspicious risks", f"(SELECT count(*) AS n FROM {RISKS} WHERE risk_extraction_type <> 'full_text')", "n > 0"),
+        _warn("weak sections", f"(SELECT count(*) AS n FROM documents WHERE length(text) < 80 OR length({LINE}) < 3)", "n > 10"),
+        _warn("large untitled chunks", f"(SELECT count(*) AS n FROM documents WHERE {key(LINE)} IN ('', 'untitled') AND length(text) > 2500)", "n > 0"),
+        _warn("unlinked tables", "(SELECT count(*) AS n FROM orders WHERE o_orderpriority = '5-LOW')", "n > 0"), _warn("short risks", f"(SELECT count(*) AS n FROM {RISKS} WHERE character_length < 500)", "n > 0"),
+        _warn("duplicate risk titles", f"(SELECT count(*) AS n FROM (SELECT 1 FROM {RISKS} GROUP BY left({key('title')}, 90) HAVING count(*) > 1))", "n > 0"),
+        _warn("facts in few categories", "(SELECT count(*) AS n, count(DISTINCT item_id % 2) AS k FROM benchmark)", "k <= 2 AND n >= 10", "'d'", "k"),
+    ])
+)
 def j4_warn_corpus(t):
     docs, secs, chunks, fts, rks = corpus(t)
     return Q.warn_corpus(secs, chunks, fts, rks, t.orders.select(F.when(F.col("o_orderpriority") != "5-LOW", "s").alias("section_id")))

@@ -113,9 +113,9 @@ def b6_chunk_sections(t):
     return S.chunk_sections(doc_sections(t))
 
 
-@query()
+@query(f"WITH {GROUPED} SELECT document_id, id, CASE WHEN words = '' THEN 'Filing source' ELSE array_to_string(list_transform(string_split(words, ' '), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') END AS label FROM (SELECT document_id, id, trim(regexp_replace(regexp_replace(id, '^section-[0-9]+-?', ''), '[-_]', ' ', 'g')) AS words FROM sections)")
 def b9_section_label(t):
-    titles = t.spark.createDataFrame([("documentpreamble", "Preamble"), ("riskfactors", "Risk Factors")], "slug string, title string")
+    titles = t.spark.createDataFrame([("riskfactors", "Risk Factors")], "slug string, title string")
     return S.section_label(S.sessionize_sections(S.mark_headings(line_blocks(t))).select("document_id", "id"), titles)
 
 
