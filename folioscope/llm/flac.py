@@ -14,9 +14,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textvec import binary, buffers, slices
+from .textvec import buffers, slices
 
 BLOCK = 576
 ORDER = 2

@@ -262,7 +262,7 @@ def test_decontamination(spark):
 
 def test_canonical_templates_against_brute_force():
     texts = [ITEM, None, "", "He paid $5.50, (about 3 kg) To Mary Jones.\nNew York is big. Twenty miles!", "a -- b"]
-    w, t, kind, h = templates.canonical(pa.array(texts))
+    _, t, kind, _ = templates.canonical(pa.array(texts))
     names = {0: None, 1: "<n>", 2: "<p>", 3: "<u>"}
     want = [x for s in texts for x in brute_template(s)]
     assert [names[int(k)] or "lit" for k in kind] == [x if x.startswith("<") else "lit" for x in want]
