@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators.rules import THEMES, resolve_theme
 
 #: Page sizes, preview length and the targets of the latency report.

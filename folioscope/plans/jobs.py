@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators import audit, brief, evidence, forum, risks, rules, sections
 from folioscope.sources import html
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators import audit as Q
 from folioscope.operators import brief as B
 from folioscope.operators import evidence as V
 from folioscope.operators import sections as S
 from folioscope.plans import jobs
-from folioscope.plans.queries_text import FIRST, LINE, doc_chunks, doc_sections
+from folioscope.plans.queries_text import LINE, doc_chunks, doc_sections, first_line
 from folioscope.plans.registry import Tables, key, like, query, re2, slug, ws
 from folioscope.sources import tables as A
 
@@ -22,7 +21,7 @@ def risks(t: Tables):
     d, n = F.col("doc_id"), F.length("text")
     kind = F.when(d % 6 == 0, "toc_entry").when(n < 300, "heading_only").when(n < 800, "fragment").otherwise("full_text")
     return t.documents.select(
-        F.concat(F.lit("r"), d).alias("id"), F.col("source").alias("document_id"), d.alias("pos"), F.when(d % 9 == 0, "Risk factor").otherwise(FIRST).alias("title"), F.col("lang").alias("category"), F.col("text").alias("original_text"),
+        F.concat(F.lit("r"), d).alias("id"), F.col("source").alias("document_id"), d.alias("pos"), F.when(d % 9 == 0, "Risk factor").otherwise(first_line()).alias("title"), F.col("lang").alias("category"), F.col("text").alias("original_text"),
         kind.alias("risk_extraction_type"), F.concat(F.lit("s"), d % 40).alias("source_section_id"), F.array(F.concat(F.lit("c"), d)).alias("source_chunk_ids"), F.substring("text", 1, 300).alias("source_quote"), n.alias("character_length"),
         (kind != "full_text").alias("needs_review"), F.when(d % 10 == 0, "odd").alias("extraction_warning"), F.lit("mixed").alias("specificity"),
     )
@@ -154,7 +153,7 @@ def h4_samples(t):
 
 @query(f"SELECT left({key(LINE)}, 12) AS title_key, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
 def h5_near_duplicate_titles(t):
-    rows = t.documents.select("doc_id", FIRST.alias("title"))
+    rows = t.documents.select("doc_id", first_line().alias("title"))
     return Q.near_duplicate_titles(rows, 12, "doc_id").withColumn("ids", F.array_join("ids", ","))
 
 
@@ -281,7 +280,7 @@ def _warn(check: str, table: str, having: str, id_: str = "NULL", detail: str =
     ])
 )
 def j4_warn_corpus(t):
-    docs, secs, chunks, fts, rks = corpus(t)
+    _, secs, chunks, fts, rks = corpus(t)
     return Q.warn_corpus(secs, chunks, fts, rks, t.orders.select(F.when(F.col("o_orderpriority") != "5-LOW", "s").alias("section_id")))
 
 

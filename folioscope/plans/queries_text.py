@@ -12,7 +12,6 @@ from folioscope.plans.registry import Tables, key, like, query, re2, short, slug
 from folioscope.sources import html as H
 from folioscope.sources import tables as A
 
-FIRST = F.split_part("text", F.lit("\n"), F.lit(1))
 LINE = "split_part(text, chr(10), 1)"
 #: Rules of frequent fragments, since the tables' prose is invented.
 FRAGMENT_RULES = [("articles", r"\b(the|der|la)\b"), ("endings", r"tion\b"), ("links", r"\b(and|und|et)\b"), ("stems", "heit")]
@@ -20,15 +19,19 @@ KEYWORDS = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\b", k=
 NEEDLES = [dict(label="first", id="g1", needles=["the", "der"]), dict(label="second", id="g2", needles=["La."]), dict(label="third", id="g3", needles=["zzzz", "que"])]
 
 
+def first_line():
+    return F.split_part("text", F.lit("\n"), F.lit(1))
+
+
 def doc_sections(t: Tables):
     """One section a document, titled by its first line; a source is the document."""
     d = t.documents
-    return d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("s"), "doc_id").alias("id"), FIRST.alias("title"), T.norm_title(FIRST).alias("normalized_title"), "text")
+    return d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("ord"), F.concat(F.lit("s"), "doc_id").alias("id"), first_line().alias("title"), T.norm_title(first_line()).alias("normalized_title"), "text")
 
 
 def doc_chunks(t: Tables):
     d = t.documents
-    return d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("chunk_pos"), F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("s"), "doc_id").alias("section_id"), FIRST.alias("title"), "text")
+    return d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("chunk_pos"), F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("s"), "doc_id").alias("section_id"), first_line().alias("title"), "text")
 
 
 def line_blocks(t: Tables):
@@ -126,7 +129,7 @@ def c1_norm(t):
 
 @query(f"SELECT doc_id, {slug(LINE)} AS slug, concat_ws('-', 'chunk', {slug(slug(LINE))}, doc_id, nullif({slug('source')}, '')) AS id FROM documents")
 def c2_ids(t):
-    return t.documents.select("doc_id", T.slugify(FIRST).alias("slug"), T.stable_id("chunk", T.slugify(FIRST), F.col("doc_id"), F.lit(""), F.lit(None), F.col("source")).alias("id"))
+    return t.documents.select("doc_id", T.slugify(first_line()).alias("slug"), T.stable_id("chunk", T.slugify(first_line()), F.col("doc_id"), F.lit(""), F.lit(None), F.col("source")).alias("id"))
 
 
 @query(f"SELECT doc_id, CAST(greatest(1, ceil(length({ws('text')}) / 4.0)) AS BIGINT) AS tokens, {short('text', 140)} AS excerpt FROM documents")
@@ -136,7 +139,7 @@ def c3_tokens_excerpt(t):
 
 @query(f"SELECT doc_id, contains(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), regexp_replace(lower({LINE} || CASE WHEN doc_id % 3 = 0 THEN ' -zq9- ' ELSE ' -- ' END), '[^a-z0-9]+', '', 'g')) AS ok FROM documents")
 def c4_source_excerpt(t):
-    quote = F.concat(FIRST, F.when(F.col("doc_id") % 3 == 0, " -zq9- ").otherwise(" -- "))
+    quote = F.concat(first_line(), F.when(F.col("doc_id") % 3 == 0, " -zq9- ").otherwise(" -- "))
     return t.documents.select("doc_id", T.is_source_excerpt(F.col("text"), quote).alias("ok"))
 
 
@@ -197,8 +200,8 @@ def c11_policy(t):
 
 @query(rf"SELECT doc_id, upper(left(x, 1)) || substr(x, 2) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace({LINE}, '\bthe (in|on)\b', 'those', 'gi'), '\b(of|de) ?', 'about ', 'gi') AS x FROM documents WHERE NOT regexp_matches({LINE}, '[^\x00-\x7F]'))")
 def c12_scrub_terms(t):
-    rows = t.documents.where(~FIRST.rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", T.scrub_terms(FIRST, [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
+    rows = t.documents.where(~first_line().rlike(r"[^\x00-\x7F]"))
+    return rows.select("doc_id", T.scrub_terms(first_line(), [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
 
 
 @query(f"SELECT doc_id, {LINE} AS title FROM documents WHERE contains(lower(text), 'tion the') OR contains(lower({LINE}), 'tion the') ORDER BY doc_id LIMIT 12")
@@ -228,7 +231,7 @@ def e1_classify(t):
 
 @query(f"SELECT doc_id, CASE WHEN {RULES_SQL(LINE)} <> 'other' THEN {RULES_SQL(LINE)} ELSE {RULES_SQL('text')} END AS theme FROM documents")
 def e2_theme_for(t):
-    return t.documents.select("doc_id", R.theme_for(FIRST, F.col("text"), FRAGMENT_RULES).alias("theme"))
+    return t.documents.select("doc_id", R.theme_for(first_line(), F.col("text"), FRAGMENT_RULES).alias("theme"))
 
 
 @query(f"SELECT doc_id, CASE WHEN {like('text', r'(?i)\b(the|der)\b')} AND {like('text', r'(?i)\b(on|die)\b')} THEN 'mixed' WHEN {like('text', r'(?i)\b(the|der)\b')} THEN 'company_specific' ELSE 'generic' END AS specificity FROM documents")
@@ -319,7 +322,7 @@ def f2_classify_risk(t):
 
 @query(f"SELECT doc_id, pos, 'risk-' || pos || '-' || {slug('title')} AS id FROM (SELECT doc_id, {LINE} AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents)")
 def f3_number_records(t):
-    rows = t.documents.select("doc_id", F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_pos"), F.lit(0).alias("item_pos"), FIRST.alias("title"))
+    rows = t.documents.select("doc_id", F.col("source").alias("document_id"), F.col("doc_id").alias("chunk_pos"), F.lit(0).alias("item_pos"), first_line().alias("title"))
     return K.number_records(rows).select("doc_id", "pos", "id")
 
 

@@ -76,7 +76,7 @@ def test_rate_limit_at_and_over(spark, n):
 
 def brute(rows, limits):
     counts, out = {}, []
-    for i, (s, u, ip, a) in enumerate(rows):
+    for s, u, ip, a in rows:
         mine = sorted((x for x in limits if x[0] == a), key=lambda x: x[1])
         denied = None if mine else 0
         for _, step, scope, secs, most in mine:

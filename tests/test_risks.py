@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from folioscope.functions import text as T
 from folioscope.operators import evidence as V
 from folioscope.operators import risks as K
 from folioscope.operators import rules as R
@@ -44,7 +43,7 @@ def test_support_and_calibration(spark):
     df = spark.createDataFrame([(["T", s[2]], "T")], "s array<string>, t string")
     assert df.select(K.supporting_sentences(F.col("s"), F.col("t"), r"\borbit\b")).first()[0] == [s[2]]  # none related: the pool
     df = spark.createDataFrame([(True, 1, "ab 12"), (True, 1, "abcdef 12"), (False, 1, "abc"), (True, 0, "abc"), (True, 1, "")], "u boolean, n int, q string")
-    c, r = K.calibrate(F.col("u"), F.col("n"), F.col("q"))
+    c, _ = K.calibrate(F.col("u"), F.col("n"), F.col("q"))
     assert [x[0] for x in df.select(c).collect()] == ["low", "medium", "low", "low", "medium"]
 
 
@@ -90,4 +89,3 @@ def test_quotes_and_gate(spark):
     cards = spark.createDataFrame([("a", "Cash was $4.694 billion", "and $12 and $7", "total 4,694 (in millions) 12")], "id string, title string, plain_english string, source_quote string")
     assert V.unbacked_figures(cards).count() == 0  # $7 has one digit
     assert [r["figure"] for r in V.unbacked_figures(cards.withColumn("source_quote", F.lit("469"))).orderBy("figure").collect()] == ["12", "4694"]
-    assert T.has_advice is not None
