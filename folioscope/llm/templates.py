@@ -79,7 +79,7 @@ def template_windows(col: pa.Array, k: int, min_literals: int):
     return hashes[ok], at[ok], w, kind, h
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.8, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) of the rows that hold an item.
 
     A row holds an item if, at one alignment, at least `coverage` of the item's template windows of
