@@ -68,4 +68,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_language_id, op6_packing, op7_hmm, op8_chat_format, op9_flac, op10_kd_shards)}
 
-ORACLE: dict[str, str] = {}
+#: Turns that hold a control string are escaped, which doubles each of their backslashes, < and #.
+_OP8 = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+ t AS (SELECT *, contains(text, '</turn>') OR contains(text, '### ') AS held FROM c)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('### ' || role || ': ' || text || ' </turn>' || chr(10)) + CASE WHEN held THEN 1 + length(text) - length(regexp_replace(text, '[\\<#]', '', 'g')) ELSE 0 END) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
+ORACLE: dict[str, str] = {"op8_chat_format": _OP8}
