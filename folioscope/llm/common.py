@@ -31,6 +31,15 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def text_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with Arrow batches held to `rows` rows: texts are long, and 10,000 of them take tens of MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote and that nothing reads any more."""
     spark = df.sparkSession

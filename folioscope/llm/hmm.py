@@ -315,7 +315,7 @@ def score(docs: DataFrame, train_col: str, states: int = 8, rounds: int = 4, id_
     count in training as often as they occur.
     """
     spark = docs.sparkSession
-    docs = docs.select(id_col, F.coalesce(F.col(train_col), F.lit(False)).alias(train_col), F.xxhash64(id_col, text_col).alias("key"), text_col)
+    docs = common.text_batches(docs).select(id_col, F.coalesce(F.col(train_col), F.lit(False)).alias(train_col), F.xxhash64(id_col, text_col).alias("key"), text_col)
     parts = max(1, docs.rdd.getNumPartitions())
     hot = frequent_words(docs.where(train_col), text_col)
     rows = common.cut(coded(docs, hot, text_col), "codes")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .textvec import buffers, mix, slices
 
 N = 4
@@ -69,7 +70,7 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share:
     times as often, relative to size, as in the language where it is most frequent. At most 64
     languages; rows with a null language, id or text are left out.
     """
-    rows = labelled.select(id_col, text_col, lang_col).where(f"`{lang_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
+    rows = text_batches(labelled).select(id_col, text_col, lang_col).where(f"`{lang_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
     total = labelled.where(F.col(lang_col).isNotNull()).select(lang_col).count()
     if total > max_rows:
         rows = rows.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
@@ -117,7 +118,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text none of whose n-grams is known goes to the first language with score 0; ties go to the
     first language by name. With carry, the result also has each whole row as the struct `row`.
     """
-    spark = docs.sparkSession
+    spark = text_batches(docs).sparkSession
     sent = spark.sparkContext.broadcast((np.array(model.masks, np.uint8 if len(model.langs) <= 8 else np.uint64), model.langs, model.chance))
 
     # carried columns go flat under names of their own: a slice of a nested Arrow column would be sent whole

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import text_batches
 from .textvec import slices
 
 #: Fixed value: the pattern that splits text for the byte-level vocabulary.
@@ -118,7 +119,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
     """
     ranks = load_ranks(vocabulary)
     kind = np.dtype("<u2") if max(len(ranks), end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    sent = text_batches(docs).sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         encode = tokenizer(sent.value).encode_ordinary

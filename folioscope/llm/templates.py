@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .textvec import Words, mix, slices, windows
 
 #: Unit words that become <unit>.
@@ -106,7 +107,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literal
     item_kind = benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(item_col, text_col).mapInArrow(item_rows, f"`{item_col}` {item_kind}, hash long, item_at int, item_windows int, item_kinds binary, item_values binary")
     n_items = items.count()
-    spark = docs.sparkSession
+    spark = text_batches(docs).sparkSession
     bits = items.select(F.shiftrightunsigned("hash", 64 - BLOOM_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()  # at most 2^BLOOM_BITS
     bloom = np.zeros(1 << BLOOM_BITS, bool)
     bloom[bits] = True

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
 from .textvec import Words, mix, slices
 
 WINDOW, STRIDE = 32, 16
@@ -249,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, id_col: str =
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_windows) of every whole text; null and empty texts get the sample's own rate."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         p = sent.value
