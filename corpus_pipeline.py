@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    hits = templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = templates.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), any_case=True)
     return docs.join(bounded(hits.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
 
 

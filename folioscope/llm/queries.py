@@ -28,7 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ of the template are hash-joined with the benchmark's; windows in order at nearby
 alignment of a row with an item, whose slots must be filled consistently: one original value, one
 new value.
 
-There are two readings: CASED has capitalised words inside sentences as names, EXACT has every word
-as it is, for items of few literals.
+What is a name can't be told from a word alone, so there are readings: CASED has capitalised words
+inside sentences as names, PLAIN has no names (any change of case), CAPITAL has all capitalised
+words as names (renamed sentence openers). EXACT has every word as it is, for items of few literals.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 NUM, NAME, UNIT = 1, 2, 3
 _NUMBER = re.compile(rb"[-+$\xc2\xa3\xe2\x82\xac#(]*\d[\d.,:/]*[%)]?")
 BLOOM_BITS = 22
-CASED, EXACT = 0, 3
+CASED, PLAIN, CAPITAL, EXACT = range(4)
 #: An edit of up to so many tokens keeps the windows over it, if there are windows on both sides.
 EDIT = 4
 
@@ -91,6 +92,10 @@ def tokens(parsed, reading: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w, kind, h, opens, capital = parsed
     if reading == EXACT:
         return w.doc, np.zeros(len(h), np.int8), h
+    if reading == PLAIN:
+        kind = np.where(kind == NAME, 0, kind).astype(np.int8)
+    elif reading == CAPITAL:
+        kind = np.where((kind == 0) & capital, NAME, kind).astype(np.int8)
     joins = np.zeros(len(h), bool)
     joins[1:] = (kind[1:] > 0) & (kind[1:] == kind[:-1]) & ~opens[1:]
     first = np.flatnonzero(~joins)
@@ -152,19 +157,21 @@ def align(item_at, item_no, shift, total: int, k: int, coverage: float) -> list[
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000, any_case: bool = False) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) of the rows that hold an item.
 
     A row holds an item if, in one alignment, at least `coverage` of the item's template windows of
     k tokens occur and the slots in them are consistent, that is each of the item's values has one
     value in the row. An alignment may change its shift at words put in or left out; see `align`.
-    n_changed counts slots whose value differs: 0 is a copy, more a re-parameterised question. An item of fewer than k tokens is one window; one with no
+    n_changed counts slots whose value differs: 0 is a copy, more a re-parameterised question. With
+    any_case, the readings PLAIN and CAPITAL are tried besides CASED, so copies in another case and
+    renamed sentence openers are found. An item of fewer than k tokens is one window; one with no
     window of min_literals literals must occur word for word; one of fewer than min_literals words
     matches nothing, and null and empty texts hold nothing. The windows of the benchmark are
     broadcast if they are at most max_broadcast, else joined by a shuffle; rows are pre-filtered by
     a Bloom filter of fixed size either way.
     """
-    readings = (CASED,)
+    readings = (CASED, PLAIN, CAPITAL) if any_case else (CASED,)
 
     def item_rows(batches):
         for batch in batches:
