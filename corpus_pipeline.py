@@ -23,8 +23,13 @@ def bounded(ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in a known language: those with no letter, or with under a quarter of known n-grams, go."""
+    """Rows in a known language: those with no letter, or with under a quarter of known n-grams, go.
+
+    Where no row has a language, none can be known, and all rows with a letter stay.
+    """
     model = langid.fit(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     kept = langid.predict(docs, model, carry=True)
     return kept.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("coverage") >= 0.25)).select("row.*")
 

@@ -63,17 +63,31 @@ class Model:
     chance: np.ndarray
 
 
+def parts(total: dict[str, int], rows: int) -> dict[str, float]:
+    """Rows of each language: all of a rare one, and equal parts of what is left for the others."""
+    out, left = {}, float(rows)
+    for i, (k, n) in enumerate(sorted(total.items(), key=lambda x: (x[1], x[0]))):
+        out[k] = min(n, left / (len(total) - i))
+        left -= out[k]
+    return out
+
+
 def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share: float = 0.35, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Filters from a bounded sample of labelled rows: max_rows of them in expectation, by a hash of the id.
 
+    Each language has up to an equal part of the sample, and what rare ones leave goes to the others;
+    all rows of a language that has no more than its part are in.
+
     An n-gram enters a language's filter if it occurs min_count times there and at least `share`
     times as often, relative to size, as in the language where it is most frequent. At most 64
     languages; rows with a null language, id or text are left out.
     """
     rows = text_batches(labelled).select(id_col, text_col, lang_col).where(f"`{lang_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
-    total = labelled.where(F.col(lang_col).isNotNull()).select(lang_col).count()
-    if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
+    total = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(total.values()) > max_rows:
+        part = parts(total, max_rows)
+        cap = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, int(part[k] / n * (1 << 40)))])
+        rows = rows.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 40)) < cap[F.col(lang_col)])
 
     def run(batches):
         held: dict[str, np.ndarray] = {}
