@@ -189,17 +189,19 @@ def common_words(texts: list[str], least: int) -> np.ndarray:
     return (n >= min(least, max(1, len(texts) // 20))).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 0.02, seed: int = 0, max_words: int = 12_000, min_texts: int = 3, table_rate: float = TABLE_RATE) -> dict:
+def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 32, rate: float = 0.02, seed: int = 0, max_words: int = 12_000, min_texts: int = 3, table_rate: float = TABLE_RATE, counts: tuple[int, int] | None = None) -> dict:
     """Adam over random batches of whole texts; half of each batch is drawn from each label where both exist.
 
     A batch closes early at max_words words, or holds one longer text. Words of fewer than
     min_texts texts have no embedding of their own, only their characters'. The tables move by
     plain gradients, so a word counts by how often it occurs and texts aren't learnt by heart.
+    counts: labels 0 and 1 in all the rows that texts are a sample of; the texts' own if not given.
     """
     g = np.random.default_rng(seed)
     p = start(seed)
     labels = np.asarray(labels, float)
-    p["empty"] = np.array([np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5))], np.float64) if len(labels) else np.array([-2.0])
+    clean, toxic = counts or (len(labels) - labels.sum(), labels.sum())
+    p["empty"] = np.array([np.log((toxic + 0.5) / (clean + 0.5))], np.float64) if clean + toxic else np.array([-2.0])
     live = [i for i, t in enumerate(texts) if t and t.strip()]
     groups = [np.array([i for i in live if labels[i] == y]) for y in (0, 1)]
     groups = [x for x in groups if len(x)]
@@ -218,8 +220,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 3
                 queue[k] = list(g.permutation(groups[k]))
             rows.append(queue[k].pop())
             words += size[rows[-1]]
-        # batches are balanced; weights give the sample's own rates back in part
-        share = labels[live].mean() if len(groups) > 1 else 0.5
+        # batches are balanced; weights give the rates of all rows back in part
+        share = toxic / (clean + toxic) if len(groups) > 1 else 0.5
         y = labels[rows]
         weight = np.where(y == 1, share**0.25, (1 - share) ** 0.25)
         _, d = gradient(p, Inputs(pa.array([texts[i] for i in rows])), y, weight)
@@ -231,25 +233,25 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 3
     return p
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list:
-    """At most about max_rows labelled texts, half of each label where there are enough, by a hash of the id."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, tuple[int, int]]:
+    """At most about max_rows labelled texts, half of each label where there are enough, by a hash of the id; and how many labels 0 and 1 there are in all."""
     own = labels.select(id_col, F.col(label_col).alias("y")).where("y in (0, 1)").dropDuplicates([id_col])
     n = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(1 << 20))
     cap = lambda y: min(1 << 20, int(max_rows / 2 / max(1, n.get(y, 0)) * (1 << 20)))
     own = own.where(part < F.when(F.col("y") == 1, F.lit(cap(1))).otherwise(F.lit(cap(0))))
     rows = docs.select(id_col, text_col).join(F.broadcast(own), id_col)  # about max_rows labels
-    return rows.orderBy(id_col).collect()
+    return rows.orderBy(id_col).collect(), (n.get(0, 0), n.get(1, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> dict:
     """A network trained on a bounded sample: max_rows labelled rows in expectation."""
-    rows = labelled_sample(docs, labels, max_rows, id_col, text_col, label_col)
-    return train([r[text_col] for r in rows], np.array([r["y"] for r in rows]), **kw)
+    rows, counts = labelled_sample(docs, labels, max_rows, id_col, text_col, label_col)
+    return train([r[text_col] for r in rows], np.array([r["y"] for r in rows]), counts=counts, **kw)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, n_windows) of every whole text; null and empty texts get the sample's own rate."""
+    """(id, score, n_windows) of every whole text; null and empty texts get the rate of all labels."""
     sent = text_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -1,7 +1,9 @@
-"""Fits on samples of large tables: every language."""
+"""Fits on samples of large tables: every language, the rate of all labels."""
+
+import numpy as np
 
 import corpus_pipeline
-from folioscope.llm import langid
+from folioscope.llm import langid, toxicity
 from tests.llm.test_llm import DOC, speech, table
 
 
@@ -24,3 +26,12 @@ def test_language_stage_without_labels(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 0, "x", 1, 2) for i, t in enumerate(["some words", None, "12 34", "über"])], DOC)
     got = corpus_pipeline.language(spark, docs.select(*corpus_pipeline.COLUMNS), "")
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 3] and got.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_empty_texts_get_the_rate_of_all_labels(spark):
+    texts = [f"nice word {i}" for i in range(400)] + [f"bad idiot {i}" for i in range(100)]
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i in range(500)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, texts), labels, max_rows=60, steps=2)
+    assert np.isclose(model["empty"][0], np.log(100.5 / 400.5))
+    got = toxicity.score(table(spark, ["", None, " "]), model).collect()
+    assert all(abs(r["score"] - 0.2) < 0.01 for r in got)
