@@ -268,9 +268,9 @@ def n4_rate_counts(t):
 
 
 def event_stream(t: Tables):
-    """The table of events as a stream of files."""
+    """The table of events as a stream of files, all in one batch: the files needn't be in time order."""
     path = f"{t.sf_dir}/events.parque[t]"
-    rows = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = t.spark.readStream.schema(t.events.schema).parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
