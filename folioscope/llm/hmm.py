@@ -7,13 +7,14 @@ class a word is drawn by its training count, or is unknown with a Good-Turing pr
     log10 P(text) = log10 P(codes) + sum over class words of log10 P(word | class).
 
 Codes' likelihood is exact, by the scaled forward recursion over the whole text. Word counts are
-gathered from the whole training corpus by hash buckets; texts get back only sums.
+gathered from the whole training corpus by hash buckets; texts get back only sums. Words that would
+fill a bucket by themselves are warm: they are counted once and scored where they stand.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,11 @@ FORMS = 1024
 #: A word is frequent from this share of all training words on; so there are at most its inverse.
 HOT = 5e-4
 SEGMENT = 128
+MOST_CANDIDATES = 4_000_000
+#: Text bytes for each bucket of words, which is one task.
+BUCKET_BYTES = 32 << 20
+#: No list of words that is sent to the tasks has words of a smaller share; so there are at most its inverse.
+LEAST_SHARE = 1e-6
 
 
 def forms(w: Words, h: np.ndarray) -> np.ndarray:
@@ -48,48 +54,95 @@ def encode(w: Words, h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return code
 
 
+def among(h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the hashes that are among sorted words, and where there."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    own = np.flatnonzero(words[at] == h)
+    return own, at[own]
+
+
 def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("i").agg(F.sum("x").alias("x"))
 
 
-def frequent_words(train: DataFrame, text_col: str) -> np.ndarray:
-    """Sorted hashes of words that are frequent; each task reports the words frequent in it, and its size."""
+def word_counts(batches, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes of a task's texts, sorted, and their exact counts."""
+    u, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for batch in batches:
+        for part in slices(batch, text_col):
+            h, n = np.unique(Words(part.column(0)).hashes(), return_counts=True)
+            u, back = np.unique(np.concatenate([u, h]), return_inverse=True)
+            c = np.bincount(back, np.concatenate([c, n]), len(u)).astype(np.int64)
+    return u, c
 
-    def run(batches):
-        held, n = {}, 0
-        for batch in batches:
-            for part in slices(batch, text_col):
-                u, c = np.unique(Words(part.column(0)).hashes(), return_counts=True)
-                n += int(c.sum())
-                for x, y in zip(u[c >= HOT / 2 * c.sum()].tolist(), c[c >= HOT / 2 * c.sum()].tolist(), strict=True):
-                    held[x] = held.get(x, 0) + y
-        at = [k for k, v in held.items() if v >= HOT / 2 * n]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([0, *at], np.uint64).view(np.int64)), pa.array([float(n), *(float(held[k]) for k in at)])], ["i", "x"])
-
-    found = common.cut(totals(train.select(text_col).mapInArrow(run, "i long, x double")), "hot")
-    n = found.where("i = 0").agg(F.sum("x")).first()[0] or 0
-    rows = found.where(F.col("i") != 0).where(F.col("x") >= HOT * n).select("i").collect() if n else []
+
+def frequent_words(train: DataFrame, text_col: str, share: float = HOT) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the words that are at least `share` of all training words, their counts, and the number of all.
+
+    The result does not depend on how rows are dealt. A word that frequent is so in some task, so the first pass lists each task's frequent words, and
+    the second counts just these in all tasks. Its tasks get the list broadcast while it has at most
+    MOST_CANDIDATES words; a longer one is joined by a shuffle.
+    """
+
+    def candidates(batches):
+        u, c = word_counts(batches, text_col)
+        yield pa.RecordBatch.from_arrays([pa.array(u[c >= share * c.sum()].view(np.int64))], ["i"])
+
+    texts = train.select(text_col)
+    listed = common.cut(texts.mapInArrow(candidates, "i long").distinct(), "hot")
+    few = listed.count() <= MOST_CANDIDATES
+    sent = train.sparkSession.sparkContext.broadcast(np.sort(np.array([r["i"] for r in listed.collect()], np.int64).view(np.uint64)) if few else None)
+
+    def count(batches):
+        u, c = word_counts(batches, text_col)
+        n = float(c.sum())
+        if sent.value is not None:
+            own = np.isin(u, sent.value, assume_unique=True)
+            u, c = u[own], c[own]
+        # the number of all words goes with a null
+        yield pa.RecordBatch.from_arrays([pa.array([None, *u.view(np.int64).tolist()], pa.int64()), pa.array([n, *c.tolist()], pa.float64())], ["i", "x"])
+
+    counts = texts.mapInArrow(count, "i long, x double")
+    if not few:
+        counts = counts.join(listed, "i", "left_semi").union(counts.where("i is null"))
+    found = common.cut(totals(counts), "hot")
+    n = found.where("i is null").agg(F.sum("x")).first()[0] or 0
+    rows = found.where(F.col("i").isNotNull() & (F.col("x") >= share * n)).collect() if n else []  # 1 / share words at most
+    common.drop(listed)
     common.drop(found)
-    return np.sort(np.array([r["i"] for r in rows], np.int64).view(np.uint64))
+    words = np.array([r["i"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r["x"] for r in rows], np.float64)[order], int(n)
 
 
-def coded(docs: DataFrame, hot: np.ndarray, text_col: str) -> DataFrame:
-    """docs with the text replaced by its codes, as packed 16-bit numbers with the end's 0 last."""
+def coded(docs: DataFrame, hot: np.ndarray, warm: np.ndarray, warm_count: np.ndarray, text_col: str) -> DataFrame:
+    """docs with the text replaced by its codes, as packed 16-bit numbers with the end's 0 last.
+
+    warm_codes are those of its warm words; warm_base and warm_log sum their log10(c + 0.5) and log10(c).
+    """
     keep = [c for c in docs.columns if c != text_col]
+    sent = docs.sparkSession.sparkContext.broadcast((hot, warm, warm_count))  # at most 1 / LEAST_SHARE words
 
     def run(batches):
+        hot, warm, warm_count = sent.value
         for batch in batches:
             for part in slices(batch, text_col):
                 w = Words(part.column(part.schema.get_field_index(text_col)))
-                code = encode(w, w.hashes(), hot)
+                h = w.hashes()
+                code = encode(w, h, hot)
                 n = len(w.off) - 1
+                own, at = among(h, warm)
+                sums = [np.bincount(w.doc[own], f(warm_count[at]), n).astype(np.float64) for f in (lambda c: np.log10(c + 0.5), np.log10)]
+                warm_ends = np.cumsum(np.bincount(w.doc[own], minlength=n))
                 ends = w.first[1:] + np.arange(1, n + 1)
                 flat = np.zeros(len(code) + n, np.uint16)
                 flat[np.arange(len(code)) + w.doc] = code
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), binary(flat, ends)], [*keep, "codes"])
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), binary(flat, ends), binary(code[own].astype(np.uint16), warm_ends), *map(pa.array, sums)], [*keep, "codes", "warm_codes", "warm_base", "warm_log"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{kinds}, codes binary")
+    return docs.mapInArrow(run, f"{kinds}, codes binary, warm_codes binary, warm_base double, warm_log double")
 
 
 def code_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +152,8 @@ def code_arrays(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
+    """Broadcast as a tuple of arrays, since executors need not have this class."""
+
     hot: np.ndarray
     count: np.ndarray  # training tokens of each code
     first: np.ndarray  # K
@@ -186,13 +241,13 @@ def train(rows: DataFrame, hot: np.ndarray, states: int = 8, rounds: int = 4, se
     m = Model(hot, count, np.full(states, 1 / states), np.full(states, 1 / states), stay, emit / emit.sum(axis=0))
     size = 2 * states + states * states + n_codes * states
     for _ in range(rounds if count.sum() else 0):
-        sent = spark.sparkContext.broadcast(m)
+        sent = spark.sparkContext.broadcast(astuple(m))
 
         def step(batches, sent=sent):
-            total = np.zeros(size)
+            m, total = Model(*sent.value), np.zeros(size)
             for batch in batches:
                 for part in slices(batch, "codes", 1 << 19):
-                    a, b, c, d, _ = expected_counts(sent.value, *code_arrays(part.column(0)))
+                    a, b, c, d, _ = expected_counts(m, *code_arrays(part.column(0)))
                     total += np.concatenate([a, b, c.ravel(), d.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "x"])
 
@@ -220,12 +275,13 @@ def forward(m: Model, off: np.ndarray, code: np.ndarray) -> np.ndarray:
     return back
 
 
-def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int, key_col: str, train_col: str, text_col: str) -> DataFrame:
-    """(key, base, known, inside, kinds, once) by summing over the words that are not frequent.
+def rare_sums(docs: DataFrame, hot: np.ndarray, warm: np.ndarray, count: np.ndarray, buckets: int, key_col: str, train_col: str, text_col: str) -> DataFrame:
+    """(key, base, known, inside, kinds, once) by summing over the words that are neither frequent nor warm.
 
     For a key: sums over its rows' words of log10(c + 0.5), of 1 where c > 0, and there of
     log10(c / training words of the class). Rows with a null key hold the number of distinct
-    training words and of those met once. A word's hash keeps 48 bits besides its bucket's.
+    training words and of those met once. A word's hash keeps 48 bits besides its bucket's. A bucket
+    is one group in memory, so buckets grow with the texts; a word has one row a text and 255 times.
     """
     bits = max(1, (buckets - 1).bit_length())
     n_buckets, shift = 1 << bits, np.uint64(64 - bits)
@@ -238,7 +294,9 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
                 w = Words(part.column(2))
                 h = w.hashes()
                 code = encode(w, h, hot)
-                rare = np.flatnonzero(code >= first_form)
+                rare = code >= first_form
+                rare[among(h, warm)[0]] = False
+                rare = np.flatnonzero(rare)
                 h, code, doc = h[rare], code[rare], w.doc[rare]
                 order = np.lexsort((h, doc))
                 h, code, doc = h[order], code[order], doc[order]
@@ -302,55 +360,64 @@ def rare_sums(docs: DataFrame, hot: np.ndarray, count: np.ndarray, buckets: int,
         return pa.table({"key": pa.array(u), **{c: pa.array(np.bincount(inv, flat(t, c, kind), len(u))) for c, kind in (("base", np.float64), ("known", np.float32), ("inside", np.float32))}})
 
     dealt = docs.select(key_col, train_col, text_col).mapInArrow(deal, "bucket int, keys binary, heads binary, low binary, mid binary, codes binary, times binary")
-    added = dealt.groupBy("bucket").applyInArrow(add, "q int, keys binary, base binary, known binary, inside binary")
-    return added.groupBy("q").applyInArrow(gather, "key long, base double, known double, inside double")
+    added = dealt.repartitionById(n_buckets, "bucket").groupBy("bucket").applyInArrow(add, "q int, keys binary, base binary, known binary, inside binary")
+    return added.repartitionById(n_buckets, "q").groupBy("q").applyInArrow(gather, "key long, base double, known double, inside double")
 
 
-def score(docs: DataFrame, train_col: str, states: int = 8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train_col: str, states: int = 8, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", warm_share: float | None = None) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     Rows whose boolean train_col is true are the training corpus; with none, every word is
     unknown. A null text is empty: one token, the end. score is the model's log10 probability of
     the text, base_score that of an add-half unigram model. Repeated rows are scored alike, and
-    count in training as often as they occur.
+    count in training as often as they occur. A word is warm from warm_share of the training words
+    on, by default an eighth of what a bucket holds on average.
     """
     spark = docs.sparkSession
-    docs = common.text_batches(docs).select(id_col, F.coalesce(F.col(train_col), F.lit(False)).alias(train_col), F.xxhash64(id_col, text_col).alias("key"), text_col)
-    parts = max(1, docs.rdd.getNumPartitions())
-    hot = frequent_words(docs.where(train_col), text_col)
-    rows = common.cut(coded(docs, hot, text_col), "codes")
+    docs = docs.select(id_col, F.coalesce(F.col(train_col), F.lit(False)).alias(train_col), F.xxhash64(id_col, text_col).alias("key"), text_col)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(4, 1 << max(0, -(-size // BUCKET_BYTES) - 1).bit_length())
+    share = min(HOT, max(LEAST_SHARE, 1 / (8 * buckets) if warm_share is None else warm_share))
+    words, counts, n_words = frequent_words(docs.where(train_col), text_col, share)
+    is_hot = counts >= HOT * n_words
+    hot, warm, warm_count = words[is_hot], words[~is_hot], counts[~is_hot]
+    rows = common.cut(coded(docs, hot, warm, warm_count, text_col), "codes")
     m = train(rows.where(train_col), hot, states, rounds)
-    buckets = max(4, 1 << (parts - 1).bit_length())
-    sums = common.cut(rare_sums(docs, hot, m.count, buckets, "key", train_col, text_col), "sums")
+    sums = common.cut(rare_sums(docs, hot, warm, m.count, buckets, "key", train_col, text_col), "sums")
     got = sums.where("key is null").agg(F.sum("base"), F.sum("known")).first()
-    kinds, once = (got[0] or 0.0, got[1] or 0.0)
+    kinds, once = (got[0] or 0.0) + len(warm), (got[1] or 0.0) + int((warm_count == 1).sum())
     hot_end = 1 + len(hot)
     n_train, n_rare = m.count.sum(), m.count[hot_end:].sum()
     vocab = kinds + (m.count[:hot_end] > 0).sum()
     unknown = min(0.5, max(once, 0.5) / max(n_rare, 1.0)) if n_rare else 0.5
-    sent = spark.sparkContext.broadcast(m)
+    sent = spark.sparkContext.broadcast(astuple(m))
     norm = math.log10(n_train + 0.5 * (vocab + 1))
 
     def run(batches):
-        m = sent.value
+        m = Model(*sent.value)
         base, known = np.log10(m.count + 0.5), (m.count > 0).astype(float)
         base[hot_end:] = known[hot_end:] = 0
+        base_of = np.log10(np.maximum(m.count, 1))
         for batch in batches:
             for part in slices(batch, "codes", 1 << 20):
                 off, code = code_arrays(part.column(2))
                 add_up = lambda v: np.add.reduceat(v[code], off[:-1])  # noqa: B023, E731  no text is without codes
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(add_up(base)), pa.array(add_up(known)), pa.array(np.add.reduceat((code >= hot_end).astype(np.int64), off[:-1])), pa.array(forward(m, off, code) / math.log(10))], [id_col, "key", "n_tokens", "b", "k", "n_rare", "f"])
+                warm_off, warm_code = code_arrays(part.column(3))
+                n_warm = np.diff(warm_off)
+                warm_sum = np.concatenate([[0], np.cumsum(base_of[warm_code])])
+                inside = np.asarray(part.column(5)) - (warm_sum[warm_off[1:]] - warm_sum[warm_off[:-1]])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(add_up(base) + np.asarray(part.column(4))), pa.array(add_up(known)), pa.array(n_warm), pa.array(inside), pa.array(np.add.reduceat((code >= hot_end).astype(np.int64), off[:-1])), pa.array(forward(m, off, code) / math.log(10))], [id_col, "key", "n_tokens", "b", "k", "n_warm", "warm_inside", "n_rare", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    own = rows.select(id_col, "key", "codes").mapInArrow(run, f"`{id_col}` {kind}, key long, n_tokens long, b double, k double, n_rare long, f double")
+    own = rows.select(id_col, "key", "codes", "warm_codes", "warm_base", "warm_log").mapInArrow(run, f"`{id_col}` {kind}, key long, n_tokens long, b double, k double, n_warm long, warm_inside double, n_rare long, f double")
     # rows of one key have one text, and each added its words to the key's sums
     same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     per_key = sums.where("key is not null").join(same, "key").select("key", *[(F.col(c) / F.col("times")).alias(c) for c in ("base", "known", "inside")])
-    all_ = own.join(per_key, "key", "left").na.fill(0.0, ["base", "known", "inside"])
-    rare_known, n_hot = F.round("known"), F.col("k")
+    all_ = common.skew_join(own, per_key, "key", common.hot_keys(rows, "key"), "left").na.fill(0.0, ["base", "known", "inside"])
+    rare_known, n_hot = F.round("known") + F.col("n_warm"), F.col("k")
     n_known = n_hot + rare_known
     return all_.select(
         F.col(id_col), "n_tokens", n_known.cast("long").alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("b") + F.col("base") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("f") + F.col("inside") + rare_known * math.log10(1 - unknown) + (F.col("n_rare") - rare_known) * math.log10(unknown)).alias("score"),
+        (F.col("f") + F.col("inside") + F.col("warm_inside") + rare_known * math.log10(1 - unknown) + (F.col("n_rare") - rare_known) * math.log10(unknown)).alias("score"),
     )

@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .textvec import buffers, mix, slices
 
 N = 4
@@ -59,7 +58,7 @@ def slots(ids: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class Model:
     langs: list[str]
-    masks: np.ndarray
+    masks: np.ndarray  # planes of 64 languages x slots
     chance: np.ndarray
 
 
@@ -79,10 +78,11 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share:
     all rows of a language that has no more than its part are in.
 
     An n-gram enters a language's filter if it occurs min_count times there and at least `share`
-    times as often, relative to size, as in the language where it is most frequent. At most 64
-    languages; rows with a null language, id or text are left out.
+    times as often, relative to size, as in the language where it is most frequent. Languages beyond
+    64 go to further planes of masks. Rows with a null language, id or text are left out; a sample
+    without any gives a model without languages. Repeated rows count as often as they occur.
     """
-    rows = text_batches(labelled).select(id_col, text_col, lang_col).where(f"`{lang_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
+    rows = labelled.select(id_col, text_col, lang_col).where(f"`{lang_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
     total = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(total.values()) > max_rows:
         part = parts(total, max_rows)
@@ -106,21 +106,19 @@ def fit(labelled: DataFrame, max_rows: int = 20_000, min_count: int = 3, share:
     counts = rows.select(text_col, lang_col).mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(f"n >= {min_count}")
     got = counts.toPandas()  # at most 2^ID_BITS n-grams a language
     langs = sorted(got["lang"].unique())
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
     freq = np.zeros((len(langs), 1 << ID_BITS))
     for k, lang in enumerate(langs):
         own = got[got["lang"] == lang]
         freq[k, own["gram"]] = own["n"]
     freq /= np.maximum(1, freq.sum(axis=1, keepdims=True))
-    masks = np.zeros(1 << SLOT_BITS, np.uint64)
+    masks = np.zeros((max(1, -(-len(langs) // 64)), 1 << SLOT_BITS), np.uint64)
     most = freq.max(axis=0) if langs else np.zeros(1 << ID_BITS)
     chance = np.zeros(len(langs))
     for k in range(len(langs)):
         ids = np.flatnonzero((freq[k] > 0) & (freq[k] >= share * most))
         for s in slots(ids):
-            masks[s] |= np.uint64(1 << k)
-        chance[k] = np.mean((masks >> np.uint64(k)) & np.uint64(1)) ** HASHES
+            masks[k // 64, s] |= np.uint64(1 << k % 64)
+        chance[k] = np.mean((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)) ** HASHES
     return Model(langs, masks, chance)
 
 
@@ -132,7 +130,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text none of whose n-grams is known goes to the first language with score 0; ties go to the
     first language by name. With carry, the result also has each whole row as the struct `row`.
     """
-    spark = text_batches(docs).sparkSession
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((np.array(model.masks, np.uint8 if len(model.langs) <= 8 else np.uint64), model.langs, model.chance))
 
     # carried columns go flat under names of their own: a slice of a nested Arrow column would be sent whole
@@ -146,12 +144,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 n = part.num_rows
                 ids, row = grams(part.column(text_at))
                 a, b, c = slots(ids)
-                hit = masks[a] & masks[b] & masks[c]
+                hits = [m[a] & m[b] & m[c] for m in masks]
                 ends = np.searchsorted(row, np.arange(n + 1))
                 size = np.diff(ends)
                 score = np.zeros((max(1, len(langs)), n))
                 for k in range(len(langs)):
-                    total = np.concatenate([[0], np.cumsum((hit >> hit.dtype.type(k)) & hit.dtype.type(1), dtype=np.int64)])
+                    total = np.concatenate([[0], np.cumsum((hits[k // 64] >> masks.dtype.type(k % 64)) & masks.dtype.type(1), dtype=np.int64)])
                     score[k] = np.maximum(0, (total[ends[1:]] - total[ends[:-1]] - size * chance[k]) / (1 - chance[k]))
                 best = score.argmax(axis=0)
                 top, all_ = score.max(axis=0), score.sum(axis=0)

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from . import chat, common, flac, hmm, jaccard, langid, mixing, packing, shards, templates, toxicity
 
 
-#: Path of the rank file for op6; a parameter of the operator.
+#: Path of the rank file for op6, on the driver; the session's setting spark.folioscope.vocabulary names another.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +29,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_case=True)
+    return templates.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), spark.conf.get("spark.folioscope.vocabulary", VOCABULARY))
 
 
 def op7_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
-    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))  # heavy: a parameter of the operator
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_language_id, op6_packing, op7_hmm, op8_chat_format, op9_flac, op10_kd_shards)}

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_batches
 from .textvec import Words, mix, slices
 
 WINDOW, STRIDE = 32, 16
@@ -233,26 +232,36 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, batch: int = 3
     return p
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, tuple[int, int]]:
-    """At most about max_rows labelled texts, half of each label where there are enough, by a hash of the id; and how many labels 0 and 1 there are in all."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list, tuple[int, int]]:
+    """At most about max_rows labelled texts, half of each label where there are enough, by a hash of the id; and how many labels 0 and 1 there are in all.
+
+    Texts are whole; in the order of the hash, those after max_bytes / 2 of a label's texts are left out.
+    """
     own = labels.select(id_col, F.col(label_col).alias("y")).where("y in (0, 1)").dropDuplicates([id_col])
     n = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = F.pmod(F.xxhash64(id_col, F.lit(9)), F.lit(1 << 20))
     cap = lambda y: min(1 << 20, int(max_rows / 2 / max(1, n.get(y, 0)) * (1 << 20)))
     own = own.where(part < F.when(F.col("y") == 1, F.lit(cap(1))).otherwise(F.lit(cap(0))))
     rows = docs.select(id_col, text_col).join(F.broadcast(own), id_col)  # about max_rows labels
+    size = F.sum(F.coalesce(F.octet_length(text_col), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64(id_col, F.lit(9)), id_col).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select(id_col, text_col, "y", size.alias("_held")).where(F.col("_held") <= max_bytes / 2)
     return rows.orderBy(id_col).collect(), (n.get(0, 0), n.get(1, 0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> dict:
-    """A network trained on a bounded sample: max_rows labelled rows in expectation."""
-    rows, counts = labelled_sample(docs, labels, max_rows, id_col, text_col, label_col)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2400, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> dict:
+    """A network trained on a bounded sample: max_rows labelled rows in expectation, of max_bytes of text at most.
+
+    Null and empty texts train nothing, but their labels count in the rates. Labels other than 0 and
+    1 and labels of no document are left out; of repeated labels of an id one counts. Without any label
+    the network stays as it was started.
+    """
+    rows, counts = labelled_sample(docs, labels, max_rows, max_bytes, id_col, text_col, label_col)
     return train([r[text_col] for r in rows], np.array([r["y"] for r in rows]), counts=counts, **kw)
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_windows) of every whole text; null and empty texts get the rate of all labels."""
-    sent = text_batches(docs).sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         p = sent.value
