@@ -7,13 +7,13 @@ shuffled. A segment tree over capacities finds the fullest row that still has ro
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_batches
 from .textvec import slices
 
 #: Fixed value: the pattern that splits text for the byte-level vocabulary.
@@ -92,19 +92,21 @@ def pack(tokens: list[np.ndarray], length: int, pad: int, kind) -> tuple[np.ndar
     return out, [[own[i] for i in r] for r in rows], [[piece[i] for i in r] for r in rows], cum
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
+def load_ranks(path: str) -> tuple[str, dict[bytes, int]]:
+    """A digest of the rank file, and its ranks."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        data = f.read()
+    return hashlib.sha256(data).hexdigest(), {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-def tokenizer(ranks: dict[bytes, int]):
-    """A tiktoken encoder, kept for the life of a Python worker."""
+def tokenizer(digest: str, ranks: dict[bytes, int]):
+    """A tiktoken encoder, kept by its file's digest for the life of a Python worker."""
     import tiktoken
 
-    held = vars(tiktoken).setdefault("_encoders_by_size", {})
-    if len(ranks) not in held:
-        held[len(ranks)] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return held[len(ranks)]
+    held = vars(tiktoken).setdefault("_encoders_by_digest", {})
+    if digest not in held:
+        held[digest] = tiktoken.Encoding(digest, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return held[digest]
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = 50256, pad_id: int = 50256, pool_tokens: int = POOL_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,15 +116,15 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
     after n_tokens. cu_seqlens: cumulative segment lengths from 0; position ids restart at 0 at each
     of position_resets. ids and pieces name each segment's text and which piece of it it is, so
     texts can be put together again without loss. Each text ends with end_id; null and empty texts
-    are that token alone. vocabulary: path of a rank file, read on the driver only. Repeated rows
-    are packed as often as they occur.
+    are that token alone. vocabulary: path of a rank file, read on the driver only; its ranks are broadcast,
+    and executors need tiktoken. Repeated rows and ids are packed as often as they occur.
     """
-    ranks = load_ranks(vocabulary)
+    digest, ranks = load_ranks(vocabulary)
     kind = np.dtype("<u2") if max(len(ranks), end_id + 1, pad_id + 1) <= 1 << 16 else np.dtype("<u4")
-    sent = text_batches(docs).sparkSession.sparkContext.broadcast(ranks)
+    sent = docs.sparkSession.sparkContext.broadcast((digest, ranks))
 
     def run(batches):
-        encode = tokenizer(sent.value).encode_ordinary
+        encode = tokenizer(*sent.value).encode_ordinary
         part_id = (TaskContext.get() and TaskContext.get().partitionId()) or 0
         ids, tokens, held, pool = [], [], 0, 0
 
