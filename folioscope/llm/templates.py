@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_hash
 from .textvec import Words, mix, slices, windows
 
 #: Unit words that become <unit>.
@@ -157,7 +157,7 @@ def align(item_at, item_no, shift, total: int, k: int, coverage: float) -> list[
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000, any_case: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literals: int = 4, coverage: float = 0.5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", max_broadcast: int = 4_000_000, any_case: bool = True, with_hash: bool = False) -> DataFrame:
     """(id, item, n_windows, coverage, n_slots, n_changed) of the rows that hold an item.
 
     A row holds an item if, in one alignment, at least `coverage` of the item's template windows of
@@ -165,13 +165,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literal
     value in the row. An alignment may change its shift at words put in or left out; see `align`.
     n_changed counts slots whose value differs: 0 is a copy, more a re-parameterised question. With
     any_case, the readings PLAIN and CAPITAL are tried besides CASED, so copies in another case and
-    renamed sentence openers are found. An item of fewer than k tokens is one window; one with no
+    renamed sentence openers are found; without, only CASED. An item of fewer than k tokens is one window; one with no
     window of min_literals literals must occur word for word; one of fewer than min_literals words
-    matches nothing, and null and empty texts hold nothing. The windows of the benchmark are
+    matches nothing, and null and empty texts hold nothing. Repeated rows and items give what one gives;
+    texts that share an id are judged each for itself, and the id gets the best. with_hash adds
+    text_hash, so that rows whose id is null or not their own can be told apart. The windows of the benchmark are
     broadcast if they are at most max_broadcast, else joined by a shuffle; rows are pre-filtered by
     a Bloom filter of fixed size either way.
     """
     readings = (CASED, PLAIN, CAPITAL) if any_case else (CASED,)
+    benchmark = benchmark.select(item_col, text_col).distinct().select(item_col, text_col, text_hash(text_col).alias("item_hash"))
 
     def item_rows(batches):
         for batch in batches:
@@ -191,17 +194,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literal
                         total = np.bincount(row, minlength=part.num_rows)
                         no = np.arange(len(row)) - (np.cumsum(total) - total)[row]
                         ints = [np.full(len(at), reading), np.full(len(at), n), at - start[row], no, total[row]]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(hs.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in ints), *slot_columns(at, kind, value, n)], [item_col, "hash", "reading", "width", "item_at", "item_no", "item_windows", "item_kinds", "item_values"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(hs.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in ints), *slot_columns(at, kind, value, n)], [item_col, "item_hash", "hash", "reading", "width", "item_at", "item_no", "item_windows", "item_kinds", "item_values"])
 
     def slot_columns(at, kind, h, k):
         span = at[:, None] + np.arange(k)
         return [pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(at), [None, pa.py_buffer(np.ascontiguousarray(kind[span]))]).cast(pa.binary()), pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * k), len(at), [None, pa.py_buffer(np.ascontiguousarray(h[span]))]).cast(pa.binary())]
 
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    items = benchmark.select(item_col, text_col).mapInArrow(item_rows, f"`{item_col}` {item_kind}, hash long, reading int, width int, item_at int, item_no int, item_windows int, item_kinds binary, item_values binary")
+    items = benchmark.mapInArrow(item_rows, f"`{item_col}` {item_kind}, item_hash long, hash long, reading int, width int, item_at int, item_no int, item_windows int, item_kinds binary, item_values binary")
     shapes = {(r["reading"], r["width"]): r["n"] for r in items.groupBy("reading", "width").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_items = sum(shapes.values())
-    spark = text_batches(docs).sparkSession
+    spark = docs.sparkSession
     bits = items.select(F.shiftrightunsigned("hash", 64 - BLOOM_BITS).cast("int").alias("b")).distinct().toPandas()["b"].to_numpy()  # at most 2^BLOOM_BITS
     bloom = np.zeros(1 << BLOOM_BITS, bool)
     bloom[bits] = True
@@ -221,16 +224,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literal
                         live = np.flatnonzero(has[(hs >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)])
                         hs, at = hs[live], at[live]
                         row = doc[at]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(hs.view(np.int64)), pa.array((at - start[row]).astype(np.int32)), slot_columns(at, kind, value, n)[1]], [id_col, "hash", "doc_at", "doc_values"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(hs.view(np.int64)), pa.array((at - start[row]).astype(np.int32)), slot_columns(at, kind, value, n)[1]], [id_col, "text_hash", "hash", "doc_at", "doc_values"])
 
     doc_kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(id_col, text_col).mapInArrow(doc_rows, f"`{id_col}` {doc_kind}, hash long, doc_at int, doc_values binary")
-    pairs = found.join(F.broadcast(items) if n_items <= max_broadcast else items, "hash")
+    found = docs.select(id_col, text_col, text_hash(text_col).alias("text_hash")).mapInArrow(doc_rows, f"`{id_col}` {doc_kind}, text_hash long, hash long, doc_at int, doc_values binary")
+    # distinct: a repeated row is no more evidence than one, and no group grows with its copies
+    pairs = found.join(F.broadcast(items) if n_items <= max_broadcast else items, "hash").distinct()
     # alignments stay in one of overlapping ranges of shifts, so a group is bounded by the item's size
     shift = F.col("doc_at") - F.col("item_at")
     span = F.greatest(F.lit(2 * EDIT), F.floor(F.col("item_windows") / 4))
     pairs = pairs.withColumn("shift", shift).withColumn("range", F.explode(F.array(F.floor(F.col("shift") / span), F.floor(F.col("shift") / span) - 1)))
-    by = [id_col, item_col, "reading", "width", "range"]
+    by = [id_col, "text_hash", item_col, "item_hash", "reading", "width", "range"]
 
     @F.pandas_udf("struct<coverage:double,windows:int,slots:int,changed:int>")
     def slots(totals: pd.Series, widths: pd.Series, ats: pd.Series, nos: pd.Series, shifts: pd.Series, kinds: pd.Series, item_values: pd.Series, doc_values: pd.Series) -> pd.DataFrame:
@@ -258,4 +262,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, min_literal
     grouped = grouped.where(F.col("n") * (k + EDIT) >= F.col("item_windows") * coverage)
     checked = grouped.withColumn("c", slots("item_windows", "width", *(F.col(f"p.{c}") for c in ("item_at", "item_no", "shift", "item_kinds", "item_values", "doc_values")))).where("c.coverage is not null")
     best = F.max(F.struct("c.coverage", F.col("c.windows").alias("n_windows"), F.col("c.slots").alias("n_slots"), F.col("c.changed").alias("n_changed"))).alias("x")
-    return checked.groupBy(id_col, item_col).agg(best).select(id_col, item_col, F.col("x.n_windows").cast("long").alias("n_windows"), "x.coverage", "x.n_slots", "x.n_changed")
+    own = [id_col, *["text_hash"] * with_hash, item_col]
+    return checked.groupBy(*own).agg(best).select(*own, F.col("x.n_windows").cast("long").alias("n_windows"), "x.coverage", "x.n_slots", "x.n_changed")
