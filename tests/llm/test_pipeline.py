@@ -71,7 +71,7 @@ def test_stages_keep_and_drop_what_they_should(spark, corpus):
 def test_run_and_empty_tables(spark, corpus, tmp_path):
     d, docs, _ = corpus
     got = corpus_pipeline.run(spark, d)
-    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and got.count() > 0.8 * len(docs)
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "divided"] and got.count() > 0.8 * len(docs)
     e = str(tmp_path)
     spark.createDataFrame([], KIND).write.parquet(f"{e}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{e}/benchmark.parquet")
@@ -88,3 +88,49 @@ def test_op8_same_as_sql(spark):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert sorted(map(tuple, got[cols].astype(str).values.tolist())) == sorted(map(tuple, want[cols].astype(str).values.tolist()))
+
+
+def frame(spark, rows):
+    """documents with columns whose names the stages use themselves."""
+    kind = KIND + ", _id string, _hash long, _drop boolean, _times int, n long, times int, root long, key long, text_hash long, s string, block int, row string, lang_pred string"
+    return spark.createDataFrame([(*r, "i", 1, True, 5, 6, 7, 8, 9, 10, "s", 11, "r", "p") for r in rows], kind)
+
+
+def test_stages_with_null_and_repeated_ids_and_clashing_columns(spark, corpus):
+    d, docs, _ = corpus
+    prose = [r[1] for r in docs[:60]]
+    copy = " ".join(prose[:4])
+    leak = f"{prose[9]} {spark.read.parquet(f'{d}/benchmark.parquet').first()['text']} {prose[11]}"
+    rows = [(i, t, "en", "big" if i % 3 else None, 1) for i, t in enumerate(prose[20:60])]
+    rows += [(1000, copy, "en", "big", 1), (1000, copy, "en", "big", 1), (None, copy, "en", "small", 1), (1001, copy + " tail", "en", "big", 1), (1002, copy, "en", "big", 1)]
+    rows += [(7, leak, "en", "big", 1), (None, leak, "en", "big", 1)]  # doc_id 7 also has a clean text
+    rows += [(None, prose[0], "en", "big", 1), (None, prose[1], "en", "big", 1), (2000, None, "en", "big", 1), (None, "", "en", "big", 1), (None, "", "en", "big", 1)]
+    df = frame(spark, rows)
+    kept = near = corpus_pipeline.near_duplicates(spark, df, d)
+    assert near.columns == df.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    texts = [r[1] for r in rows]
+    groups = brute_components(texts, 5, 80)
+    best = {}
+    for k, (n, root) in groups.items():
+        if n:
+            order = (rows[k][0] is None, rows[k][0] or 0)
+            best[root] = min(best.get(root, (order, k)), (order, k))
+    want = Counter((rows[k][0], rows[k][1]) for _, k in best.values()) + Counter((r[0], r[1]) for r in rows if not (r[1] or "").strip())
+    assert got == want and got[(1000, copy)] == 1 and got[(None, "")] == 2 and got[(7, leak)] + got[(None, leak)] == 1
+    clean = corpus_pipeline.decontaminate(spark, df, d)
+    assert clean.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((r[0], r[1]) for r in rows if r[1] != leak)
+    mixed = corpus_pipeline.mixture(spark, df, d)
+    times = Counter((r["doc_id"], r["text"]) for r in mixed.collect())
+    once = Counter((r[0], r[1]) for r in rows)
+    assert mixed.columns == df.columns and all(once[k] <= times[k] <= 2 * once[k] for k in once) and set(times) == set(once)
+    lettered = corpus_pipeline.language(spark, df, d)
+    assert lettered.columns == df.columns and not lettered.where("text is null or text = ''").count()
+    assert corpus_pipeline.shard(spark, df, d).count() == len(rows)
+
+
+def test_stages_of_an_empty_table(spark, corpus):
+    df = frame(spark, [])
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, df, corpus[0]).columns == df.columns and stage(spark, df, corpus[0]).count() == 0
+    assert corpus_pipeline.shard(spark, df, corpus[0]).count() == 0
