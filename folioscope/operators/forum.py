@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators.rules import THEMES, resolve_theme
+from folioscope.sources.scratch import cut
 
 #: Page sizes, preview length and the targets of the latency report.
 MOST_ROWS, PAGE, POSTS_PAGE, PREVIEW = 100, 25, 50, 280
@@ -116,12 +117,17 @@ def reply_counts(events: DataFrame, count_deleted: bool = True) -> DataFrame:
     return rows.groupBy("thread_id").agg(F.greatest(F.lit(0), F.sum(step)).cast("long").alias("reply_count"))
 
 
+def apply_scores(rows: DataFrame, votes: DataFrame, target_type: str) -> DataFrame:
+    """Threads or posts with their score computed anew from the votes on that type; 0 without any."""
+    s = score_from_votes(votes.where(F.col("target_type") == target_type)).select(F.col("target_id").alias("id"), F.col("score").alias("_s"))
+    return rows.join(s, "id", "left").withColumn("score", F.coalesce("_s", F.lit(0))).drop("_s")
+
+
 def apply_counters(threads: DataFrame, votes: DataFrame, post_events: DataFrame) -> DataFrame:
     """threads with score and reply_count computed anew; 0 without any."""
-    s = score_from_votes(votes.where("target_type = 'thread'")).select(F.col("target_id").alias("id"), F.col("score").alias("_s"))
     r = reply_counts(post_events).select(F.col("thread_id").alias("id"), F.col("reply_count").alias("_r"))
-    rows = threads.join(s, "id", "left").join(r, "id", "left")
-    return rows.withColumn("score", F.coalesce("_s", F.lit(0))).withColumn("reply_count", F.coalesce("_r", F.lit(0))).drop("_s", "_r")
+    rows = apply_scores(threads, votes, "thread").join(r, "id", "left")
+    return rows.withColumn("reply_count", F.coalesce("_r", F.lit(0))).drop("_r")
 
 
 def validate_writes(attempts: DataFrame, threads: DataFrame) -> DataFrame:
@@ -157,10 +163,31 @@ def apply_moderation(rows: DataFrame, actions: DataFrame, moderators: DataFrame)
     return rows.join(hits, "id", "left").withColumn("is_deleted", F.col("is_deleted") | F.col("_hit").isNotNull()).drop("_hit")
 
 
+def nearest_ranks(samples: DataFrame, percents: tuple[int, ...] = (95, 99)) -> DataFrame:
+    """(name, p<percent>...) of samples (name, ms): exact percentiles by nearest rank.
+
+    Counts by whole milliseconds place each rank in one millisecond; only its values are then
+    counted. So a task has a name's milliseconds, or the values of one of them, and not its samples.
+    """
+    rows = samples.where("ms is not null").select("name", "ms", F.floor("ms").alias("whole"))
+    upto = Window.partitionBy("name").orderBy("whole")
+    counts = rows.groupBy("name", "whole").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("name")))
+    ranks = counts.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("rank", F.ceil(F.col("n") * F.col("percent") / F.lit(100)))
+    ranks = ranks.where("rank > upto - c and rank <= upto").select("name", "whole", "percent", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    values = rows.join(ranks, ["name", "whole"]).groupBy("name", "percent", "rank", "ms").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy("name", "percent").orderBy("ms"))).where("rank > upto - c and rank <= upto")
+    return values.groupBy("name").agg(*[F.max(F.when(F.col("percent") == p, F.col("ms"))).alias(f"p{p}") for p in percents])
+
+
 def latency_report(samples: DataFrame, slo: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """(name, n, errors, p95, p99, slo_p95, slo_p99, failed); percentiles by nearest rank over successes, 0 without any."""
-    pct = lambda p: F.expr(f"percentile_approx(CASE WHEN ok THEN ms END, {p}, 10000)" if approximate else f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN ok THEN ms END)")
-    rows = samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.coalesce(pct(0.95), F.lit(0.0)).alias("p95"), F.coalesce(pct(0.99), F.lit(0.0)).alias("p99"))
+    rows = samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("errors"))
+    if approximate:
+        pct = lambda p: F.percentile_approx("ms", p / 100, 10000).alias(f"p{p}")
+        ranks = samples.where("ok").groupBy("name").agg(pct(95), pct(99))
+    else:
+        ranks = nearest_ranks(samples.where("ok").select("name", "ms"))
+    rows = rows.join(ranks, "name", "left").na.fill(0.0, ["p95", "p99"])
     if slo is None:
         slo = samples.sparkSession.createDataFrame([(k, *v) for k, v in SLO.items()], "name string, p95_ms double, p99_ms double")
     rows = rows.join(F.broadcast(slo), "name", "left").withColumn("slo_p95", F.coalesce("p95_ms", F.lit(DEFAULT_SLO[0]))).withColumn("slo_p99", F.coalesce("p99_ms", F.lit(DEFAULT_SLO[1]))).drop("p95_ms", "p99_ms")
@@ -184,18 +211,26 @@ def brief_section_counts(threads: DataFrame, mapping: dict[str, str], column: st
     return m.join(theme_counts(threads, column), "theme", "left").select("section_id", "theme", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def post_tree(posts: DataFrame, max_depth: int = 100, indent: int = 4) -> DataFrame:
-    """posts (id, parent_id) with root_id, depth, path of ids and indent (capped); orphans are roots.
+def post_tree(posts: DataFrame, indent: int = 4, with_path: bool = True) -> DataFrame:
+    """(id, root_id, depth, path, indent) of posts (id, parent_id): path of ids from the root, indent capped; orphans are roots.
 
-    A recursive query, one join a level; posts on a cycle or deeper than max_depth have no root and
-    are left out.
+    Pointers to ancestors double each round, so a tree of any depth takes log2(depth) joins, and
+    every round is written to the shared folder. Posts on or below a cycle have no root and are left
+    out. Paths of a chain grow with the square of its depth; with_path=False leaves them out.
     """
-    name = f"_posts_{id(posts)}"
-    posts.createOrReplaceTempView(name)
     kind = posts.schema["id"].dataType.simpleString()
-    return posts.sparkSession.sql(f"""
-        WITH RECURSIVE tree(id, root_id, depth, path) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT p.id, p.id, 0, CAST(array(p.id) AS array<{kind}>) FROM {name} p LEFT ANTI JOIN {name} q ON p.parent_id = q.id
-          UNION ALL
-          SELECT p.id, t.root_id, t.depth + 1, concat(t.path, array(p.id)) FROM {name} p JOIN tree t ON p.parent_id = t.id
-        ) SELECT id, root_id, depth, path, least(depth, {indent}) AS indent FROM tree""")
+    there = posts.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
+    rows = posts.select("id", "parent_id").join(there, "parent_id", "left")
+    up = F.col("_there").isNotNull()
+    # to: an ancestor, depth: steps to it, done: whether it is the root, path: ids from below it to here
+    path = (F.when(up, F.array("id")).otherwise(F.array()) if with_path else F.array()).cast(f"array<{kind}>")
+    state = cut(rows.select("id", F.when(up, F.col("parent_id")).otherwise(F.col("id")).alias("to"), up.cast("long").alias("depth"), (~up).alias("done"), path.alias("path")), "tree")
+    n = state.count()
+    for _ in range(n.bit_length() + 1):
+        if state.where("not done").isEmpty():
+            break
+        above = state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("depth").alias("_depth"), F.col("done").alias("_done"), F.col("path").alias("_path"))
+        moved = state.where("not done").join(above, "to").select("id", F.col("_to").alias("to"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"), F.concat("_path", "path").alias("path"))
+        state = cut(state.where("done").unionByName(moved.where(F.col("depth") <= n)), "tree")
+    out = state.where("done").select("id", F.col("to").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.concat(F.array("to"), "path").alias("path"), F.least("depth", F.lit(indent)).cast("int").alias("indent"))
+    return out if with_path else out.drop("path")

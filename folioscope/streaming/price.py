@@ -20,20 +20,38 @@ def parse_mids(messages: DataFrame, coin: str, ts: str = "ts", value: str = "val
     return rows.where(F.col("price").isNotNull() & ~F.isnan("price") & (F.abs("price") < float("inf")))
 
 
+def neighbours(ticks: DataFrame, value: str, key: str, ts: str, tie: list[str]) -> DataFrame:
+    """ticks with _before and _after: the value of the tick before and after in a key's time order.
+
+    Windows are a key's hours, so a busy key is many tasks; borders are carried by a window over one
+    row an hour.
+    """
+    order = [ts, *tie]
+    hour = F.floor(F.col(ts).cast("timestamp").cast("double") / 3600)
+    rows = ticks.withColumn("_hour", hour)
+    at = F.struct(*order)
+    edges = rows.groupBy(key, "_hour").agg(F.max_by(value, at).alias("_last"), F.min_by(value, at).alias("_first"))
+    by_hour, inside = Window.partitionBy(key).orderBy("_hour"), Window.partitionBy(key, "_hour").orderBy(*order)
+    edges = edges.select(key, "_hour", F.lag("_last").over(by_hour).alias("_prev"), F.lead("_first").over(by_hour).alias("_next"))
+    rows = rows.withColumns({"_in": F.row_number().over(inside), "_b": F.lag(value).over(inside), "_a": F.lead(value).over(inside), "_end": F.lead(F.lit(True)).over(inside).isNull()})
+    rows = rows.join(edges, [key, "_hour"])
+    rows = rows.withColumn("_before", F.when(F.col("_in") == 1, F.col("_prev")).otherwise(F.col("_b"))).withColumn("_after", F.when(F.col("_end"), F.col("_next")).otherwise(F.col("_a")))
+    return rows.drop("_hour", "_in", "_b", "_a", "_end", "_prev", "_next")
+
+
 def tick_direction(ticks: DataFrame, key: str = "coin", ts: str = "ts", price: str = "price", tie: str | None = None) -> DataFrame:
     """ticks with direction against the tick before: up, down or flat; the first is flat. Batch."""
-    before = F.lag(price).over(Window.partitionBy(key).orderBy(ts, *([tie] if tie else [])))
-    return ticks.withColumn("direction", F.when(F.col(price) > before, "up").when(F.col(price) < before, "down").otherwise("flat"))
+    rows = neighbours(ticks, price, key, ts, [tie] if tie else [])
+    before = F.col("_before")
+    return rows.withColumn("direction", F.when(F.col(price) > before, "up").when(F.col(price) < before, "down").otherwise("flat")).drop("_before", "_after")
 
 
 def staleness(ticks: DataFrame, until, seconds: float = STALE_SECONDS, key: str = "coin", ts: str = "ts") -> DataFrame:
     """(key, at, status): `live` at the first tick and after a gap, `stale` `seconds` after a tick that no other followed by then (judged up to `until`). Batch."""
-    w = Window.partitionBy(key).orderBy(ts)
-    t = F.col(ts).cast("timestamp")
-    rows = ticks.select(key, t.alias("t"), F.lag(t).over(w).alias("before"), F.lead(t).over(w).alias("after"))
+    rows = neighbours(ticks.select(key, F.col(ts).cast("timestamp").alias("t")), "t", key, "t", [])
     sec = lambda c: c.cast("double")
-    live = F.when(F.col("before").isNull() | (sec(F.col("t")) - sec(F.col("before")) > seconds), F.struct(F.col("t").alias("at"), F.lit("live").alias("status")))
-    next_ = F.coalesce(F.col("after"), F.lit(until).cast("timestamp"))
+    live = F.when(F.col("_before").isNull() | (sec(F.col("t")) - sec(F.col("_before")) > seconds), F.struct(F.col("t").alias("at"), F.lit("live").alias("status")))
+    next_ = F.coalesce(F.col("_after"), F.lit(until).cast("timestamp"))
     stale = F.when(sec(next_) - sec(F.col("t")) > seconds, F.struct((F.col("t") + F.make_interval(secs=F.lit(seconds))).alias("at"), F.lit("stale").alias("status")))
     return rows.select(key, F.explode(F.array_compact(F.array(live, stale))).alias("x")).select(key, "x.*")
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.sources.scratch import shared_dir
+
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that spark.checkpoint.dir names; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below the one that spark.checkpoint.dir names."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, path: str | None = None) -> DataFrame:

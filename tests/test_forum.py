@@ -56,6 +56,39 @@ def test_tree_with_orphans_and_depth(spark):
     assert got[6] == (1, 5, 4, [1, 2, 3, 4, 5, 6]) and got[7] == (7, 0, 0, [7]) and 8 not in got
 
 
+def test_tree_of_a_deep_chain_and_a_wide_root(spark):
+    """Chains of 5,000 and 105 posts, 2,000,000 replies to one post, a cycle with a tail, in few joins."""
+    from pyspark.sql import functions as F
+
+    chain = spark.range(5000).select("id", (F.col("id") - 1).alias("parent_id"))
+    wide = spark.range(10_000, 2_010_000).select("id", F.lit(0).cast("long").alias("parent_id"))
+    other = spark.createDataFrame([(6000, 6001), (6001, 6000), (6002, 6001), (6003, None)], "id long, parent_id long")
+    got = O.post_tree(chain.union(wide).union(other), with_path=False)
+    assert got.count() == 2_005_001 and got.agg(F.max("depth")).first()[0] == 4999
+    assert got.where("id = 4999").first()[:2] == (4999, 0) and got.where("id between 6000 and 6002").isEmpty()
+    assert got.where("depth = 1").count() == 2_000_001
+    path = O.post_tree(spark.range(105).select("id", (F.col("id") - 1).alias("parent_id"))).where("id = 104").first()
+    assert path["path"] == list(range(105)) and path["indent"] == 4
+    assert O.post_tree(spark.createDataFrame([], "id long, parent_id long")).count() == 0
+
+
+def test_nearest_ranks_against_sorting(spark):
+    import math
+    import random
+
+    g = random.Random(3)
+    rows = [(n, round(g.expovariate(0.02), g.randint(0, 2))) for n in "abc" for _ in range({"a": 1, "b": 777, "c": 40}[n])] + [("d", None)]
+    got = {r["name"]: (r["p95"], r["p99"]) for r in O.nearest_ranks(spark.createDataFrame(rows, "name string, ms double")).collect()}
+    want = {n: tuple(sorted(v)[math.ceil(p / 100 * len(v)) - 1] for p in (95, 99)) for n in "abc" for v in [[m for k, m in rows if k == n]]}
+    assert got == want
+
+
+def test_post_scores(spark):
+    votes = spark.createDataFrame([(1, at(0), "u", "post", "p1", 1), (2, at(1), "u", "post", "p1", -1), (3, at(0), "v", "thread", "p1", 1), (4, at(0), "w", "post", "p2", 1)], "event_id long, ts timestamp, user_id string, target_type string, target_id string, value int")
+    got = {r["id"]: r["score"] for r in O.apply_scores(spark.createDataFrame([("p1",), ("p2",), ("p3",)], "id string"), votes, "post").collect()}
+    assert got == {"p1": -1, "p2": 1, "p3": 0}
+
+
 def test_latency(spark):
     rows = [("read:posts", float(i), True) for i in range(1, 101)] + [("write:vote", 10.0, False), ("read:threads", 301.0, True)]
     got = {r["name"]: r for r in O.latency_report(spark.createDataFrame(rows, "name string, ms double, ok boolean")).collect()}

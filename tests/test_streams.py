@@ -36,6 +36,20 @@ def test_direction_and_staleness(spark):
     assert got == [(0, "live"), (40.0, "stale"), (40.001, "live"), (61.0, "stale")]
 
 
+def test_direction_over_hours(spark):
+    """Neighbours in other hours, hours without ticks, and ties."""
+    import random
+
+    g = random.Random(1)
+    rows = [(c, T0 + dt.timedelta(seconds=g.choice([0, 5, 3599, 3600, 9000, 90000]) + g.randint(0, 2)), i, float(g.randint(0, 3))) for i, c in enumerate("abc" * 40)]
+    got = {r["i"]: r["direction"] for r in price.tick_direction(spark.createDataFrame(rows, "coin string, ts timestamp, i int, price double"), tie="i").collect()}
+    for c in "abc":
+        own = sorted((t, i, p) for k, t, i, p in rows if k == c)
+        for (_, _, b), (_, i, p) in zip([(0, 0, own[0][2]), *own], own, strict=False):
+            assert got[i] == ("up" if p > b else "down" if p < b else "flat")
+    assert len(got) == len(rows)
+
+
 def test_direction_stream_equals_batch(spark, tmp_path):
     rows = [("c", T0 + dt.timedelta(seconds=s), float(p)) for s, p in ((0, 1), (1, 3), (2, 2), (3, 2))]
     s = stream(spark, str(tmp_path), rows[:2], rows[2:], schema="coin string, ts timestamp, price double")
