@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.sources.scratch import bounded
 
 #: How far a quote reaches around its needle.
 LEAD, REACH = 140, 760
@@ -69,16 +70,22 @@ def citations(cards: DataFrame, chunks: DataFrame) -> DataFrame:
     return cited.join(chunks.select(F.col("id").alias("chunk_id"), "source_url"), "chunk_id").select("id", "cite_pos", "chunk_id", "section_id", "source_url", "quote")
 
 
+def cited_chunks(chunks: DataFrame, cited: DataFrame) -> DataFrame:
+    """The chunks whose id is in cited (chunk_id), found before any of their text is worked on or shuffled."""
+    return chunks.join(bounded(cited.select(F.col("chunk_id").alias("id")).distinct()), "id", "left_semi")
+
+
 def verify_quotes(records: DataFrame, chunks: DataFrame, mode: str = "exact", severity: str = "error") -> DataFrame:
     """(severity, check, id, chunk_id) of citations that fail.
 
     records: id, source_chunk_ids, source_quote. A missing chunk is an error; a quote outside its
     chunk has the given severity. exact compares normalised white space and passes empty quotes,
-    signature compares letters and digits. Equal (chunk, quote) pairs are checked once.
+    signature compares letters and digits. Equal (chunk, quote) pairs are checked once, and only
+    chunks that are cited are read on.
     """
     cited = records.select("id", F.explode("source_chunk_ids").alias("chunk_id"), "source_quote").distinct()
     pairs = cited.select("chunk_id", "source_quote").distinct()
-    there = chunks.select(F.col("id").alias("chunk_id"), (T.norm_ws(F.col("text")) if mode == "exact" else T.alnum_signature(F.col("text"))).alias("have"))
+    there = cited_chunks(chunks, pairs.select("chunk_id")).select(F.col("id").alias("chunk_id"), (T.norm_ws(F.col("text")) if mode == "exact" else T.alnum_signature(F.col("text"))).alias("have"))
     want = T.norm_ws(F.col("source_quote")) if mode == "exact" else T.alnum_signature(F.col("source_quote"))
     checked = pairs.join(there, "chunk_id", "left").select("chunk_id", "source_quote", F.when(F.col("have").isNull(), "missing_chunk").when(~F.col("have").contains(F.coalesce(want, F.lit(""))), "bad_quote").alias("check"))
     bad = checked.where("check is not null").select(F.col("chunk_id").alias("_c"), F.col("source_quote").alias("_q"), "check")
@@ -92,7 +99,7 @@ def evidence_gate(drafts: DataFrame, chunks: DataFrame, policy: DataFrame, weak_
     policy: topic, allowed_titles; a draft's own allowed_titles and required_terms come first. A
     missing chunk is the only reason given where it holds; other reasons add up, in order.
     """
-    there = chunks.select(F.col("id").alias("chunk_id"), F.col("section_id").alias("source_section_id"), F.col("title").alias("chunk_title"), F.col("text").alias("chunk_text"))
+    there = cited_chunks(chunks, drafts).select(F.col("id").alias("chunk_id"), F.col("section_id").alias("source_section_id"), F.col("title").alias("chunk_title"), F.col("text").alias("chunk_text"))
     rows = drafts.join(there, "chunk_id", "left").join(F.broadcast(policy.withColumnRenamed("allowed_titles", "_allowed")), "topic", "left")
     rows = rows.withColumn("id", T.stable_id("evidence", F.col("topic"), F.col("title"))).withColumn("source_quote", quote_window(F.col("chunk_text"), F.col("quote_needle")))
     key = T.norm_title(F.col("chunk_title"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.sources.scratch import bounded
 
 #: Theme keys, and patterns that give old section ids their theme, in this order.
 THEMES = ("business", "financials", "risks", "governance", "offering")
@@ -45,14 +46,16 @@ def keyword_candidates(chunks: DataFrame, rules: list[dict], doc: str = "documen
     """(doc, rule_pos, n, label, category, chunk id, value_text, source_quote): each document's first k chunks for each rule.
 
     rules: dicts with label, category, pattern and k, in order. All rules are tried in one pass;
-    only hits go to the window, as ids and positions, and their text is cut to what is returned.
+    ids and positions of hits go to the window, whose limit is the largest k so that it holds before
+    the shuffle, and the text is joined to those that stay. chunk ids are unique in a document.
     """
     hits = F.filter(F.array(*[F.when(T.has(F.col(text), "(?i)" + r["pattern"]), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    rows = chunks.withColumn("rule_pos", F.explode(hits))
-    rows = rows.select(doc, pos, chunk_id, "rule_pos", T.excerpt(F.col(text), 450).alias("value_text"), F.substring(T.norm_ws(F.col(text)), 1, 700).alias("source_quote"))
     pick = lambda key: F.element_at(F.array(*[F.lit(r[key]) for r in rules]), F.col("rule_pos") + 1)
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(doc, "rule_pos").orderBy(pos))).where(F.col("n") <= pick("k"))
-    return rows.select(doc, "rule_pos", "n", pick("label").alias("label"), pick("category").alias("category"), chunk_id, "value_text", "source_quote")
+    rows = chunks.select(doc, pos, chunk_id, F.explode(hits).alias("rule_pos"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(doc, "rule_pos").orderBy(pos))).where(F.col("n") <= max(r["k"] for r in rules))
+    kept = bounded(rows.where(F.col("n") <= pick("k")).drop(pos), "candidates")
+    found = chunks.select(doc, chunk_id, text).join(kept, [doc, chunk_id])
+    return found.select(doc, "rule_pos", "n", pick("label").alias("label"), pick("category").alias("category"), chunk_id, T.excerpt(F.col(text), 450).alias("value_text"), F.substring(T.norm_ws(F.col(text)), 1, 700).alias("source_quote"))
 
 
 def first_section_hits(sections: DataFrame, chunks: DataFrame, rules: list[dict]) -> DataFrame:

@@ -21,14 +21,17 @@ def mark_headings(blocks: DataFrame, major: str = MAJOR) -> DataFrame:
     A heading is an h-tag, or 3 to 180 characters that are a major title, an item or part number,
     or capitals with four ASCII letters. Level: from the tag, else 1 for major titles and items, else 2.
     """
-    clean, key = T.norm_ws(F.col("text")), T.norm_title(F.col("text"))
+    # each step is a projection of its own, so that no test spells out another's expression again
+    rows = blocks.withColumn("_clean", T.norm_ws(F.col("text"))).withColumn("_key", T.key_of_clean(F.col("_clean")))
+    rows = rows.withColumn("_major", F.col("_key").rlike(major))
+    clean = F.col("_clean")
     letters = F.regexp_replace(clean, "[^A-Za-z]", "")
     item = T.has(clean, r"(?i)^item\s+\d+[a-z]?\.?\s+")
-    by_text = F.length(clean).between(3, 180) & (key.rlike(major) | item | T.has(clean, r"(?i)^part\s+[ivx]+") | ((F.length(letters) >= 4) & (clean == F.upper(clean))))
+    by_text = F.length(clean).between(3, 180) & (F.col("_major") | item | T.has(clean, r"(?i)^part\s+[ivx]+") | ((clean == F.upper(clean)) & (F.length(letters) >= 4)))
     tag = F.coalesce(F.col("tag").rlike("^h"), F.lit(False))
     number = F.expr("nullif(try_cast(replace(tag, 'h', '') AS INT), 0)")
-    level = F.coalesce(F.when(tag, number), F.when(key.rlike(major) | T.has(F.col("text"), r"(?i)^item\s+\d+"), 1).otherwise(2))
-    return blocks.withColumn("is_heading", tag | F.coalesce(by_text, F.lit(False))).withColumn("level", level)
+    level = F.coalesce(F.when(tag, number), F.when(F.col("_major") | T.has(F.col("text"), r"(?i)^item\s+\d+"), 1).otherwise(2))
+    return rows.withColumns({"is_heading": tag | F.coalesce(by_text, F.lit(False)), "level": level}).drop("_clean", "_key", "_major")
 
 
 def sessionize_sections(blocks: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def sessionize_sections(blocks: DataFrame) -> DataFrame:
     A heading opens a section, later blocks join its text. What comes before the first heading is
     section 0, kept only if it has text. Empty and null blocks are skipped. anchor is optional.
     """
-    rows = blocks.where(T.norm_ws(F.col("text")) != "")
+    rows = blocks.where(T.is_not_blank(F.col("text")))
     if "anchor" not in rows.columns:
         rows = rows.withColumn("anchor", F.lit(None).cast("string"))
     w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -154,9 +157,20 @@ def section_label(df: DataFrame, titles: DataFrame, column: str = "id") -> DataF
 
 
 def associate_tables(tables: DataFrame, sections: DataFrame, prefix: int = 80) -> DataFrame:
-    """tables with section_id: the document's first section whose text holds the table's first characters, else null."""
+    """tables with section_id: the document's first section whose text holds the table's first characters, else null.
+
+    A section that holds them has each word that stands whole between two spaces in them, so the
+    longest such word picks the sections to look at; without one, all of the document's are. An empty
+    table is in the first section.
+    """
     key = tables.select("document_id", F.col("ord").alias("table_ord"), F.substring("text", 1, prefix).alias("head"))
+    words = F.slice(F.split("head", " "), 2, F.greatest(F.lit(0), F.size(F.split("head", " ")) - 2))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    key = key.withColumn("word", F.nullif(longest, F.lit("")))
+    has = sections.select("document_id", F.col("ord").alias("section_ord"), F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
+    named = key.where("word is not null").join(has, ["document_id", "word"]).select("document_id", "table_ord", "head", "section_ord")
+    every = key.where("word is null").join(sections.select("document_id", F.col("ord").alias("section_ord")), "document_id").select("document_id", "table_ord", "head", "section_ord")
     where = sections.select("document_id", F.col("ord").alias("section_ord"), F.col("id").alias("section_id"), F.col("text").alias("section_text"))
-    hits = key.join(where, "document_id").where(F.col("section_text").contains(F.col("head")))
+    hits = named.union(every).join(where, ["document_id", "section_ord"]).where(F.col("section_text").contains(F.col("head")))
     first = hits.groupBy("document_id", F.col("table_ord").alias("ord")).agg(F.min_by("section_id", "section_ord").alias("section_id"))
     return tables.drop("section_id").join(first, ["document_id", "ord"], "left")
