@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: The same set for Python.
 PY_SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-ADVICE = r"(?i)\b(should\s+(?:buy|sell|hold|invest)|buy\s+(?:now|the\s+(?:dip|stock|ipo|offering))|time\s+to\s+(?:buy|sell)|we\s+recommend|our\s+recommendation|recommend(?:ation)?\s+to\s+(?:buy|sell|hold)|strong\s+(?:buy|sell)|must[- ]buy|attractive\s+valuation|under-?valued|over-?valued|guaranteed(?:\s+returns?)?|safe\s+investment|(?:price|profit|return)\s+targets?)\b"
+ADVICE = r"(?i)\b(should\s+(?:buy|sell|hold|invest)|buy\s+(?:now|the\s+(?:dip|stock|ipo|offering))|time\s+to\s+(?:buy|sell)|we\s+recommend|our\s+recommendation|recommend(?:ation)?\s+to\s+(?:buy|sell|hold)|strong\s+(?:buy|sell)|must[-\s]buy|attractive\s+valuation|under-?valued|over-?valued|guaranteed(?:\s+returns?)?|safe\s+investment|(?:price|profit|return)\s+targets?)\b"
 PARSER_WORDS = r"(?i)candidate|parser found|section presence|extracted count"
 PROHIBITED = r"(?i)\b(buy|sell|hold)\b|recommendation|investment advice|score"
 RISK_SIGNAL = r"(?i)(could|may|might|adversely|materially|harm|fail|unable|risk|uncertain|subject to|loss|decline|negativ|delay|disrupt|litigation|breach|violat|depend|prevent|impair)"
@@ -56,10 +56,20 @@ def norm_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
+def is_not_blank(c: Column) -> Column:
+    """Whether there is anything but white space."""
+    return c.rlike(SPACE.replace("[", "[^", 1))
+
+
+def key_of_clean(c: Column) -> Column:
+    """norm_title of a text whose white space is normalised."""
+    kept = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
+
+
 def norm_title(c: Column) -> Column:
     """Lower case; all but letters, digits and white space deleted."""
-    kept = F.regexp_replace(F.lower(norm_ws(c)), r"[^\p{L}\p{N} ]", "")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+    return key_of_clean(norm_ws(c))
 
 
 def slugify(c: Column) -> Column:

@@ -32,15 +32,16 @@ def suffix_duplicate_ids(df: DataFrame, doc: str = "document_id", id_col: str =
     return df.withColumn("_n", n).withColumn(id_col, F.when(F.col("_n") == 1, F.col(id_col)).otherwise(F.concat_ws("-", id_col, pos))).drop("_n")
 
 
-def near_duplicate_titles(df: DataFrame, n: int = 90, id_col: str = "id", title_col: str = "title", most: int | None = None) -> DataFrame:
-    """(title_key, n, ids) of title keys' first n characters that several rows share.
+def shared_titles(df: DataFrame, n: int = 90, title_col: str = "title") -> DataFrame:
+    """(title_key, n) of title keys' first n characters that several rows share."""
+    key = F.substring(T.norm_title(F.col(title_col)), 1, n).alias("title_key")
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    Counts come first, so ids are gathered only for shared keys; `most` bounds a list's length.
-    """
+
+def near_duplicate_titles(df: DataFrame, n: int = 90, id_col: str = "id", title_col: str = "title") -> DataFrame:
+    """(title_key, n, id): each row whose title key's first n characters others share; a row an id, so no key is too much for a task."""
     rows = df.select(F.col(id_col).alias("id"), F.substring(T.norm_title(F.col(title_col)), 1, n).alias("title_key"))
-    shared = rows.groupBy("title_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    ids = F.array_sort(F.collect_list("id"))
-    return rows.join(shared, "title_key").groupBy("title_key").agg(F.first("n").alias("n"), (F.slice(ids, 1, most) if most else ids).alias("ids"))
+    return rows.join(shared_titles(df, n, title_col), "title_key").select("title_key", "n", "id")
 
 
 def schema_violations(df: DataFrame, spec: dict[str, dict], id_col: str = "id") -> DataFrame:
@@ -177,11 +178,13 @@ def source_hashes(raw: DataFrame, id_col: str = "document_id", html_col: str = "
 def dataset_fingerprint(df: DataFrame) -> DataFrame:
     """(rows, fingerprint): a hash of the table that doesn't depend on row order or partitions.
 
-    Row hashes are hashed together in 4096 sorted buckets, then the buckets' hashes in order.
+    A row's SHA-256 is that of its columns' SHA-256 (a null's is empty); four numbers of 15 hex digits each
+    of the rows' hashes are summed, so partial sums are all that is shuffled.
     """
-    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("x"), F.count(F.lit(1)).alias("n"))
-    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "x"))), lambda s: s["x"]), ""), 256).alias("fingerprint"))
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.sha2(F.col(f"`{c}`").cast("string").cast("binary"), 256), F.lit("")) for c in df.columns]), 256)
+    part = lambda i: F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")
+    rows = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(part(i)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(f"s{i}") for i in range(4)])
+    return rows.select("rows", F.concat_ws("-", "s0", "s1", "s2", "s3").alias("fingerprint"))
 
 
 def needs_processing(hashes: DataFrame, manifest: DataFrame, versions: dict[str, str], force: bool = False, id_col: str = "document_id") -> DataFrame:
@@ -208,8 +211,13 @@ def _none(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
 
 
-def validate_corpus(documents: DataFrame, sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame) -> DataFrame:
-    """(severity, check, id, detail) of fatal problems, and warnings of weak risk provenance."""
+def report_messages(report: DataFrame, severity: str) -> DataFrame:
+    """(severity, check, id, detail) of an extraction report (level, message): its own errors or warnings."""
+    return _row(report.where(F.col("level") == severity), severity, f"extraction report {severity}", None, F.col("message"))
+
+
+def validate_corpus(documents: DataFrame, sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame, report: DataFrame | None = None) -> DataFrame:
+    """(severity, check, id, detail) of fatal problems, and warnings of weak risk provenance; report: (level, message) rows of the extraction."""
     out = [
         _row(_none(documents.where(T.has(F.col("type"), "(?i)^s-?1$"))), "error", "no main document"),
         _row(_none(sections), "error", "no sections"), _row(_none(chunks), "error", "no chunks"),
@@ -223,10 +231,12 @@ def validate_corpus(documents: DataFrame, sections: DataFrame, chunks: DataFrame
         _row(risks.join(sections.select(F.col("id").alias("source_section_id")), "source_section_id", "left_anti"), "warning", "weak section provenance", F.col("id")),
         _row(risks.where(F.coalesce("source_quote", F.lit("")) == ""), "warning", "weak quote provenance", F.col("id")),
     ]
+    if report is not None:
+        out.append(report_messages(report, "error"))
     return distinct_warnings(union(*out))
 
 
-def warn_corpus(sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame, tables: DataFrame, golden: DataFrame | None = None, min_sections: int = 50, min_facts: int = 25, full_text: tuple[int, int] = (40, 220), max_weak_sections: int = 10, large_chunk: int = 2500) -> DataFrame:
+def warn_corpus(sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame, tables: DataFrame, golden: DataFrame | None = None, report: DataFrame | None = None, min_sections: int = 50, min_facts: int = 25, full_text: tuple[int, int] = (40, 220), max_weak_sections: int = 10, large_chunk: int = 2500) -> DataFrame:
     """(severity, check, id, detail) of warnings against thresholds, without duplicates."""
     n = F.count(F.lit(1)).alias("n")
     full = risks.agg(F.count_if(F.col("risk_extraction_type") == "full_text").alias("n"))
@@ -239,9 +249,11 @@ def warn_corpus(sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks:
         _row(chunks.where((T.norm_title(F.coalesce("title", F.lit(""))).isin("", "untitled")) & (F.length("text") > large_chunk)).agg(n).where("n > 0"), "warning", "large untitled chunks", None, F.col("n")),
         _row(table_link_summary(tables).where("unassociated > 0"), "warning", "unlinked tables", None, F.col("unassociated")),
         _row(risks.where("character_length < 500").agg(n).where("n > 0"), "warning", "short risks", None, F.col("n")),
-        _row(near_duplicate_titles(risks).agg(n).where("n > 0"), "warning", "duplicate risk titles", None, F.col("n")),
+        _row(shared_titles(risks).agg(n).where("n > 0"), "warning", "duplicate risk titles", None, F.col("n")),
         _row(category_concentration(facts), "warning", "facts in few categories", F.col("document_id"), F.col("n_categories")),
     ]
+    if report is not None:
+        out.append(report_messages(report, "warning"))
     if golden is not None:
         out.append(_row(golden.where("not found"), "warning", "missing expected section", F.col("id"), F.col("document_id")))
     return distinct_warnings(union(*out))

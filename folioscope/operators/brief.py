@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import audit, evidence, risks as K, rules as R
+from folioscope.sources.scratch import cut
 
 #: Topic, section, its place, and the most items it takes.
 ROUTES = (
@@ -23,15 +24,23 @@ READER_GROUPS = (
 )
 GENERIC_PREAMBLE = "(?i)involves a high degree of risk"
 MOVED_DEBT = "long-term debt"
+OTHER_REASON = "It is one of the uncertainties the company says could materially affect its business."
 
 
-def risk_cards(risks: DataFrame, chunks: DataFrame, policy: DataFrame, themes=tuple(K.CATEGORIES), entities: str = r"\b(indebtedness|litigation|class action)\b", main_section: str = K.MAIN_SECTION) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) cards of full-text risks with clean titles in the main section, two a theme and two a chunk."""
+def risk_cards(
+    risks: DataFrame, chunks: DataFrame, policy: DataFrame, themes: list[tuple[str, str]], entities: str, subjects: list[tuple[str, str]] = (), reasons: dict[str, str] | None = None, main_section: str = K.MAIN_SECTION
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) cards of full-text risks with clean titles in the main section, two a theme and two a chunk.
+
+    themes and subjects: (label or phrase, pattern) in order, tried on the title and then on the body.
+    reasons: a sentence on why it matters for each theme; `other` serves the rest. Chunk texts are
+    joined to the selected risks only.
+    """
     clean = T.strip_page_furniture(F.col("original_text"))
     named = T.is_clean_title(F.col("title")) | T.is_clean_title(T.strip_page_furniture(F.col("title")))
     rows = risks.where(F.col("risk_extraction_type") == "full_text").where(named)
     rows = rows.select("document_id", "id", "pos", "specificity", F.element_at("source_chunk_ids", 1).alias("chunk_id"), clean.alias("body"), T.strip_page_furniture(F.col("title")).alias("plain_title"))
-    rows = rows.join(chunks.where(F.trim("title") == main_section).select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id")
+    rows = rows.join(chunks.where(F.trim("title") == main_section).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
     def titled(s, plain):
         """Everything that comes from the sentences, each step bound once: a filter on it would else repeat them all."""
@@ -42,18 +51,27 @@ def risk_cards(risks: DataFrame, chunks: DataFrame, policy: DataFrame, themes=tu
     rows = rows.withColumn("x", K.let(T.split_sentences(F.col("body")), lambda s: titled(s, F.col("plain_title")))).where("x.ok").select("*", "x.*")
     rows = rows.withColumn("theme", R.theme_for(F.col("title_sentence"), F.col("body"), list(themes))).withColumn("score", K.salience(F.col("card_title"), F.col("body"), F.col("specificity"), entities))
     chosen = K.select_with_caps(rows)
-    rows = rows.join(chosen, ["document_id", "id"])
+    rows = cut(rows.join(chosen, ["document_id", "id"]), "chosen")
+    rows = rows.join(evidence.cited_chunks(chunks, rows).select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id")
     support = K.supporting_sentences(F.col("sentences"), F.col("title_sentence"), entities)
-    follow = F.size(F.filter(F.slice("sentences", 2, 1 << 20), lambda s: F.length(s) > 40))
+    follow = F.size(F.filter(F.slice("sentences", 2, 1 << 20), lambda s: (F.length(s) > 40) & (s != F.col("title_sentence"))))
     needle = F.substring("title_sentence", 1, 80)
     confidence, review = K.calibrate(F.col("used_first"), follow, evidence.quote_window(F.col("chunk_text"), needle))
-    said = F.transform(support, lambda s, i: F.concat(F.when(i == 0, ' The filing states: "').otherwise(' It adds: "'), T.clamp_sentence(s, 200), F.lit('"')))
+    said = F.transform(support, lambda s, i: F.concat(F.when(i == 0, ' The filing states: "').otherwise(' It adds: "'), F.when(i == 0, T.clamp_sentence(s, 240)).otherwise(T.clamp_sentence(s, 200)), F.lit('"')))
     alone = F.when(T.has_advice(F.col("title_sentence")), "").otherwise(F.concat(F.lit(' The filing states: "'), T.clamp_sentence(F.col("title_sentence"), 240), F.lit('"')))
-    body = F.concat(F.lit("This is one of the filing's stated risk factors."), F.when(F.size(support) > 0, F.array_join(said, "")).otherwise(alone))
+    named = list(subjects)
+    subject = F.lit(None).cast("string")
+    if named:
+        subject = F.nullif(F.when(R.classify_first_match(F.col("title_sentence"), named, "") != "", R.classify_first_match(F.col("title_sentence"), named, "")).otherwise(R.classify_first_match(F.col("body"), named, "")), F.lit(""))
+    framing = F.coalesce(F.concat(F.lit("This risk concerns "), subject, F.lit(".")), F.lit("This is one of the filing's stated risk factors."))
+    reason = reasons or {}
+    lead = F.coalesce(*[F.when(F.col("theme") == k, F.lit(v)) for k, v in reason.items()], F.lit(reason.get("other", OTHER_REASON)))
+    why = F.concat(F.coalesce(F.concat(F.lit("Tied to "), subject, F.lit(", this")), F.lit("This")), F.lit(" is one of the risks the company says could materially affect its business. "), lead)
+    body = F.concat(framing, F.when(F.size(support) > 0, F.array_join(said, "")).otherwise(alone))
     words = F.filter(F.transform(F.split("title_sentence", T.SPACE + "+"), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9_$]+|[^A-Za-z0-9_%]+$", "")), lambda w: F.length(w) > 5)
     drafts = rows.select(
         F.col("rank").alias("draft_pos"), F.lit("risk").alias("topic"), F.col("card_title").alias("title"), "chunk_id", needle.alias("quote_needle"), T.excerpt(F.col("body"), 900).alias("extracted_text"), body.alias("plain_english"),
-        F.lit("One of the risks that the company says could materially affect its business.").alias("why_it_matters"), confidence.alias("confidence"), review.alias("needs_review"), F.concat(F.lit("risk-full-text-"), "theme").alias("extraction_method"),
+        why.alias("why_it_matters"), confidence.alias("confidence"), review.alias("needs_review"), F.concat(F.lit("risk-full-text-"), "theme").alias("extraction_method"),
         F.slice(words, 1, 2).alias("required_terms"), F.array(F.lit(main_section)).alias("allowed_titles"),
     )
     return evidence.evidence_gate(drafts, chunks, policy)
@@ -100,13 +118,19 @@ def reader_sections(items: DataFrame, groups=READER_GROUPS, brief: str = "brief_
     return out.select(brief, "group_id", "group_pos", pos.alias("pos"), "id", "title")
 
 
-def derive_kpis(items: DataFrame, limit: int = 5, brief: str = "brief_id") -> DataFrame:
-    """(brief, n, label, value_billion, as_of): the first `limit` high-confidence titles with a figure in billions."""
+def derive_kpis(items: DataFrame, limit: int = 5, brief: str = "brief_id", section: str = "financial-snapshot") -> DataFrame:
+    """(brief, n, label, value_billion, value, as_of): the first `limit` high-confidence titles of the section with a figure in billions.
+
+    value is the figure as shown, such as -$4.69B.
+    """
     figure = F.regexp_extract("title", T.java(r"(?i)\$([\d.]+)\s*billion"), 1)
-    rows = items.where((F.col("confidence") == "high") & (figure != "")).withColumn("n", F.row_number().over(Window.partitionBy(brief).orderBy("item_pos"))).where(F.col("n") <= limit)
+    rows = items.where((F.col("section_id") == section) & (F.col("confidence") == "high") & (figure != ""))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(brief).orderBy("item_pos"))).where(F.col("n") <= limit)
     label = F.trim(F.regexp_replace(F.regexp_replace("title", T.java(r"(?i)\s+(was|were)\b.*$"), ""), T.java(r"(?i)^The\s+"), ""))
-    sign = F.when(T.has(F.col("title"), "(?i)negative|loss"), -1).otherwise(1)
-    return rows.select(brief, "n", label.alias("label"), (sign * F.round(figure.try_cast("double"), 2)).alias("value_billion"), T.has(F.col("title"), r"(?i)\bat\b|\bas of\b").alias("as_of"))
+    minus = T.has(F.col("title"), "(?i)negative|loss")
+    amount = F.round(figure.try_cast("double"), 2)
+    shown = F.concat(F.when(minus, "-").otherwise(""), F.lit("$"), amount.cast("decimal(30,2)").cast("string"), F.lit("B"))
+    return rows.select(brief, "n", label.alias("label"), (F.when(minus, -1).otherwise(1) * amount).alias("value_billion"), shown.alias("value"), T.has(F.col("title"), r"(?i)\bat\b|\bas of\b").alias("as_of"))
 
 
 def is_real_value(c):

@@ -79,3 +79,48 @@ def test_brief_checks_and_markdown(spark):
     md = {r["brief_id"]: r["markdown"] for r in B.render_markdown(items, cites, briefs).collect()}
     assert md["b"].startswith("# Title\n\nNone of it is advice.\n\n## Filing Snapshot\n\n- **form:** S-1\n") and '- c / s: "a\\|b"' in md["b"] and "## financial-snapshot" in md["b"]
     assert md["z"].startswith("# Empty")
+
+
+def test_report_errors_and_order_free_fingerprint(spark):
+    empty = lambda k: spark.createDataFrame([], k)
+    docs, secs = empty("id string, type string, source_url string"), empty("id string, normalized_title string, source_url string, text string, title string")
+    chunks = empty("id string, text string, title string, source_url string")
+    facts = empty("id string, document_id string, category string, source_chunk_ids array<string>, source_quote string, plain_english string, investor_relevance string")
+    risks = empty("id string, source_chunk_ids array<string>, source_quote string, source_section_id string, risk_extraction_type string, character_length int, title string")
+    report = spark.createDataFrame([("error", "no index"), ("warning", "odd page")], "level string, message string")
+    found = [(r["severity"], r["detail"]) for r in Q.validate_corpus(docs, secs, chunks, facts, risks, report).where("check like 'extraction report%'").collect()]
+    assert found == [("error", "no index")]
+    warned = Q.warn_corpus(secs, chunks, facts, risks, empty("section_id string"), report=report).where("check like 'extraction report%'").collect()
+    assert [(r["severity"], r["detail"]) for r in warned] == [("warning", "odd page")]
+    rows = [(i, None if i % 3 else "x|y", float(i)) for i in range(50)]
+    kind = "a long, b string, c double"
+    one, two = (Q.dataset_fingerprint(spark.createDataFrame(r, kind).repartition(n)).first() for r, n in ((rows, 1), (rows[::-1], 7)))
+    assert one == two and one != Q.dataset_fingerprint(spark.createDataFrame([*rows[1:], (0, "x|z", 0.0)], kind)).first()
+
+
+def test_capped_selection_against_a_plain_fold(spark):
+    import random
+
+    from folioscope.operators import risks as K
+
+    g = random.Random(5)
+    rows = [(f"d{i % 3}", i, i, g.randrange(4), g.randrange(5), g.randrange(6)) for i in range(400)]
+    for caps in ((2, 2), (1, 3), (3, 1)):
+        got = {(r["document_id"], r["id"]): r["rank"] for r in K.select_with_caps(spark.createDataFrame(rows, "document_id string, id int, pos int, theme int, chunk_id int, score int"), *caps).collect()}
+        want = {}
+        for d in ("d0", "d1", "d2"):
+            themes, chunks = {}, {}
+            for _, i, _, t, c, _ in sorted((r for r in rows if r[0] == d), key=lambda r: (-r[5], r[2])):
+                if themes.get(t, 0) < caps[0] and chunks.get(c, 0) < caps[1]:
+                    themes[t], chunks[c] = themes.get(t, 0) + 1, chunks.get(c, 0) + 1
+                    want[d, i] = sum(themes.values())
+        assert got == want
+
+
+def test_tables_without_a_whole_word(spark):
+    from folioscope.operators import sections as S
+
+    secs = spark.createDataFrame([("d", 0, "s0", "alpha beta gamma"), ("d", 1, "s1", "xbetay gamma delta"), ("e", 0, "s2", "beta")], "document_id string, ord int, id string, text string")
+    tabs = spark.createDataFrame([("d", i, t) for i, t in enumerate(["eta", "beta gamma", "a beta g", "gamma delta", "zz", "", "y gamma d"])], "document_id string, ord int, text string")
+    got = {r["ord"]: r["section_id"] for r in S.associate_tables(tabs, secs).collect()}
+    assert got == {0: "s0", 1: "s0", 2: "s0", 3: "s1", 4: None, 5: "s0", 6: "s1"}

@@ -80,6 +80,7 @@ def test_clean_title(one, title, ok):
 
 def test_policy_words(one):
     assert one(T.has_advice, "You should  buy it") is True and one(T.has_advice, "agreed not to sell") is False
+    assert all(one(T.has_advice, f"a must{c}buy") for c in "- \t\n\u00a0") and not one(T.has_advice, "a mustbuy")
     assert one(T.has_parser_language, "Parser found it") is True
     assert one(T.has_prohibited_language, "they hold it") is True and one(T.has_prohibited_language, "holding") is False
 
