@@ -14,7 +14,8 @@ FLAGSHIP_RULES = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\
 def ingest(pages: DataFrame, manifest: DataFrame | None = None, versions: dict[str, str] | None = None, **rules_) -> dict[str, DataFrame]:
     """Tables of the pages that are new or changed: blocks, sections, chunks, tables, risks and run metrics.
 
-    pages: document_id, url, html. Pages are parsed once; html goes no further than the parser.
+    pages: document_id, url, html. Blocks and tables are two passes over the pages, each with the
+    parser; html goes no further. rules_: what `risks.extract_risks` asks for.
     """
     if manifest is not None:
         todo = audit.needs_processing(audit.source_hashes(pages), manifest, versions or {})
@@ -33,9 +34,9 @@ def ingest_blocks(blocks: DataFrame, **rules_) -> dict[str, DataFrame]:
     return {"blocks": blocks, "sections": secs, "chunks": chunks, "risks": risks.extract_risks(chunks, **rules_)}
 
 
-def build_brief(chunks: DataFrame, found: DataFrame, policy: DataFrame, drafts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Accepted cards, rejected drafts and brief items; drafts: people's draft cards, as an input table."""
-    cards, rejected = brief.risk_cards(found, chunks, policy)
+def build_brief(chunks: DataFrame, found: DataFrame, policy: DataFrame, themes: list[tuple[str, str]], entities: str, drafts: DataFrame | None = None, **tables) -> dict[str, DataFrame]:
+    """Accepted cards, rejected drafts and brief items; drafts: people's draft cards, as an input table; tables: subjects and reasons of `brief.risk_cards`."""
+    cards, rejected = brief.risk_cards(found, chunks, policy, themes, entities, **tables)
     if drafts is not None:
         more, no = evidence.evidence_gate(drafts, chunks, policy)
         cards, rejected = cards.unionByName(more), rejected.unionByName(no)
@@ -50,10 +51,10 @@ def forum_feed(threads: DataFrame, profiles: DataFrame, votes: DataFrame, post_e
     return forum.thread_page(rows, "score", None, limit).select("id", "score", "reply_count", "author_handle", "theme", "created_at", "has_more")
 
 
-def flagship(chunks: DataFrame) -> DataFrame:
-    """(label, facts, sources, verified): keyword facts of each document, with their quotes checked against the chunks."""
+def flagship(chunks: DataFrame, now: DataFrame | None = None) -> DataFrame:
+    """(label, facts, sources, verified): keyword facts of each document, with their quotes checked against the chunks as they are now."""
     facts = rules.keyword_candidates(chunks, FLAGSHIP_RULES)
     records = facts.select(F.concat_ws("-", "id", "rule_pos").alias("id"), F.array("id").alias("source_chunk_ids"), "source_quote")
-    bad = evidence.verify_quotes(records, chunks)
+    bad = evidence.verify_quotes(records, chunks if now is None else now)
     rows = facts.withColumn("fact_id", F.concat_ws("-", "id", "rule_pos")).join(bad.select(F.col("id").alias("fact_id")).distinct().withColumn("bad", F.lit(1)), "fact_id", "left")
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("document_id").alias("sources"), F.count_if(F.col("bad").isNull()).alias("verified"))

@@ -9,8 +9,8 @@ from folioscope.operators import brief as B
 from folioscope.operators import evidence as V
 from folioscope.operators import sections as S
 from folioscope.plans import jobs
-from folioscope.plans.queries_text import LINE, doc_chunks, doc_sections, first_line
-from folioscope.plans.registry import Tables, key, like, query, re2, slug, ws
+from folioscope.plans.queries_text import FRAGMENT_RULES, LINE, doc_chunks, doc_sections, first_line
+from folioscope.plans.registry import Tables, key, like, query, re2, short, slug, ws
 from folioscope.sources import tables as A
 
 # --- model tables from the driver's ----------------------------------------------------------
@@ -47,7 +47,7 @@ def cards(t: Tables):
     return t.orders.select(
         (F.col("o_custkey") % 50).alias("brief_id"), F.concat(F.lit("evidence-"), k).alias("id"), k.alias("card_pos"), topic.alias("topic"), F.concat(F.when(k % 3 == 0, "Total long-term debt was $").otherwise("The revenue was $"), F.floor("o_totalprice"), F.lit(" billion at "), "o_orderstatus").alias("title"),
         F.concat(F.lit("s"), k % 20).alias("source_section_id"), F.array(F.concat(F.lit("c"), k % 1200)).alias("source_chunk_ids"), F.concat(F.lit("about $"), F.when(k % 2 == 0, F.floor("o_totalprice").cast("string")).otherwise(F.lit("12")), F.lit(" billion")).alias("source_quote"),
-        F.when(k % 7 == 0, "Left blank so far.").otherwise("It is so.").alias("plain_english"), F.lit("It matters.").alias("why_it_matters"), F.when(k % 4 == 0, "medium").otherwise("high").alias("confidence"), (k % 6 == 0).alias("needs_review"), F.lit("manual").alias("extraction_method"), F.array().cast("array<string>").alias("quality_warnings"),
+        F.when(k % 7 == 0, "Left blank so far.").otherwise("It is so.").alias("plain_english"), F.lit("It matters.").alias("why_it_matters"), F.when(k % 4 == 0, "medium").otherwise("high").alias("confidence"), (k % 6 == 0).alias("needs_review"), F.when(k % 10 == 9, F.concat(F.lit("risk-full-text-t"), F.floor(k % 60 / 10))).otherwise("manual").alias("extraction_method"), F.array().cast("array<string>").alias("quality_warnings"),
     )
 
 
@@ -67,11 +67,12 @@ ROUTED = (
 # --- merges and provenance ---------------------------------------------------------------------
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality ELSE d.n_chars END AS v FROM (SELECT * FROM documents WHERE doc_id % 3 > 0) d FULL JOIN labels l ON l.doc_id = d.doc_id")
+@query("SELECT coalesce(d.doc_id, l.id) AS id, CASE WHEN l.id IS NOT NULL THEN l.quality ELSE d.n_chars END AS v, CASE WHEN d.doc_id IS NULL THEN 1 ELSE 0 END AS source, coalesce(d.doc_id, l.doc_id) AS pos FROM documents d FULL JOIN (SELECT *, CASE WHEN toxic = 1 THEN doc_id + 10000000 ELSE doc_id END AS id FROM labels) l ON l.id = d.doc_id")
 def p1_merge_reviewed(t):
-    d = t.documents.where("doc_id % 3 > 0").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("v"))
-    r = t.labels.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("quality").cast("long").alias("v"))
-    return Q.merge_reviewed(d, r).select("id", "v")
+    d = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("n_chars").alias("v"))
+    own = F.when(F.col("toxic") == 1, F.col("doc_id") + 10000000).otherwise(F.col("doc_id"))  # toxic rows are of no document
+    r = t.labels.select(own.alias("id"), F.col("doc_id").alias("pos"), F.col("quality").cast("long").alias("v"))
+    return Q.merge_reviewed(d, r).select("id", "v", F.col("order._src").alias("source"), F.col("order.pos").alias("pos"))
 
 
 @query("SELECT x.doc_id AS ord, 's' || (SELECT min(d.doc_id) FROM documents d WHERE d.source = x.source AND contains(d.text, left(x.head, 80))) AS section_id FROM (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN 'zq ' ELSE '' END || substr(text, 41, 90) AS head FROM documents) x")
@@ -116,9 +117,9 @@ def p5_evidence_rejected(t):
     return gate(t)[1]
 
 
-@query("WITH s AS (SELECT 's' || doc_id AS id, source AS document_id, 's' || (doc_id - 20) AS parent_id FROM documents WHERE doc_id % 5 > 0) SELECT document_id, id, parent_id FROM s WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.document_id = s.document_id AND p.id = s.parent_id)")
+@query("WITH s AS (SELECT 's' || doc_id AS id, source AS document_id, 's' || (doc_id - 20) AS parent_id FROM documents WHERE length(text) >= 400) SELECT document_id, id, parent_id FROM s WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.document_id = s.document_id AND p.id = s.parent_id)")
 def p8_dangling_parents(t):
-    s = doc_sections(t).where("ord % 5 > 0").withColumn("parent_id", F.concat(F.lit("s"), F.col("ord") - 20))
+    s = doc_sections(t).where("length(text) >= 400").withColumn("parent_id", F.concat(F.lit("s"), F.col("ord") - 20))
     return S.dangling_parents(s)
 
 
@@ -151,15 +152,15 @@ def h4_samples(t):
     return Q.risk_samples(risks(t))
 
 
-@query(f"SELECT left({key(LINE)}, 12) AS title_key, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT title_key, n, doc_id AS id FROM (SELECT *, count(*) OVER (PARTITION BY title_key) AS n FROM (SELECT doc_id, left({key(LINE)}, 12) AS title_key FROM documents)) WHERE n > 1")
 def h5_near_duplicate_titles(t):
     rows = t.documents.select("doc_id", first_line().alias("title"))
-    return Q.near_duplicate_titles(rows, 12, "doc_id").withColumn("ids", F.array_join("ids", ","))
+    return Q.near_duplicate_titles(rows, 12, "doc_id")
 
 
-@query("SELECT source AS document_id, count(DISTINCT lang) AS n_categories, count(*) AS n FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1 HAVING count(DISTINCT lang) <= 2 AND count(*) >= 10")
+@query("SELECT o_custkey AS document_id, count(DISTINCT o_orderstatus) AS n_categories, count(*) AS n FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) <= 2 AND count(*) >= 10")
 def h6_concentration(t):
-    rows = t.documents.where("lang in ('en', 'fr', 'de')").select(F.col("source").alias("document_id"), F.col("lang").alias("category"))
+    rows = t.orders.select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("category"))
     return Q.category_concentration(rows)
 
 
@@ -173,7 +174,7 @@ def h8_table_links(t):
     return Q.table_link_summary(t.orders.select(F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey")).alias("section_id")))
 
 
-@query(f"WITH c AS {CARDS} SELECT 'accepted' AS metric, count(*) AS value FROM c UNION ALL SELECT 'high_confidence', count(*) FROM c WHERE confidence = 'high' AND NOT needs_review UNION ALL SELECT 'real_values', count(*) FROM c WHERE topic IN ('financial', 'debt', 'dilution') AND {like('source_quote', B.REAL_VALUE)} UNION ALL SELECT 'risk_themes', 1 UNION ALL SELECT 'full_text', count(*) FROM {RISKS} WHERE risk_extraction_type = 'full_text' UNION ALL SELECT 'excluded', count(*) FROM {RISKS} WHERE risk_extraction_type <> 'full_text' UNION ALL SELECT 'rejected', count(*) FROM benchmark")
+@query(f"WITH c AS {CARDS} SELECT 'accepted' AS metric, count(*) AS value FROM c UNION ALL SELECT 'high_confidence', count(*) FROM c WHERE confidence = 'high' AND NOT needs_review UNION ALL SELECT 'real_values', count(*) FROM c WHERE topic IN ('financial', 'debt', 'dilution') AND {like('source_quote', B.REAL_VALUE)} UNION ALL SELECT 'risk_themes', count(DISTINCT (card_pos % 60) // 10) FROM c WHERE topic = 'risk' UNION ALL SELECT 'full_text', count(*) FROM {RISKS} WHERE risk_extraction_type = 'full_text' UNION ALL SELECT 'excluded', count(*) FROM {RISKS} WHERE risk_extraction_type <> 'full_text' UNION ALL SELECT 'rejected', count(*) FROM benchmark")
 def h9_brief_diagnostics(t):
     return B.brief_diagnostics(cards(t), t.benchmark, risks(t))
 
@@ -196,11 +197,12 @@ def i13_reader_sections(t):
     return B.reader_sections(B.assemble_brief(cards(t)))
 
 
-@query("SELECT brief_id, n, label, value_billion, as_of FROM (SELECT o_custkey % 50 AS brief_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'Net loss' ELSE 'Revenue' END AS label, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(CAST(round(o_totalprice / 1000, 2) AS DECIMAL(12,2)) AS DOUBLE) AS value_billion, o_orderstatus = 'F' AS as_of FROM orders WHERE o_orderkey % 4 <> 0) WHERE n <= 5")
+@query("SELECT brief_id, n, label, value_billion, CASE WHEN value_billion < 0 THEN '-' ELSE '' END || '$' || CAST(CAST(abs(value_billion) AS DECIMAL(12,2)) AS VARCHAR) || 'B' AS value, as_of FROM (SELECT o_custkey % 50 AS brief_id, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'Net loss' ELSE 'Revenue' END AS label, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END * CAST(CAST(round(o_totalprice / 1000, 2) AS DECIMAL(12,2)) AS DOUBLE) AS value_billion, o_orderstatus = 'F' AS as_of FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 1) WHERE n <= 5")
 def c13_derive_kpis(t):
     k = F.col("o_orderkey")
     title = F.concat(F.when(k % 3 == 0, "The  Net loss was $").otherwise("Revenue was $"), F.round(F.col("o_totalprice") / 1000, 2).cast("decimal(12,2)"), F.when(F.col("o_orderstatus") == "F", " billion at year end").otherwise(" billion for the year"))
-    rows = t.orders.select((F.col("o_custkey") % 50).alias("brief_id"), k.alias("item_pos"), title.alias("title"), F.when(k % 4 == 0, "low").otherwise("high").alias("confidence"))
+    section = F.when(k % 3 == 1, "what-it-does").otherwise("financial-snapshot")
+    rows = t.orders.select((F.col("o_custkey") % 50).alias("brief_id"), section.alias("section_id"), k.alias("item_pos"), title.alias("title"), F.when(k % 4 == 0, "low").otherwise("high").alias("confidence"))
     return B.derive_kpis(rows)
 
 
@@ -209,7 +211,16 @@ def j9_unbacked_figures(t):
     return V.unbacked_figures(cards(t))
 
 
-@query()
+_MARKDOWN = (
+    ROUTED
+    + f""", cites AS (SELECT c.id AS card, '- ' || c.chunk_id || ' / ' || c.source_section_id || ': "' || replace({short("c.source_quote", 360)}, '|', '\\|') || '"' AS line FROM c JOIN documents d ON 'c' || d.doc_id = c.chunk_id),
+ blocks AS (SELECT i.*, chr(10) || '### ' || i.title || chr(10) || chr(10) || i.body || chr(10) || chr(10) || 'Why it matters: It matters.' || chr(10) || chr(10) || 'Confidence: ' || i.confidence || '. Needs review: ' || CASE WHEN i.needs_review THEN 'yes' ELSE 'no' END || '.' || chr(10) || chr(10) || 'Sources:' || coalesce(chr(10) || x.line, '') AS b FROM items i LEFT JOIN cites x ON x.card = i.id),
+ secs AS (SELECT brief_id, section_pos, chr(10) || '## ' || section_id || chr(10) || string_agg(b, chr(10) ORDER BY item_pos) AS s FROM blocks GROUP BY brief_id, section_pos, section_id)
+ SELECT brief_id, '# Brief' || chr(10) || chr(10) || 'No advice.' || chr(10) || chr(10) || '## Filing Snapshot' || chr(10) || chr(10) || '- **form:** S-1' || chr(10) || coalesce(string_agg(s, chr(10) ORDER BY section_pos), '') || chr(10) AS markdown FROM (SELECT DISTINCT brief_id FROM c) LEFT JOIN secs USING (brief_id) GROUP BY brief_id"""
+)
+
+
+@query(_MARKDOWN)
 def a5_render_markdown(t):
     c = cards(t)
     ch = t.documents.select(F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("u"), "doc_id").alias("source_url"))
@@ -295,7 +306,10 @@ def j6_source_hashes(t):
     return Q.source_hashes(A.read_raw(t.spark, f"{t.sf_dir}/pages.parquet"))
 
 
-@query()
+_DIGEST = "sha256(" + " || '|' || ".join(f"coalesce(sha256(CAST({c} AS VARCHAR)), '')" for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")"
+
+
+@query(f"SELECT count(*) AS rows, concat_ws('-', {', '.join(f'CAST(sum(CAST(CAST(chr(48) || chr(120) || substr(h, {15 * i + 1}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)' for i in range(4))}) AS fingerprint FROM (SELECT {_DIGEST} AS h FROM documents)")
 def j6_fingerprint(t):
     return Q.dataset_fingerprint(t.documents)
 
@@ -319,9 +333,9 @@ def k1_assemble_facts(t):
     return Q.assemble_facts([fam(2), fam(3)], []).select("document_id", "pos", "family", "id")
 
 
-@query("SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def k2_missing(t):
-    return Q.missing_items(t.customer.select(F.col("c_custkey").alias("id")), t.orders.select(F.col("o_custkey").alias("id")))
+    return Q.missing_items(t.documents.select(F.col("doc_id").alias("id")), t.labels.select(F.col("doc_id").alias("id")))
 
 
 @query("SELECT DISTINCT 'warning' AS severity, l_shipdate::DATE::VARCHAR AS \"check\", l_returnflag AS id, l_linestatus AS detail FROM lineitem")
@@ -334,7 +348,7 @@ def k3_distinct_warnings(t):
 
 @query()
 def w1_ingestion(t):
-    return jobs.ingest(A.read_raw(t.spark, f"{t.sf_dir}/pages.parquet"))["metrics"]
+    return jobs.ingest(A.read_raw(t.spark, f"{t.sf_dir}/pages.parquet"), categories=FRAGMENT_RULES, boilerplate=r"\b(on|die)\b")["metrics"]
 
 
 @query()
@@ -344,7 +358,8 @@ def w2_brief_items(t):
     found = d.select(F.concat(F.lit("r"), "doc_id").alias("id"), F.col("source").alias("document_id"), F.col("doc_id").alias("pos"), F.lit("Our growth may decline and harm sales over the years").alias("title"), body.alias("original_text"), F.lit("mixed").alias("specificity"), F.lit("full_text").alias("risk_extraction_type"), F.array(F.concat(F.lit("c"), "doc_id")).alias("source_chunk_ids"))
     chunks = doc_chunks(t).withColumn("title", F.lit("RISK FACTORS")).drop("text").join(d.select(F.concat(F.lit("c"), "doc_id").alias("id"), body.alias("text")), "id")
     policy = t.spark.createDataFrame([("risk", ["RISK FACTORS"])], "topic string, allowed_titles array<string>")
-    return jobs.build_brief(chunks, found, policy)["items"]
+    tables = dict(subjects=[("sales", r"\bsales\b")], reasons={"articles": "It bears on words.", "other": "It is one."})
+    return jobs.build_brief(chunks, found, policy, FRAGMENT_RULES, r"\b(market|sales)\b", **tables)["items"]
 
 
 @query()
@@ -356,7 +371,9 @@ def w3_forum_feed(t):
 
 @query(
     f"""WITH c AS (SELECT source, lang, doc_id, text, lower(text) AS low FROM documents), hits AS (SELECT * FROM (SELECT source, doc_id, r, row_number() OVER (PARTITION BY source, r ORDER BY doc_id) AS n FROM (SELECT source, doc_id, 'articles' AS r FROM c WHERE {like('text', r'(?i)\b(the|der|la)\b')} UNION ALL SELECT source, doc_id, 'endings' FROM c WHERE {like('text', r'(?i)[a-z]{3}tion\b')})) WHERE n <= 3)
- SELECT r AS label, count(*) AS facts, count(DISTINCT source) AS sources, count(*) AS verified FROM hits GROUP BY 1"""
+ SELECT r AS label, count(*) AS facts, count(DISTINCT source) AS sources, count(*) FILTER (contains({ws('now')}, left({ws('text')}, 700))) AS verified FROM (SELECT h.*, c.text, CASE WHEN h.doc_id % 3 = 0 THEN replace(c.text, ' ', ' x ') ELSE c.text END AS now FROM hits h JOIN c USING (doc_id)) GROUP BY 1"""
 )
 def flagship(t):
-    return jobs.flagship(doc_chunks(t))
+    # every third document has been edited since its quotes were taken
+    now = doc_chunks(t).withColumn("text", F.when(F.col("chunk_pos") % 3 == 0, F.replace("text", F.lit(" "), F.lit(" x "))).otherwise(F.col("text")))
+    return jobs.flagship(doc_chunks(t), now)

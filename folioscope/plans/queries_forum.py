@@ -50,6 +50,12 @@ VOTES = "(SELECT event_id, ts, user_id, 'thread' AS target_type, event_id % 97 A
 SCORES = f"(SELECT target_type, target_id, CAST(sum(value) AS BIGINT) AS score FROM (SELECT target_type, target_id, user_id, arg_max(value, (ts, event_id)) AS value FROM {VOTES} GROUP BY ALL) GROUP BY ALL)"
 
 
+@query("SELECT event_id AS id, coalesce(s.score, 0) AS score FROM events e LEFT JOIN (SELECT target_id, CAST(sum(value) AS BIGINT) AS score FROM (SELECT event_id % 97 AS target_id, user_id, arg_max(CASE WHEN value >= 100 THEN 1 ELSE -1 END, (ts, event_id)) AS value FROM events WHERE event_type = 'view' GROUP BY ALL) GROUP BY 1) s ON s.target_id = e.event_id")
+def h3_post_scores(t):
+    rows = votes(t).drop("target_type").join(t.events.select("event_id", F.when(F.col("event_type") == "view", "post").otherwise("thread").alias("target_type")), "event_id")
+    return O.apply_scores(t.events.select(F.col("event_id").alias("id")), rows, "post")
+
+
 def post_events(t: Tables):
     rows = t.lineitem.select(F.col("l_orderkey").alias("thread_id"), F.when((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A"), F.array(F.lit("insert"), F.lit("delete"))).otherwise(F.array(F.lit("insert"))).alias("ops"), (F.col("l_returnflag") == "R").alias("is_deleted"))
     return rows.select("thread_id", F.explode("ops").alias("op"), "is_deleted")
@@ -152,10 +158,15 @@ def i1_keyset_page(t):
     return O.thread_page(threads(t), "score", (200000.0, far, 0)).select("id", "score", "has_more")
 
 
-@query(f"SELECT id, created_at, count(*) OVER () > 40 AS has_more FROM (SELECT id, created_at FROM {THREADS} WHERE NOT is_deleted AND created_at < TIMESTAMP '1997-01-01' ORDER BY created_at DESC, id DESC LIMIT 40)")
+@query(f"WITH r AS (SELECT id, created_at FROM {THREADS} WHERE NOT is_deleted AND created_at < TIMESTAMP '1997-01-01' ORDER BY created_at DESC, id DESC LIMIT 41) SELECT *, (SELECT count(*) > 40 FROM r) AS has_more FROM r ORDER BY created_at DESC, id DESC LIMIT 40")
 def i1_recent_page(t):
-    rows = O.thread_page(threads(t), "recent", (dt.datetime(1997, 1, 1), -1), 40)
-    return rows.select("id", "created_at", F.lit(False).alias("has_more"))
+    return O.thread_page(threads(t), "recent", (dt.datetime(1997, 1, 1), -1), 40).select("id", "created_at", "has_more")
+
+
+@query(f"WITH c AS (SELECT score, created_at, id FROM {THREADS} WHERE NOT is_deleted ORDER BY score, created_at, id LIMIT 1 OFFSET 10), r AS (SELECT t.id, t.score FROM {THREADS} t, c WHERE NOT t.is_deleted AND (t.score, t.created_at, t.id) < (c.score, c.created_at, c.id)) SELECT *, count(*) OVER () > 25 AS has_more FROM r")
+def i1_last_page(t):
+    rows = O.visible_rows(threads(t)).orderBy("score", "created_at", "id").limit(11).collect()  # the cursor of a reader near the end
+    return O.thread_page(threads(t), "score", tuple(rows[-1][c] for c in ("score", "created_at", "id"))).select("id", "score", "has_more")
 
 
 @query(f"SELECT id, created_at FROM {POSTS} WHERE thread_id = (SELECT min(l_orderkey) FROM lineitem) AND NOT is_deleted ORDER BY created_at, id LIMIT 50")

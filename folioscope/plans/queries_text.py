@@ -106,12 +106,27 @@ def b4_section_parents(t):
     return S.section_parents(S.sessionize_sections(S.mark_headings(line_blocks(t)))).select("document_id", "id", "parent_id")
 
 
-@query()
+_TINY = f"""WITH RECURSIVE {GROUPED.replace(" AS (", " AS MATERIALIZED (")}, s AS MATERIALIZED (SELECT *, {key("title")} AS k, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS n FROM sections),
+ f AS (SELECT document_id, n, ord, ord AS into_ord, level AS kept FROM s WHERE n = 1 UNION ALL SELECT s.document_id, s.n, s.ord, CASE WHEN length(s.text) < 120 AND s.level > f.kept AND NOT regexp_matches(s.k, '{S.MAJOR}') THEN f.into_ord ELSE s.ord END,
+  CASE WHEN length(s.text) < 120 AND s.level > f.kept AND NOT regexp_matches(s.k, '{S.MAJOR}') THEN f.kept ELSE s.level END FROM f JOIN s ON s.document_id = f.document_id AND s.n = f.n + 1),
+ t AS (SELECT f.document_id, f.into_ord, {ws("string_agg(CASE WHEN s.ord = f.into_ord THEN s.text ELSE s.title || chr(10) || s.text END, chr(10) || chr(10) ORDER BY s.ord)")} AS text FROM f JOIN s USING (document_id, ord) GROUP BY ALL)
+ SELECT t.document_id, row_number() OVER (PARTITION BY t.document_id ORDER BY t.into_ord) - 1 AS ord, s.id, s.level, CAST(length(t.text) AS BIGINT) AS n FROM t JOIN s ON s.document_id = t.document_id AND s.ord = t.into_ord"""
+
+
+@query(_TINY)
 def b5_merge_tiny_sections(t):
     return S.merge_tiny_sections(S.sessionize_sections(S.mark_headings(line_blocks(t)))).select("document_id", "ord", "id", "level", F.length("text").alias("n"))
 
 
-@query()
+#: Sentences are split at marks (chr 1) put before them, and packed by a fold that puts chr 2 between chunks.
+CHUNKED = f"""secs AS (SELECT source AS document_id, CAST(doc_id AS BIGINT) AS ord, 's' || doc_id AS id, {LINE} AS title, {ws("text")} AS clean FROM documents),
+ packed AS (SELECT *, list_reduce(list_prepend('', string_split(regexp_replace(clean, '(\\.) +([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1))), lambda a, s: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(s) > 6000 AND trim(string_split(a, chr(2))[-1]) <> '' THEN a || chr(2) || ' ' || s ELSE a || ' ' || s END) AS p FROM secs WHERE clean <> ''),
+ parts AS (SELECT * EXCLUDE (p), trim(unnest(string_split(p, chr(2)))) AS text, generate_subscripts(string_split(p, chr(2)), 1) AS part FROM packed),
+ chunks AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ord, part) - 1 AS chunk_pos FROM parts)"""
+
+
+@query(f"""WITH {CHUNKED} SELECT 'chunk-' || {slug("id")} || '-' || part AS id, id AS section_id, document_id, chunk_pos, part, CASE WHEN contains({key("title")}, 'risk factors') THEN 'risk_factor' WHEN contains({key("title")}, 'financial') OR contains({key("title")}, 'capitalization') THEN 'financial_statement' ELSE 'narrative' END AS chunk_type,
+ title, text, CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS token_estimate, CAST(NULL AS VARCHAR) AS source_url, CASE WHEN title <> '' THEN title ELSE 'Untitled section' END || ' (' || document_id || ', section ' || ord || '), chunk ' || part || ': "' || {short("text", 140)} || '"' AS citation_label FROM chunks""")
 def b6_chunk_sections(t):
     return S.chunk_sections(doc_sections(t))
 
@@ -143,9 +158,9 @@ def c4_source_excerpt(t):
     return t.documents.select("doc_id", T.is_source_excerpt(F.col("text"), quote).alias("ok"))
 
 
-@query(f"SELECT doc_id, {ws('regexp_replace(regexp_replace(x, ' + chr(39) + re2(chr(92) + 'b[0-9]{1,4}' + chr(92) + 's*Table of Contents' + chr(92) + 'b') + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'gi' + chr(39) + '), ' + chr(39) + chr(92) + 'bTable of Contents' + chr(92) + 'b' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'gi' + chr(39) + ')')} AS clean FROM (SELECT doc_id, replace(left(text, 400), '.', ' ' || doc_id % 500 || ' TABLE of Contents and Table of Contents.') AS x FROM documents)")
+@query(f"SELECT doc_id, {ws('regexp_replace(regexp_replace(x, ' + chr(39) + re2(chr(92) + 'b[0-9]{1,4}' + chr(92) + 's*Table of Contents' + chr(92) + 'b') + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'gi' + chr(39) + '), ' + chr(39) + chr(92) + 'bTable of Contents' + chr(92) + 'b' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'gi' + chr(39) + ')')} AS clean FROM (SELECT doc_id, replace(text, '.', ' ' || doc_id % 500 || ' TABLE of Contents and Table of Contents.') AS x FROM documents)")
 def c5_page_furniture(t):
-    x = F.replace(F.substring("text", 1, 400), F.lit("."), F.concat(F.lit(" "), F.col("doc_id") % 500, F.lit(" TABLE of Contents and Table of Contents.")))
+    x = F.replace(F.col("text"), F.lit("."), F.concat(F.lit(" "), F.col("doc_id") % 500, F.lit(" TABLE of Contents and Table of Contents.")))
     return t.documents.select("doc_id", T.strip_page_furniture(x).alias("clean"))
 
 
@@ -158,7 +173,12 @@ def c6_prettify_quote(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", T.prettify_quote(x).alias("pretty"))
 
 
-@query()
+#: RE2 has no look-behind: every end is marked, and marks after abbreviations are taken back, twice as matches may touch.
+_UNMARK = f"'((?:^|[^A-Za-z0-9_]){T.ABBREVIATIONS}\\.)' || chr(1), '\\1 ', 'g'"
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace({ws('text')}, '([.!?]) +([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), {_UNMARK}), {_UNMARK}), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents)")
 def c7_split_sentences(t):
     return t.documents.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -177,14 +197,15 @@ def c9_quote_window(t):
     return d.select("doc_id", quote_window(F.col("text"), needle).alias("quote"))
 
 
-_TITLE_SQL = "trim(CASE doc_id % 4 WHEN 0 THEN 'Our costs may rise and ' || left(text, 60) WHEN 1 THEN 'Such losses could harm us, ' || left(text, 60) WHEN 2 THEN 'If sales decline, we may ' || left(text, 90) ELSE left(text, 200) || ' risk' END)"
+_TITLE_SQL = f"trim(CASE doc_id % 4 WHEN 0 THEN 'Our costs may rise and ' || {LINE} WHEN 1 THEN 'Such losses could harm us, ' || {LINE} WHEN 2 THEN 'If sales decline, we may ' || {LINE} ELSE {LINE} || ' risk' END)"
 _CLEAN_SQL = " AND ".join([like("x", "^[A-Z]"), "length(x) BETWEEN 45 AND 220", like("x", T.RISK_SIGNAL), *[f"NOT {like('x', p)}" for p in T.FRAGMENTS], *[f"({like('x', T.SUBORDINATOR)} OR NOT {like('x', p)})" for p in T.LOOSE_CLAUSES]])
 
 
 @query(f"SELECT doc_id, {_CLEAN_SQL} AS ok FROM (SELECT doc_id, regexp_replace({_TITLE_SQL}, '^{T.SPACE}+|{T.SPACE}+$', '', 'g') AS x FROM documents)")
 def c10_clean_title(t):
     k = F.col("doc_id") % 4
-    x = F.when(k == 0, F.concat(F.lit("Our costs may rise and "), F.substring("text", 1, 60))).when(k == 1, F.concat(F.lit("Such losses could harm us, "), F.substring("text", 1, 60))).when(k == 2, F.concat(F.lit("If sales decline, we may "), F.substring("text", 1, 90))).otherwise(F.concat(F.substring("text", 1, 200), F.lit(" risk")))
+    line = first_line()
+    x = F.when(k == 0, F.concat(F.lit("Our costs may rise and "), line)).when(k == 1, F.concat(F.lit("Such losses could harm us, "), line)).when(k == 2, F.concat(F.lit("If sales decline, we may "), line)).otherwise(F.concat(line, F.lit(" risk")))
     return t.documents.select("doc_id", T.is_clean_title(F.trim(x)).alias("ok"))
 
 
@@ -198,10 +219,9 @@ def c11_policy(t):
     return t.events.select("event_id", T.has_advice(x).alias("advice"), T.has_parser_language(x).alias("parser"), T.has_prohibited_language(x).alias("prohibited"))
 
 
-@query(rf"SELECT doc_id, upper(left(x, 1)) || substr(x, 2) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace({LINE}, '\bthe (in|on)\b', 'those', 'gi'), '\b(of|de) ?', 'about ', 'gi') AS x FROM documents WHERE NOT regexp_matches({LINE}, '[^\x00-\x7F]'))")
+@query(rf"SELECT doc_id, upper(left(x, 1)) || substr(x, 2) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace({LINE}, '\bthe (in|on)\b', 'those', 'gi'), '\b(of|de) ?', 'about ', 'gi') AS x FROM documents)")
 def c12_scrub_terms(t):
-    rows = t.documents.where(~first_line().rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", T.scrub_terms(first_line(), [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
+    return t.documents.select("doc_id", T.scrub_terms(first_line(), [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
 
 
 @query(f"SELECT doc_id, {LINE} AS title FROM documents WHERE contains(lower(text), 'tion the') OR contains(lower({LINE}), 'tion the') ORDER BY doc_id LIMIT 12")
@@ -296,28 +316,36 @@ def e9_resolve_theme(t):
 
 
 OPENERS = "The|Of|And|En|La|De|Die|Der|In|On"
+_HEAD = rf"(?:{OPENERS})[^.;:!?]{{20,220}}(?:\.|:)"
+#: Without look-ahead: titles are marked (chr 1 before, chr 2 after), and each piece after the first is a title and its body.
+_FOUND = f"list_filter(list_transform(string_split(regexp_replace(text, '({_HEAD})', chr(1) || '\\1' || chr(2), 'g'), chr(1))[2:], lambda x: struct_pack(title := regexp_replace({ws('split_part(x, chr(2), 1)')}, '[:.]$', ''), n := length({ws('split_part(x, chr(2), 1) || chr(32) || split_part(x, chr(2), 2)')}), extraction_method := 'sentence-heading-regex')), lambda x: x.n > 120)"
+_REST = f"list_filter(list_transform(list_filter(string_split(regexp_replace(text, '(Risks? Related to )', chr(1) || '\\1', 'gi'), chr(1)), lambda x: x <> ''), lambda x, i: struct_pack(title := CASE WHEN i = 1 THEN 'Risk factor' ELSE regexp_replace({short('x', 120)}, '[:.]$', '') END, n := length({ws('x')}), extraction_method := 'risk-related-to-fallback')), lambda x: x.n > 120)"
 
 
-@query()
+@query(f"""WITH {CHUNKED}, f AS (SELECT document_id, chunk_pos, {_FOUND} AS found, {_REST} AS rest FROM chunks), i AS (SELECT document_id, chunk_pos, CASE WHEN len(found) >= 3 THEN found ELSE rest END AS items FROM f)
+ SELECT document_id, chunk_pos, item_pos, x.title AS title, CAST(x.n AS BIGINT) AS n, x.extraction_method AS extraction_method FROM (SELECT document_id, chunk_pos, generate_subscripts(items, 1) - 1 AS item_pos, unnest(items) AS x FROM i)""")
 def f1_split_risk_text(t):
     rows = S.chunk_sections(doc_sections(t))
     return K.split_risk_text(rows.select("document_id", "chunk_pos", "id", "title", "text"), OPENERS).select("document_id", "chunk_pos", "item_pos", "title", F.length("body").alias("n"), "extraction_method")
 
 
-_ITEMS = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE ' RISK FACTORS ' END AS chunk_title, CASE WHEN doc_id % 7 = 0 THEN 'Risk factor' WHEN doc_id % 7 = 1 THEN 'The Co' ELSE left(text, 50) END AS title, left(text, 100 + doc_id % 900) AS body FROM documents)"
+#: Whole texts (pos -1) and their lines as bodies of items.
+_ITEMS = f"(SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE ' RISK FACTORS ' END AS chunk_title, CASE WHEN doc_id % 7 = 0 THEN 'Risk factor' WHEN doc_id % 7 = 1 THEN 'The Co' ELSE {LINE} END AS title, body FROM (SELECT doc_id, text, -1 AS pos, text AS body FROM documents UNION ALL SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) FROM documents))"
 
 
 def _items(t):
     d = F.col("doc_id")
-    return t.documents.select("doc_id", F.when(d % 3 == 0, "Other").otherwise(" RISK FACTORS ").alias("chunk_title"), F.when(d % 7 == 0, "Risk factor").when(d % 7 == 1, "The Co").otherwise(F.substring("text", 1, 50)).alias("title"), F.expr("left(text, CAST(100 + doc_id % 900 AS INT))").alias("body"))
+    bodies = F.concat(F.array("text"), F.split("text", "\n"))
+    rows = t.documents.select("doc_id", F.when(d % 3 == 0, "Other").otherwise(" RISK FACTORS ").alias("chunk_title"), F.when(d % 7 == 0, "Risk factor").when(d % 7 == 1, "The Co").otherwise(first_line()).alias("title"), F.posexplode(bodies).alias("pos", "body"))
+    return rows.withColumn("pos", F.col("pos") - 1)
 
 
 @query(f"""WITH k AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' OR regexp_matches({key('title')}, '^risk factors?$|^[0-9]+$') THEN 'toc_entry' WHEN length(body) < 180 THEN 'heading_only'
   WHEN length(body) < 500 OR length(body) < length(title) + 160 OR {like('trim(title)', r'(?i)^.{1,40},\s*(which|that)\b')} OR regexp_matches(trim(title), '^[A-Z]{{2,}},') OR {like('trim(title)', r'\b(U|U\.S|Inc|Corp|Mr|Mrs|Ms|Dr|No|Co|vs|e\.g|i\.e)$')} THEN 'fragment' ELSE 'full_text' END AS risk_extraction_type FROM {_ITEMS}),
 w AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' THEN 'Extracted from "' || chunk_title || '" rather than the main Risk Factors section.' WHEN risk_extraction_type = 'toc_entry' THEN 'Looks like a table-of-contents or section-heading entry.' WHEN risk_extraction_type = 'heading_only' THEN 'Looks like a heading with little supporting body text.' WHEN risk_extraction_type = 'fragment' THEN 'Risk source text is short or appears to start/end mid-factor.' WHEN title = 'Risk factor' THEN 'Missing specific risk title.' END AS extraction_warning FROM k)
-SELECT doc_id, risk_extraction_type, extraction_warning, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review FROM w""")
+SELECT doc_id, pos, risk_extraction_type, extraction_warning, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review FROM w""")
 def f2_classify_risk(t):
-    return K.classify_risk(_items(t)).select("doc_id", "risk_extraction_type", "extraction_warning", "confidence", "needs_review")
+    return K.classify_risk(_items(t)).select("doc_id", "pos", "risk_extraction_type", "extraction_warning", "confidence", "needs_review")
 
 
 @query(f"SELECT doc_id, pos, 'risk-' || pos || '-' || {slug('title')} AS id FROM (SELECT doc_id, {LINE} AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents)")
@@ -333,7 +361,7 @@ def risk_chunks(t):
 
 @query()
 def f4_extract_risks(t):
-    return K.extract_risks(risk_chunks(t), OPENERS, FRAGMENT_RULES, r"\b(the|der)\b", r"\b(on|die)\b")
+    return K.extract_risks(risk_chunks(t), FRAGMENT_RULES, r"\b(on|die)\b", r"\b(the|der)\b", OPENERS)
 
 
 _SIGNAL = T.RISK_SIGNAL
@@ -348,7 +376,10 @@ def i7_salience(t):
     return t.documents.select("doc_id", K.salience(title, F.col("text"), s, r"\b(the|der)\b").alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS MATERIALIZED (SELECT source AS document_id, doc_id AS id, doc_id % 7 AS theme, n_chars % 11 AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY n_chars % 13 DESC, doc_id) AS n FROM documents),
+ f AS (SELECT document_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST([] AS BIGINT[]) AS themes, CAST([] AS BIGINT[]) AS chunks FROM (SELECT DISTINCT document_id FROM c)
+ UNION ALL SELECT document_id, n, CASE WHEN ok THEN id END, CASE WHEN ok THEN list_append(themes, theme) ELSE themes END, CASE WHEN ok THEN list_append(chunks, chunk_id) ELSE chunks END FROM (SELECT c.*, f.themes, f.chunks, len(list_filter(f.themes, lambda x: x = c.theme)) < 2 AND len(list_filter(f.chunks, lambda x: x = c.chunk_id)) < 2 AS ok FROM f JOIN c ON c.document_id = f.document_id AND c.n = f.n + 1))
+ SELECT document_id, id, CAST(len(themes) AS BIGINT) AS rank FROM f WHERE id IS NOT NULL""")
 def i8_select_with_caps(t):
     rows = t.documents.select(F.col("source").alias("document_id"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), (F.col("doc_id") % 7).alias("theme"), (F.col("n_chars") % 11).alias("chunk_id"), (F.col("n_chars") % 13).alias("score"))
     return K.select_with_caps(rows)
