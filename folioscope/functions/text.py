@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # White space, and patterns whose matches decide results.
 SPACE = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space that is not just one plain space: a run, or another character of the set.
+UNEVEN = SPACE + "{2,}|" + SPACE.replace(r"\x20", "")
 #: The same set for Python.
 PY_SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 ADVICE = r"(?i)\b(should\s+(?:buy|sell|hold|invest)|buy\s+(?:now|the\s+(?:dip|stock|ipo|offering))|time\s+to\s+(?:buy|sell)|we\s+recommend|our\s+recommendation|recommend(?:ation)?\s+to\s+(?:buy|sell|hold)|strong\s+(?:buy|sell)|must[-\s]buy|attractive\s+valuation|under-?valued|over-?valued|guaranteed(?:\s+returns?)?|safe\s+investment|(?:price|profit|return)\s+targets?)\b"
@@ -53,7 +55,7 @@ def has(c: Column, pattern: str) -> Column:
 
 def norm_ws(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    return F.trim(F.regexp_replace(c, UNEVEN, " "))
 
 
 def is_not_blank(c: Column) -> Column:
@@ -64,7 +66,7 @@ def is_not_blank(c: Column) -> Column:
 def key_of_clean(c: Column) -> Column:
     """norm_title of a text whose white space is normalised."""
     kept = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N} ]", "")
-    return F.trim(F.regexp_replace(kept, " +", " "))
+    return F.trim(F.regexp_replace(kept, " {2,}", " "))
 
 
 def norm_title(c: Column) -> Column:

@@ -38,7 +38,8 @@ def line_blocks(t: Tables):
     """Lines of documents as blocks, every ninth one in capitals so that headings occur."""
     rows = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     text = F.when(F.col("pos") % 9 == 4, F.upper(F.replace(F.substring("line", 1, 60), F.lit("ß"), F.lit("ss")))).when(F.col("pos") % 9 == 7, F.concat(F.lit("Item "), F.col("pos"), F.lit(". "), F.substring("line", 1, 40))).otherwise(F.col("line"))
-    return rows.select("document_id", "pos", F.lit("p").alias("tag"), text.alias("text"))
+    # dealt by document before the patterns are tried: the windows need that shuffle anyway, and a table of one file is one task before it
+    return rows.repartition("document_id").select("document_id", "pos", F.lit("p").alias("tag"), text.alias("text"))
 
 
 LINES = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS pos, CASE WHEN (i - 1) % 9 = 4 THEN upper(replace(left(line, 60), 'ß', 'ss')) WHEN (i - 1) % 9 = 7 THEN 'Item ' || (i - 1) || '. ' || left(line, 40) ELSE line END AS text
