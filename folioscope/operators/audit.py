@@ -61,6 +61,48 @@ def schema_violations(df: DataFrame, spec: dict[str, dict], id_col: str = "id")
     return df.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("v")).select("id", "v.*")
 
 
+def _nested(value: Column, spec: dict, path: Column) -> Column:
+    """The violations at and below a value, as an array of (path, violation)."""
+    kind = "array<struct<path: string, violation: string>>"
+    none = F.array().cast(kind)
+    own = lambda cond, what: F.when(F.coalesce(cond, F.lit(False)), F.struct(path.alias("path"), F.lit(what).alias("violation")))
+    checks, below = [], []
+    if spec.get("required"):
+        checks.append(own(value.isNull(), "missing"))
+    if "enum" in spec:
+        checks.append(own(value.isNotNull() & ~value.isin(*spec["enum"]), "not in enum"))
+    if spec.get("non_empty"):
+        checks.append(own(F.size(value) == 0, "empty list"))
+    if "min_length" in spec:
+        checks.append(own(F.length(value) < spec["min_length"], "too short"))
+    if spec.get("url"):
+        checks.append(own(~value.rlike("^https?://[^ ]+$"), "not a URL"))
+    if "min" in spec:
+        checks.append(own(value < spec["min"], "too small"))
+    if "max" in spec:
+        checks.append(own(value > spec["max"], "too large"))
+    for name, sub in spec.get("fields", {}).items():
+        below.append(_nested(value.getField(name), sub, F.concat(path, F.lit(f".{name}"))))
+    if "items" in spec:
+        below.append(F.flatten(F.transform(value, lambda x, i: _nested(x, spec["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))))
+    if "values" in spec:
+        below.append(F.flatten(F.transform(F.map_entries(value), lambda e: _nested(e["value"], spec["values"], F.concat(path, F.lit("["), e["key"].cast("string"), F.lit("]"))))))
+    here = F.array_compact(F.array(*checks)).cast(kind) if checks else none
+    return F.concat(here, F.when(value.isNotNull(), F.concat(*below)).otherwise(none)) if below else here
+
+
+def nested_violations(df: DataFrame, spec: dict[str, dict], id_col: str = "id") -> DataFrame:
+    """(id, path, violation) of nested rows, in one pass over the table.
+
+    spec: column to its rules: required, enum, non_empty (lists and maps), min_length, url, min, max; and
+    fields (of a struct: name to rules), items (rules of every list entry), values (rules of every map value). A
+    path names fields by dots and entries by place or key, as in sections[0].items[2].confidence. What is null is
+    only checked for `required`, and nothing is checked below it. Repeated rows are each reported.
+    """
+    found = F.concat(*[_nested(F.col(name), rules, F.lit(name)) for name, rules in spec.items()])
+    return df.select(F.col(id_col).alias("id"), F.explode(found).alias("v")).select("id", "v.*")
+
+
 def merge_reviewed(generated: DataFrame, reviewed: DataFrame, id_col: str = "id", pos: str = "pos") -> DataFrame:
     """generated with rows replaced by id from reviewed (its last duplicate wins), then reviewed-only rows, all of them.
 

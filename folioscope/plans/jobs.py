@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope import schemas
 from folioscope.operators import audit, brief, evidence, forum, risks, rules, sections
-from folioscope.sources import html
+from folioscope.sources import html, tables
+from folioscope.sources.scratch import bounded, cut
 
 FLAGSHIP_RULES = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\b", k=3), dict(label="endings", category="b", pattern=r"[a-z]{3}tion\b", k=3)]
 
@@ -14,24 +16,55 @@ FLAGSHIP_RULES = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\
 def ingest(pages: DataFrame, manifest: DataFrame | None = None, versions: dict[str, str] | None = None, **rules_) -> dict[str, DataFrame]:
     """Tables of the pages that are new or changed: blocks, sections, chunks, tables, risks and run metrics.
 
-    pages: document_id, url, html. Blocks and tables are two passes over the pages, each with the
-    parser; html goes no further. rules_: what `risks.extract_risks` asks for.
+    pages: document_id, url, html. A page is parsed once; its parts, the sections and the chunks are
+    written to the shared folder, so no later step goes back to the html. rules_: what `risks.extract_risks` asks for.
     """
     if manifest is not None:
         todo = audit.needs_processing(audit.source_hashes(pages), manifest, versions or {})
         pages = pages.join(todo.select("document_id"), "document_id", "left_semi")
-    out = ingest_blocks(html.html_blocks(pages), **rules_)
-    tables = sections.associate_tables(html.extract_tables(pages), out["sections"])
-    out |= {"tables": tables, "metrics": audit.run_counts("run", {k: v for k, v in (out | {"tables": tables}).items() if k != "blocks"})}
+    parts = cut(html.page_parts(pages), "parts")
+    out = ingest_blocks(parts.where("kind = 'block'").drop("kind"), **rules_)
+    found = parts.where("kind = 'table'").select("document_id", F.col("pos").alias("ord"), "text")
+    out["tables"] = cut(sections.associate_tables(found, out["sections"]), "tables")
+    out["metrics"] = audit.run_counts("run", {k: v for k, v in out.items() if k != "blocks"})
     return out
 
 
 def ingest_blocks(blocks: DataFrame, **rules_) -> dict[str, DataFrame]:
     """Sections, chunks and risks of blocks (document_id, pos, tag, text). One shuffle by document serves all windows."""
     rows = blocks.repartition("document_id")
-    secs = sections.merge_tiny_sections(sections.section_parents(sections.sessionize_sections(sections.mark_headings(rows))))
-    chunks = sections.chunk_sections(secs)
-    return {"blocks": blocks, "sections": secs, "chunks": chunks, "risks": risks.extract_risks(chunks, **rules_)}
+    secs = cut(sections.section_parents(sections.sessionize_sections(sections.mark_headings(rows))), "sections")
+    secs = cut(sections.merge_tiny_sections(secs), "sections")
+    chunks = cut(sections.chunk_sections(secs), "chunks")
+    return {"blocks": blocks, "sections": secs, "chunks": chunks, "risks": cut(risks.extract_risks(chunks, **rules_), "risks")}
+
+
+STORED = ("sections", "chunks", "tables", "risks")
+
+
+def run_ingestion(pages: DataFrame, path: str, versions: dict[str, str], buckets: int = 64, force: bool = False, **rules_) -> dict[str, DataFrame]:
+    """Bring the tables at path up to date with all current pages; the stored tables, the manifest and run metrics.
+
+    Only pages that are new, changed, or made by other extractor versions are parsed. Documents that
+    have vanished lose their rows, all others keep theirs. The manifest (document_id, sha256,
+    size_bytes, versions) is written last, so a run that stopped is made good by the next. A
+    document_id stands for one page; pages must not repeat it.
+    """
+    spark = pages.sparkSession
+    hashes = cut(audit.source_hashes(pages.withColumn("document_id", F.col("document_id").cast("string"))), "hashes")
+    manifest = tables.read_table(spark, f"{path}/manifest", schemas.MANIFEST)
+    todo = cut(audit.needs_processing(hashes, manifest, versions, force).select("document_id"), "todo")
+    gone = cut(manifest.select("document_id").join(hashes.select("document_id"), "document_id", "left_anti"), "gone")
+    if not (todo.isEmpty() and gone.isEmpty()):
+        changed = pages.withColumn("document_id", F.col("document_id").cast("string")).join(bounded(todo), "document_id", "left_semi")
+        out = ingest(changed, **rules_)
+        tables.merge_artifacts({k: out[k] for k in STORED}, path, todo.union(gone), buckets)
+        made = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]) if versions else F.create_map().cast("map<string,string>")
+        new = hashes.join(todo, "document_id", "left_semi").withColumn("versions", made)
+        kept = manifest.join(todo.union(gone), "document_id", "left_anti").select(new.columns)
+        cut(kept.unionByName(new), "manifest").write.mode("overwrite").parquet(f"{path}/manifest")
+    stored = tables.stored_artifacts(spark, path)
+    return stored | {"manifest": tables.read_table(spark, f"{path}/manifest", schemas.MANIFEST), "metrics": audit.run_counts("run", stored or {"documents": hashes})}
 
 
 def build_brief(chunks: DataFrame, found: DataFrame, policy: DataFrame, themes: list[tuple[str, str]], entities: str, drafts: DataFrame | None = None, **tables) -> dict[str, DataFrame]:

@@ -35,15 +35,16 @@ def doc_chunks(t: Tables):
 
 
 def line_blocks(t: Tables):
-    """Lines of documents as blocks, every ninth one in capitals so that headings occur."""
-    rows = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    text = F.when(F.col("pos") % 9 == 4, F.upper(F.replace(F.substring("line", 1, 60), F.lit("ß"), F.lit("ss")))).when(F.col("pos") % 9 == 7, F.concat(F.lit("Item "), F.col("pos"), F.lit(". "), F.substring("line", 1, 40))).otherwise(F.col("line"))
+    """Lines of documents as blocks; before every ninth one stands its head in capitals, and before another its head as an item, so that headings occur."""
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    head = F.when(F.col("i") % 9 == 4, F.upper(F.replace(F.substring("line", 1, 60), F.lit("ß"), F.lit("ss")))).when(F.col("i") % 9 == 7, F.concat(F.lit("Item "), F.col("i"), F.lit(". "), F.substring("line", 1, 40)))
+    both = F.array(F.struct((2 * F.col("i")).alias("pos"), head.alias("text")), F.struct((2 * F.col("i") + 1).alias("pos"), F.col("line").alias("text")))
     # dealt by document before the patterns are tried: the windows need that shuffle anyway, and a table of one file is one task before it
-    return rows.repartition("document_id").select("document_id", "pos", F.lit("p").alias("tag"), text.alias("text"))
+    return rows.repartition("document_id").select("document_id", F.explode(both).alias("b")).where("b.text is not null").select("document_id", "b.pos", F.lit("p").alias("tag"), "b.text")
 
 
-LINES = """lines AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, i - 1 AS pos, CASE WHEN (i - 1) % 9 = 4 THEN upper(replace(left(line, 60), 'ß', 'ss')) WHEN (i - 1) % 9 = 7 THEN 'Item ' || (i - 1) || '. ' || left(line, 40) ELSE line END AS text
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
+LINES = """parts AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+lines AS (SELECT document_id, 2 * i + 1 AS pos, line AS text FROM parts UNION ALL SELECT document_id, 2 * i, upper(replace(left(line, 60), 'ß', 'ss')) FROM parts WHERE i % 9 = 4 UNION ALL SELECT document_id, 2 * i, 'Item ' || i || '. ' || left(line, 40) FROM parts WHERE i % 9 = 7)"""
 MARKED = f"""{LINES}, keyed AS (SELECT *, {ws("text")} AS clean, {key("text")} AS k FROM lines),
 marked AS (SELECT *, length(clean) BETWEEN 3 AND 180 AND (regexp_matches(k, '{S.MAJOR}') OR {like("clean", r"(?i)^item\s+\d+[a-z]?\.?\s+")} OR {like("clean", r"(?i)^part\s+[ivx]+")}
     OR (length(regexp_replace(clean, '[^A-Za-z]', '', 'g')) >= 4 AND clean = upper(clean))) AS is_heading,
@@ -220,9 +221,9 @@ def c11_policy(t):
     return t.events.select("event_id", T.has_advice(x).alias("advice"), T.has_parser_language(x).alias("parser"), T.has_prohibited_language(x).alias("prohibited"))
 
 
-@query(rf"SELECT doc_id, upper(left(x, 1)) || substr(x, 2) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace({LINE}, '\bthe (in|on)\b', 'those', 'gi'), '\b(of|de) ?', 'about ', 'gi') AS x FROM documents)")
+@query(rf"SELECT doc_id, upper(left(x, 1)) || substr(x, 2) AS clean FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\bthe (in|on)\b', 'those', 'gi'), '\b(of|de) ?', 'about ', 'gi') AS x FROM documents)")
 def c12_scrub_terms(t):
-    return t.documents.select("doc_id", T.scrub_terms(first_line(), [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
+    return t.documents.select("doc_id", T.scrub_terms(F.col("text"), [(r"\bthe (in|on)\b", "those"), (r"\b(of|de) ?", "about ")]).alias("clean"))
 
 
 @query(f"SELECT doc_id, {LINE} AS title FROM documents WHERE contains(lower(text), 'tion the') OR contains(lower({LINE}), 'tion the') ORDER BY doc_id LIMIT 12")

@@ -114,14 +114,14 @@ def _children_of(node):
     return [x for x in node.children if isinstance(x, Node)]
 
 
-def blocks(html: str) -> list[tuple[str, str, str | None]]:
-    """(tag, text, anchor) of visible blocks in order.
+def blocks(html: str | Node) -> list[tuple[str, str, str | None]]:
+    """(tag, text, anchor) of visible blocks in order, of a page or its tree.
 
     Every div without a block among its children, wherever it sits; and p, h1-h6 and tables that
     have no p, heading or table above them. Blocks without text are left out.
     """
     out = []
-    root = parse(html)
+    root = parse(html) if isinstance(html, str) else html
     body = next((n for n in root.walk() if n.tag == "body"), root)
     for node in body.walk():
         if node is body or node.tag not in BLOCKS:
@@ -153,6 +153,22 @@ def html_blocks(pages: DataFrame, id_col: str = "document_id", html_col: str = "
     return pages.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, pos int, tag string, text string, anchor string")
 
 
+def page_parts(pages: DataFrame, id_col: str = "document_id", html_col: str = "html") -> DataFrame:
+    """(id, kind, pos, tag, text, anchor): each page's blocks (kind `block`) and tables (kind `table`) from one parse; see html_blocks and extract_tables."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for i, h in zip(pdf[id_col], pdf[html_col], strict=True):
+                root = parse(h or "")
+                rows += [(i, "block", k, *b) for k, b in enumerate(blocks(root))]
+                rows += [(i, "table", k, "table", t, None) for k, t in enumerate(n.text(True) for n in root.walk() if n.tag == "table") if t]
+            yield pd.DataFrame(rows, columns=[id_col, "kind", "pos", "tag", "text", "anchor"])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    return pages.select(id_col, html_col).mapInPandas(run, f"`{id_col}` {kind}, kind string, pos int, tag string, text string, anchor string")
+
+
 def extract_tables(pages: DataFrame, id_col: str = "document_id", html_col: str = "html") -> DataFrame:
     """(id, ord, text) of every table, nested ones too; numbered before empty ones are dropped."""
 
