@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.operators import audit, brief, evidence, forum, risks, rules, sections
 from folioscope.sources import html, tables
-from folioscope.sources.scratch import bounded, cut
+from folioscope.sources.scratch import bounded, cut, release
 
 FLAGSHIP_RULES = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\b", k=3), dict(label="endings", category="b", pattern=r"[a-z]{3}tion\b", k=3)]
 
@@ -25,7 +25,7 @@ def ingest(pages: DataFrame, manifest: DataFrame | None = None, versions: dict[s
     parts = cut(html.page_parts(pages), "parts")
     out = ingest_blocks(parts.where("kind = 'block'").drop("kind"), **rules_)
     found = parts.where("kind = 'table'").select("document_id", F.col("pos").alias("ord"), "text")
-    out["tables"] = cut(sections.associate_tables(found, out["sections"]), "tables")
+    out["tables"] = sections.associate_tables(found, out["sections"])
     out["metrics"] = audit.run_counts("run", {k: v for k, v in out.items() if k != "blocks"})
     return out
 
@@ -33,13 +33,11 @@ def ingest(pages: DataFrame, manifest: DataFrame | None = None, versions: dict[s
 def ingest_blocks(blocks: DataFrame, **rules_) -> dict[str, DataFrame]:
     """Sections, chunks and risks of blocks (document_id, pos, tag, text). One shuffle by document serves all windows."""
     rows = blocks.repartition("document_id")
-    secs = cut(sections.section_parents(sections.sessionize_sections(sections.mark_headings(rows))), "sections")
-    secs = cut(sections.merge_tiny_sections(secs), "sections")
+    found = cut(sections.section_parents(sections.sessionize_sections(sections.mark_headings(rows))), "sections")
+    secs = cut(sections.merge_tiny_sections(found), "sections")
+    release(found)
     chunks = cut(sections.chunk_sections(secs), "chunks")
-    return {"blocks": blocks, "sections": secs, "chunks": chunks, "risks": cut(risks.extract_risks(chunks, **rules_), "risks")}
-
-
-STORED = ("sections", "chunks", "tables", "risks")
+    return {"blocks": blocks, "sections": secs, "chunks": chunks, "risks": risks.extract_risks(chunks, **rules_)}
 
 
 def run_ingestion(pages: DataFrame, path: str, versions: dict[str, str], buckets: int = 64, force: bool = False, **rules_) -> dict[str, DataFrame]:
@@ -56,15 +54,26 @@ def run_ingestion(pages: DataFrame, path: str, versions: dict[str, str], buckets
     todo = cut(audit.needs_processing(hashes, manifest, versions, force).select("document_id"), "todo")
     gone = cut(manifest.select("document_id").join(hashes.select("document_id"), "document_id", "left_anti"), "gone")
     if not (todo.isEmpty() and gone.isEmpty()):
+        replaced = cut(todo.union(gone), "replaced")
         changed = pages.withColumn("document_id", F.col("document_id").cast("string")).join(bounded(todo), "document_id", "left_semi")
-        out = ingest(changed, **rules_)
-        tables.merge_artifacts({k: out[k] for k in STORED}, path, todo.union(gone), buckets)
+        merge = lambda name, df: tables.merge_artifacts({name: df}, path, replaced, buckets)
+        # each table is made from the stored one before it, so no other copy of the texts is kept
+        own = lambda name: tables.stored_artifacts(spark, path)[name].drop("bucket").join(bounded(todo), "document_id", "left_semi")
+        parts = cut(html.page_parts(changed), "parts")
+        blocks = parts.where("kind = 'block'").drop("kind").repartition("document_id")
+        found = cut(sections.section_parents(sections.sessionize_sections(sections.mark_headings(blocks))), "sections")
+        merge("sections", sections.merge_tiny_sections(found))
+        release(found)
+        merge("tables", sections.associate_tables(parts.where("kind = 'table'").select("document_id", F.col("pos").alias("ord"), "text"), own("sections")))
+        release(parts)
+        merge("chunks", sections.chunk_sections(own("sections")))
+        merge("risks", risks.extract_risks(own("chunks"), **rules_))
         made = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]) if versions else F.create_map().cast("map<string,string>")
         new = hashes.join(todo, "document_id", "left_semi").withColumn("versions", made)
         kept = manifest.join(todo.union(gone), "document_id", "left_anti").select(new.columns)
         cut(kept.unionByName(new), "manifest").write.mode("overwrite").parquet(f"{path}/manifest")
     stored = tables.stored_artifacts(spark, path)
-    return stored | {"manifest": tables.read_table(spark, f"{path}/manifest", schemas.MANIFEST), "metrics": audit.run_counts("run", stored or {"documents": hashes})}
+    return {k: df.drop("bucket") for k, df in stored.items()} | {"manifest": tables.read_table(spark, f"{path}/manifest", schemas.MANIFEST), "metrics": audit.run_counts("run", stored or {"documents": hashes})}
 
 
 def build_brief(chunks: DataFrame, found: DataFrame, policy: DataFrame, themes: list[tuple[str, str]], entities: str, drafts: DataFrame | None = None, **tables) -> dict[str, DataFrame]:

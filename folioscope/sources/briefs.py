@@ -6,7 +6,9 @@ sorted by position columns before they are nested, so row order never decides a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names and types of a brief's document.
@@ -18,11 +20,6 @@ BRIEF = f"id STRING, title STRING, generatedAt STRING, filing {FILING}, disclaim
 TABLES = ("briefs", "snapshot", "sections", "items", "citations", "diagnostics")
 
 
-def in_order(by: str, value: Column) -> Column:
-    """The group's values, sorted by a column and then by themselves."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), value.alias("x")))), lambda s: s["x"])
-
-
 def nest_briefs(briefs: DataFrame, snapshot: DataFrame, sections: DataFrame, items: DataFrame, citations: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """One nested row a brief, with the columns of BRIEF.
 
@@ -35,27 +32,37 @@ def nest_briefs(briefs: DataFrame, snapshot: DataFrame, sections: DataFrame, ite
     Positions order lists and are not kept: reading back numbers them from 1. A brief is one value, so
     it must fit a task. A repeated snapshot key or metric is an error.
     """
-    cites = citations.groupBy("brief_id", "section_id", "id").agg(in_order("cite_pos", F.struct(F.col("chunk_id").alias("chunkId"), F.col("cited_section_id").alias("sectionId"), F.col("source_url").alias("sourceUrl"), "quote")).alias("citations"))
-    empty = lambda kind: F.array().cast(f"array<{kind}>")
-    rows = items.join(cites, ["brief_id", "section_id", "id"], "left")
-    item = F.struct("id", "title", "body", F.col("why_it_matters").alias("whyItMatters"), "confidence", F.col("needs_review").alias("needsReview"), F.coalesce("citations", empty(CITATION)).alias("citations"))
-    held = rows.groupBy("brief_id", "section_id").agg(in_order("item_pos", item).alias("items"))
-    rows = sections.join(held, ["brief_id", "section_id"], "left")
-    section = F.struct(F.col("section_id").alias("id"), "title", "summary", F.coalesce("items", empty(ITEM)).alias("items"), F.coalesce("warnings", empty("string")).alias("warnings"))
-    secs = rows.groupBy("brief_id").agg(in_order("section_pos", section).alias("sections"))
-    snap = snapshot.groupBy("brief_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda e: F.struct(e["key"], F.parse_json(F.coalesce(e["value"], F.lit("null")))))).alias("snapshot"))
-    counts = diagnostics.groupBy("brief_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", F.col("value").cast("long"))))).alias("counts"))
-    rows = briefs.join(snap, "brief_id", "left").join(secs, "brief_id", "left").join(counts, "brief_id", "left")
-    filing = F.struct(F.col("company_name").alias("companyName"), F.col("form_type").alias("formType"), F.col("accession_number").alias("accessionNumber"), F.col("filing_date").alias("filingDate"), F.col("source_url").alias("sourceUrl"))
-    return rows.select(
-        F.col("brief_id").cast("string").alias("id"), "title", F.col("generated_at").alias("generatedAt"), filing.alias("filing"), "disclaimer", F.coalesce("snapshot", F.create_map().cast("map<string, variant>")).alias("snapshot"),
-        F.coalesce("sections", empty(SECTION)).alias("sections"), F.struct(F.coalesce("counts", F.create_map().cast("map<string, bigint>")).alias("counts"), F.coalesce("warnings", empty("string")).alias("warnings")).alias("diagnostics"),
+    kinds = {
+        "item": F.struct("item_pos", F.struct("id", "title", "body", F.col("why_it_matters").alias("whyItMatters"), "confidence", F.col("needs_review").alias("needsReview")).alias("x")),
+        "cite": F.struct("cite_pos", F.struct(F.col("chunk_id").alias("chunkId"), F.col("cited_section_id").alias("sectionId"), F.col("source_url").alias("sourceUrl"), "quote").alias("x")),
+        "section": F.struct("section_pos", "title", "summary", F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")),
+        "head": F.struct("title", "generated_at", F.struct(F.col("company_name").alias("companyName"), F.col("form_type").alias("formType"), F.col("accession_number").alias("accessionNumber"), F.col("filing_date").alias("filingDate"), F.col("source_url").alias("sourceUrl")).alias("filing"), "disclaimer", "warnings"),
+        "snap": F.struct("key", "value"), "count": F.struct("metric", F.col("value").cast("long").alias("value")),
+    }
+    parts = []
+    for df, kind, keys in ((items, "item", ("section_id", "id")), (citations, "cite", ("section_id", "id")), (sections, "section", ("section_id",)), (briefs, "head", ()), (snapshot, "snap", ()), (diagnostics, "count", ())):
+        parts.append(df.select("brief_id", *[F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("section_id", "id")], kinds[kind].alias(kind)))
+    # dealt by brief once; all three groupings keep to that, so a text is shuffled once
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).repartition("brief_id")
+    listed = lambda *names: [F.collect_list(n).alias(n) for n in names]
+    joined = lambda *names: [F.flatten(F.collect_list(n)).alias(n) for n in names]
+    rows = rows.groupBy("brief_id", "section_id", "id").agg(*listed(*kinds))
+    cites = F.transform(F.array_sort("cite"), lambda c: c["x"])
+    item = lambda i: F.struct(i["item_pos"], F.struct(*[i["x"][c].alias(c) for c in ("id", "title", "body", "whyItMatters", "confidence", "needsReview")], cites.alias("citations")).alias("x"))
+    rows = rows.withColumn("item", F.transform("item", item)).groupBy("brief_id", "section_id").agg(*joined("item", "section", "head", "snap", "count"))
+    held = F.transform(F.array_sort("item"), lambda i: i["x"])
+    section = lambda s: F.struct(s["section_pos"], F.struct(F.col("section_id").alias("id"), s["title"].alias("title"), s["summary"].alias("summary"), held.alias("items"), s["warnings"].alias("warnings")).alias("x"))
+    rows = rows.withColumn("section", F.transform("section", section)).groupBy("brief_id").agg(*joined("section", "head", "snap", "count"))
+    snap = F.map_from_entries(F.transform(F.array_sort("snap"), lambda e: F.struct(e["key"], F.parse_json(F.coalesce(e["value"], F.lit("null"))))))
+    return rows.withColumn("head", F.explode("head")).select(
+        F.col("brief_id").cast("string").alias("id"), "head.title", F.col("head.generated_at").alias("generatedAt"), "head.filing", "head.disclaimer", snap.alias("snapshot"),
+        F.transform(F.array_sort("section"), lambda s: s["x"]).alias("sections"), F.struct(F.map_from_entries(F.array_sort("count")).alias("counts"), F.coalesce("head.warnings", F.array().cast("array<string>")).alias("warnings")).alias("diagnostics"),
     )
 
 
 def write_briefs(nested: DataFrame, path: str) -> None:
-    """A JSON document a line; absent optional fields are left out."""
-    nested.write.mode("overwrite").json(path)
+    """A JSON document a line, compressed; absent optional fields are left out."""
+    nested.write.mode("overwrite").json(path, compression="gzip")
 
 
 def read_briefs(spark: SparkSession, path: str) -> DataFrame:

@@ -33,11 +33,20 @@ def new_path(spark: SparkSession, name: str = "t") -> str:
 
 
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written to a new table in the shared folder and read again; it goes when the session ends."""
+    """df written to a new table in the shared folder and read again; it goes when the session ends, or with release()."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, name: str = "ids") -> DataFrame:

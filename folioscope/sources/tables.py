@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -124,6 +125,7 @@ def merge_artifacts(tables: dict[str, DataFrame], path: str, replaced: DataFrame
     _register({k: v for k, v in tables.items() if k not in reviewed and "document_id" in v.columns}, path, buckets, spark)
     ids = bounded(replaced.select(F.col("document_id").alias("_id")).distinct(), "replaced")
     touched = sorted(r["b"] for r in ids.select(bucket_of(F.col("_id"), buckets).alias("b")).distinct().collect())  # at most `buckets`
+    run = uuid.uuid4().hex
     for name, df in tables.items():
         if name in reviewed:
             continue
@@ -137,14 +139,14 @@ def merge_artifacts(tables: dict[str, DataFrame], path: str, replaced: DataFrame
         if there(spark, at):
             old = spark.read.schema(rows.schema).parquet(at).where(F.col("bucket").isin(touched))
             rows = rows.unionByName(old.join(ids, F.col("document_id").eqNullSafe(F.col("_id")), "left_anti"))
-        # an empty partition overwrites nothing, so buckets that lost their last row are deleted
-        left = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
-        # one partition a bucket and slice, so that a bucket is few files
-        rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(at)
-        for b in touched:
-            if b not in left:
-                gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/bucket={b}")
-                gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        # dealt by bucket and slice, so that a bucket is few files
+        rows = rows.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(8))).withColumn("run", F.lit(run))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket").parquet(at)
+        # an empty partition overwrites nothing: buckets that lost their last row still hold another run's, and are deleted
+        now = spark.read.schema("run string, bucket int").parquet(at).where(F.col("bucket").isin(touched) & (F.col("run") != run))
+        for r in now.select("bucket").distinct().collect():
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/bucket={r['bucket']}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
     return touched
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folioscope.plans import queries_audit, queries_forum, queries_store, queries_text, registry  # noqa: F401
+from folioscope.plans import queries_audit, queries_forum, queries_store, queries_streams, queries_text, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
