@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.operators.rules import THEMES, resolve_theme
 from folioscope.sources.scratch import cut
@@ -110,22 +114,76 @@ def score_from_votes(votes: DataFrame) -> DataFrame:
     return latest_votes(votes).groupBy("target_type", "target_id").agg(F.sum("value").cast("long").alias("score"))
 
 
-def reply_counts(events: DataFrame, count_deleted: bool = True) -> DataFrame:
-    """(thread_id, reply_count) from insert and delete events; soft-deleted posts count unless told otherwise."""
+def reply_counts(events: DataFrame, count_deleted: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
+    """(thread_id, reply_count) from insert and delete events; soft-deleted posts count unless told otherwise.
+
+    With order, columns that put a thread's events in order, every delete stops at 0, as floored_sums says. Without it the net count does, which
+    is the same where each delete comes after its insert.
+    """
     rows = events if count_deleted else events.where(~F.coalesce("is_deleted", F.lit(False)))
     step = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
+    if order:
+        return floored_sums(rows.withColumn("_step", step), "thread_id", "_step", order).withColumnRenamed("total", "reply_count")
     return rows.groupBy("thread_id").agg(F.greatest(F.lit(0), F.sum(step)).cast("long").alias("reply_count"))
 
 
+def floored_sums(rows: DataFrame, key: str, step: str, order: tuple[str, ...]) -> DataFrame:
+    """(key, total): a key's steps added up in order, where a sum that would fall under 0 becomes 0.
+
+    A run of steps is summed up by its sum and its least prefix sum, and two runs side by side by
+    these alone. So rows are sorted into ranges of (key, order), whatever a key's size, each range
+    yields a pair a key, and a key's pairs, one a range at most, are put together in order. A null
+    key is a key, null steps count as 0, and rows equal in key and order must have equal steps.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    plain = rows.select(F.col(key).alias("key"), *[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], F.coalesce(F.col(step).cast("long"), F.lit(0)).alias("step"))
+
+    def run(batches):
+        at = TaskContext.get().partitionId()
+        held = None  # the last key so far, its sum and least prefix sum
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, steps = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            codes = keys.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+            run_sum = np.cumsum(steps)
+            before = np.concatenate([[0], run_sum])[start]
+            total = np.concatenate([run_sum, [0]])[np.concatenate([start[1:], [n]]) - 1] - before
+            least = np.minimum.reduceat(run_sum, start) - before
+            found = list(zip(keys.take(pa.array(start)).to_pylist(), total.tolist(), least.tolist(), strict=True))
+            if held and held[0] == found[0][0]:
+                found[0] = (held[0], held[1] + found[0][1], min(held[2], held[1] + found[0][2]))
+            elif held:
+                found.insert(0, held)
+            held = found.pop()
+            if found:
+                yield table(found, at)
+        if held:
+            yield table([held], at)
+
+    def table(found, at):
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([at] * len(found), pa.int32()), *[pa.array([f[i] for f in found], pa.int64()) for i in (1, 2)]], ["key", "at", "total", "least"])
+
+    kind = to_arrow_type(plain.schema["key"].dataType)
+    ranged = plain.repartitionByRange("key", *names).sortWithinPartitions("key", *names).select("key", "step")
+    pairs = ranged.mapInArrow(run, f"key {plain.schema['key'].dataType.simpleString()}, at int, total long, least long")
+    pairs = pairs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "total", "least"))).alias("p"))
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("m"))
+    both = F.aggregate("p", zero, lambda a, x: F.struct((a["s"] + x["total"]).alias("s"), F.least(a["m"], a["s"] + x["least"]).alias("m")))
+    return pairs.select("key", both.alias("b")).select(F.col("key").alias(key), (F.col("b.s") - F.col("b.m")).alias("total"))
+
+
 def apply_scores(rows: DataFrame, votes: DataFrame, target_type: str) -> DataFrame:
     """Threads or posts with their score computed anew from the votes on that type; 0 without any."""
     s = score_from_votes(votes.where(F.col("target_type") == target_type)).select(F.col("target_id").alias("id"), F.col("score").alias("_s"))
     return rows.join(s, "id", "left").withColumn("score", F.coalesce("_s", F.lit(0))).drop("_s")
 
 
-def apply_counters(threads: DataFrame, votes: DataFrame, post_events: DataFrame) -> DataFrame:
-    """threads with score and reply_count computed anew; 0 without any."""
-    r = reply_counts(post_events).select(F.col("thread_id").alias("id"), F.col("reply_count").alias("_r"))
+def apply_counters(threads: DataFrame, votes: DataFrame, post_events: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """threads with score and reply_count computed anew; 0 without any. order: as for reply_counts."""
+    r = reply_counts(post_events, order=order).select(F.col("thread_id").alias("id"), F.col("reply_count").alias("_r"))
     rows = apply_scores(threads, votes, "thread").join(r, "id", "left")
     return rows.withColumn("reply_count", F.coalesce("_r", F.lit(0))).drop("_r")
 
@@ -169,25 +227,31 @@ def nearest_ranks(samples: DataFrame, percents: tuple[int, ...] = (95, 99)) -> D
     Counts by whole milliseconds place each rank in one millisecond; only its values are then
     counted. So a task has a name's milliseconds, or the values of one of them, and not its samples.
     """
-    rows = samples.where("ms is not null").select("name", "ms", F.floor("ms").alias("whole"))
-    upto = Window.partitionBy("name").orderBy("whole")
-    counts = rows.groupBy("name", "whole").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("name")))
+    # a join drops null names, so a name is told by what is never null
+    rows = samples.where("ms is not null").select("ms", F.floor("ms").alias("whole"), F.col("name").isNull().alias("none"), F.coalesce("name", F.lit("")).alias("name"))
+    upto = Window.partitionBy("none", "name").orderBy("whole")
+    counts = rows.groupBy("none", "name", "whole").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("none", "name")))
     ranks = counts.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("rank", F.ceil(F.col("n") * F.col("percent") / F.lit(100)))
-    ranks = ranks.where("rank > upto - c and rank <= upto").select("name", "whole", "percent", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
-    values = rows.join(ranks, ["name", "whole"]).groupBy("name", "percent", "rank", "ms").agg(F.count(F.lit(1)).alias("c"))
-    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy("name", "percent").orderBy("ms"))).where("rank > upto - c and rank <= upto")
-    return values.groupBy("name").agg(*[F.max(F.when(F.col("percent") == p, F.col("ms"))).alias(f"p{p}") for p in percents])
+    ranks = ranks.where("rank > upto - c and rank <= upto").select("none", "name", "whole", "percent", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+    values = rows.join(ranks, ["none", "name", "whole"]).groupBy("none", "name", "percent", "rank", "ms").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy("none", "name", "percent").orderBy("ms"))).where("rank > upto - c and rank <= upto")
+    return values.groupBy("none", "name").agg(*[F.max(F.when(F.col("percent") == p, F.col("ms"))).alias(f"p{p}") for p in percents]).select(F.when(~F.col("none"), F.col("name")).alias("name"), *[f"p{p}" for p in percents])
 
 
 def latency_report(samples: DataFrame, slo: DataFrame | None = None, approximate: bool = False) -> DataFrame:
-    """(name, n, errors, p95, p99, slo_p95, slo_p99, failed); percentiles by nearest rank over successes, 0 without any."""
+    """(name, n, errors, p95, p99, slo_p95, slo_p99, failed); percentiles by nearest rank over successes, 0 without any.
+
+    A null name is a name, and a null ok is an error; samples without ms have no rank.
+    """
+    samples = samples.withColumn("ok", F.coalesce("ok", F.lit(False)))
     rows = samples.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ok")).alias("errors"))
     if approximate:
         pct = lambda p: F.percentile_approx("ms", p / 100, 10000).alias(f"p{p}")
         ranks = samples.where("ok").groupBy("name").agg(pct(95), pct(99))
     else:
         ranks = nearest_ranks(samples.where("ok").select("name", "ms"))
-    rows = rows.join(ranks, "name", "left").na.fill(0.0, ["p95", "p99"])
+    ranks = ranks.withColumnRenamed("name", "_name")
+    rows = rows.join(ranks, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name").na.fill(0.0, ["p95", "p99"])
     if slo is None:
         slo = samples.sparkSession.createDataFrame([(k, *v) for k, v in SLO.items()], "name string, p95_ms double, p99_ms double")
     rows = rows.join(F.broadcast(slo), "name", "left").withColumn("slo_p95", F.coalesce("p95_ms", F.lit(DEFAULT_SLO[0]))).withColumn("slo_p99", F.coalesce("p99_ms", F.lit(DEFAULT_SLO[1]))).drop("p95_ms", "p99_ms")
@@ -216,8 +280,10 @@ def post_tree(posts: DataFrame, indent: int = 4, with_path: bool = True) -> Data
 
     Pointers to ancestors double each round, so a tree of any depth takes log2(depth) joins, and
     every round is written to the shared folder. Posts on or below a cycle have no root and are left
-    out. Paths of a chain grow with the square of its depth; with_path=False leaves them out.
+    out. Paths of a chain grow with the square of its depth; with_path=False leaves them out. Of rows
+    that repeat an id the one with the least parent counts, a null one last; rows without an id are left out.
     """
+    posts = posts.where("id is not null").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     kind = posts.schema["id"].dataType.simpleString()
     there = posts.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
     rows = posts.select("id", "parent_id").join(there, "parent_id", "left")

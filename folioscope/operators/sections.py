@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
+from folioscope.sources.scratch import bounded, cut
 
 #: Title keys that make a major section.
 MAJOR = r"^prospectus summary$|^summary$|^risk factors$|^use of proceeds$|^dividend policy$|^capitalization$|^dilution$|^selected financial data$|^summary financial data$|^managements discussion and analysis|^business$|^management$|^principal stockholders$|^certain relationships and related|^description of capital stock$|^shares eligible for future sale$|^material us federal income tax|^underwriting$"
@@ -54,40 +55,74 @@ def sessionize_sections(blocks: DataFrame) -> DataFrame:
     return out.select("document_id", "ord", own.alias("id"), title.alias("title"), T.norm_title(title).alias("normalized_title"), F.coalesce("level", F.lit(1)).alias("level"), text.alias("text"), "source_anchor")
 
 
-def section_parents(sections: DataFrame, max_level: int = 6) -> DataFrame:
-    """sections with parent_id: the nearest earlier section of a lower level in the document."""
-    before = Window.partitionBy("document_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.last(F.when(F.col("level") == k, F.struct("ord", "id")), ignorenulls=True).over(before) for k in range(1, max_level)}
-    rows = sections.withColumns({f"_p{k}": c for k, c in last.items()})
-    lower = [F.when(F.col("level") > k, F.col(f"_p{k}")) for k in last]
-    return rows.withColumn("parent_id", F.greatest(*lower)["id"]).drop(*[f"_p{k}" for k in last])
+#: Places (ord) of a document that one window looks at; what comes before is carried from block to block.
+BLOCK = 4096
 
 
-def merge_tiny_sections(sections: DataFrame, min_len: int = 120, major: str = MAJOR) -> DataFrame:
-    """Sections after folding short, deeper, non-major ones into the last kept; ord renumbered from 0.
+def _by_block():
+    return Window.partitionBy("document_id").orderBy("_block")
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """rows with the columns that carried has for their block; a first block carries nothing and has none."""
+    later = carried.where("_block > 0").withColumnsRenamed({"document_id": "_d", "_block": "_k"})
+    return rows.join(bounded(later, "carried"), F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("_block") == F.col("_k")), "left").drop("_d", "_k")
+
 
-    Each decision depends on the one before, because a fold lengthens the kept section's level
-    only by order; so lengths and levels go through a fold a document, and texts join back.
+def section_parents(sections: DataFrame, max_level: int = 6, block: int = BLOCK) -> DataFrame:
+    """sections with parent_id: the nearest earlier section of a lower level in the document.
+
+    Windows are a document's blocks of `block` places; each level's last section is carried over them by one row
+    a block. A null document is a document.
     """
+    rows = sections.withColumn("_block", F.floor(F.col("ord") / block))
+    own = {k: F.when(F.col("level") == k, F.struct("ord", "id")) for k in range(1, max_level)}
+    ends = rows.select("document_id", "_block", "ord", "id", "level").groupBy("document_id", "_block").agg(*[F.max(c).alias(f"_e{k}") for k, c in own.items()])
+    earlier = _by_block().rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("document_id", "_block", *[F.max(f"_e{k}").over(earlier).alias(f"_c{k}") for k in own])
+    before = Window.partitionBy("document_id", "_block").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"_p{k}": F.last(c, ignorenulls=True).over(before) for k, c in own.items()})
+    rows = _with_carried(rows, ends)
+    lower = [F.when(F.col("level") > k, F.coalesce(f"_p{k}", f"_c{k}")) for k in own]
+    return rows.withColumn("parent_id", F.greatest(*lower)["id"]).drop("_block", *[f"_{x}{k}" for k in own for x in "pc"])
+
+
+def merge_tiny_sections(sections: DataFrame, min_len: int = 120, major: str = MAJOR, block: int = BLOCK) -> DataFrame:
+    """Sections after folding short, deeper, non-major ones into the last kept; ord renumbered from 0.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        keep, kept_level, into = [], None, None
-        for o, n, level, is_major in zip(pdf["ord"], pdf["n"], pdf["level"], pdf["major"], strict=True):
-            if not (kept_level is not None and n < min_len and level > kept_level and not is_major):
-                kept_level, into = level, o
-            keep.append(into)
-        return pd.DataFrame({"document_id": pdf["document_id"], "ord": pdf["ord"], "into": keep})
-
-    keys = sections.select("document_id", "ord", F.length("text").alias("n"), "level", F.col("normalized_title").rlike(major).alias("major"))
-    kind = sections.schema["document_id"].dataType.simpleString()
-    target = keys.groupBy("document_id").applyInPandas(fold, f"document_id {kind}, ord int, into int")
-    rows = sections.join(target, ["document_id", "ord"])
+    A section that is long or major is kept. A short one is kept if its level is not over that of the last kept,
+    which after a long or major section only falls: so it is kept where its level is at most the least since that
+    section. That is a prefix minimum in segments, found in blocks of `block` places with one row a
+    block carried on, over lengths and levels alone; texts join back. What is folded into one section is put together in one task.
+    """
+    keys = sections.select("document_id", "ord", "level", (F.coalesce(F.length("text") >= min_len, F.lit(True)) | F.coalesce(F.col("normalized_title").rlike(major), F.lit(False))).alias("_firm"), F.floor(F.col("ord") / block).alias("_block"))
+    upto = Window.partitionBy("document_id", "_block").orderBy("ord")
+    rows = keys.withColumn("_seg", F.sum(F.col("_firm").cast("int")).over(upto))
+    segment = Window.partitionBy("document_id", "_block", "_seg").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_least", F.min("level").over(segment))
+    # a block's least level since its last firm section, or of all of it; blocks with one start a segment of blocks
+    ends = rows.groupBy("document_id", "_block").agg(F.max("_seg").alias("_n"), F.min_by("level", F.struct(-F.col("_seg"), F.col("level"))).alias("_low"))
+    ends = ends.withColumn("_run", F.sum((F.col("_n") > 0).cast("int")).over(_by_block()))
+    ends = ends.withColumn("_after", F.min("_low").over(Window.partitionBy("document_id", "_run").orderBy("_block")))
+    ends = ends.select("document_id", "_block", F.lag("_after").over(_by_block()).alias("_carry"))
+    rows = _with_carried(rows, ends)
+    least = F.when(F.col("_seg") == 0, F.least("_carry", "_least")).otherwise(F.col("_least"))
+    rows = rows.withColumn("_kept", F.col("_firm") | F.coalesce(F.col("level") <= least, F.lit(True))).select("document_id", "_block", "ord", "_kept")
+    rows = cut(rows, "kept")
+    kept = F.when(F.col("_kept"), F.col("ord"))
+    ends = rows.groupBy("document_id", "_block").agg(F.max(kept).alias("_last"), F.count(kept).alias("_held"))
+    earlier = _by_block().rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("document_id", "_block", F.max("_last").over(earlier).alias("_into"), F.sum("_held").over(earlier).alias("_before"))
+    rows = _with_carried(rows.withColumns({"_own": F.last(kept, ignorenulls=True).over(upto), "_n": F.count(kept).over(upto)}), ends)
+    target = rows.select(F.col("document_id").alias("_d"), F.col("ord").alias("_o"), F.coalesce("_own", "_into").alias("into"), (F.coalesce("_before", F.lit(0)) + F.col("_n") - 1).cast("int").alias("_new"))
+    rows = sections.join(target, F.col("document_id").eqNullSafe(F.col("_d")) & (F.col("ord") == F.col("_o"))).drop("_d", "_o")
     part = F.when(F.col("ord") == F.col("into"), F.col("text")).otherwise(F.concat_ws("\n", "title", "text"))
-    texts = rows.groupBy("document_id", "into").agg(F.array_sort(F.collect_list(F.struct("ord", part.alias("text")))).alias("parts"))
-    texts = texts.select("document_id", F.col("into").alias("ord"), T.norm_ws(F.array_join(F.col("parts.text"), "\n\n")).alias("_text"))
-    out = sections.join(texts, ["document_id", "ord"]).withColumn("text", F.col("_text")).drop("_text")
-    return out.withColumn("ord", (F.row_number().over(Window.partitionBy("document_id").orderBy("ord")) - 1).cast("int"))
+    others = [c for c in sections.columns if c not in ("document_id", "ord", "text")]
+    own = F.max_by(F.struct("_new", *others), F.when(F.col("ord") == F.col("into"), 1))
+    out = rows.groupBy("document_id", "into").agg(own.alias("_s"), F.array_sort(F.collect_list(F.struct("ord", part.alias("text")))).alias("parts"))
+    text = T.norm_ws(F.array_join(F.col("parts.text"), "\n\n"))
+    out = out.select("document_id", F.col("_s._new").alias("ord"), *[F.col(f"_s.{c}").alias(c) for c in others], text.alias("text"))
+    return out.select(sections.columns)
 
 
 def dangling_parents(sections: DataFrame) -> DataFrame:
@@ -168,6 +203,9 @@ def associate_tables(tables: DataFrame, sections: DataFrame, prefix: int = 80) -
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     key = key.withColumn("word", F.nullif(longest, F.lit("")))
     has = sections.select("document_id", F.col("ord").alias("section_ord"), F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
+    # only the words that some table asks for are shuffled
+    wanted = bounded(key.where("word is not null").select("document_id", "word").distinct(), "wanted")
+    has = has.join(wanted, ["document_id", "word"], "left_semi")
     named = key.where("word is not null").join(has, ["document_id", "word"]).select("document_id", "table_ord", "head", "section_ord")
     every = key.where("word is null").join(sections.select("document_id", F.col("ord").alias("section_ord")), "document_id").select("document_id", "table_ord", "head", "section_ord")
     where = sections.select("document_id", F.col("ord").alias("section_ord"), F.col("id").alias("section_id"), F.col("text").alias("section_text"))

@@ -127,6 +127,16 @@ def h2_reply_counts(t):
     return O.reply_counts(post_events(t))
 
 
+_LOG = "(SELECT doc_id, source AS thread_id, n_chars % 50 AS k, CASE WHEN doc_id * 7919 % 100 < 48 THEN 'delete' ELSE 'insert' END AS op FROM documents)"
+
+
+@query(f"SELECT thread_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list(CAST(CASE op WHEN 'insert' THEN 1 ELSE -1 END AS BIGINT) ORDER BY k, doc_id)), lambda a, b: greatest(0, a + b)) AS reply_count FROM {_LOG} GROUP BY 1")
+def h2_floored_counts(t):
+    """Logs with deletes before their inserts: every delete stops at 0."""
+    rows = t.documents.select("doc_id", F.col("source").alias("thread_id"), (F.col("n_chars") % 50).alias("k"), F.when(F.col("doc_id") * 7919 % 100 < 48, "delete").otherwise("insert").alias("op"))
+    return O.reply_counts(rows, order=("k", "doc_id"))
+
+
 @query(f"SELECT t.id, coalesce(s.score, 0) AS score, coalesce(c.reply_count, 0) AS reply_count FROM {THREADS} t LEFT JOIN {SCORES} s ON s.target_id = t.id LEFT JOIN {COUNTS} c ON c.thread_id = t.id")
 def h3_apply_counters(t):
     return O.apply_counters(threads(t), votes(t), post_events(t)).select("id", "score", "reply_count")
