@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators.evidence import verify_quotes
 from folioscope.operators.risks import MAIN_SECTION
+from folioscope.sources.scratch import cut
 
 #: Relative changes that count as drift.
 DRIFT = {"sections": 0.25, "chunks": 0.25, "risks": 0.3, "tables": 0.3}
@@ -244,61 +246,101 @@ def needs_processing(hashes: DataFrame, manifest: DataFrame, versions: dict[str,
 # --- validation -------------------------------------------------------------------------------
 
 
-def _row(df: DataFrame, severity: str, check: str, id_=None, detail=None) -> DataFrame:
-    lit = lambda x: F.lit(None).cast("string") if x is None else x.cast("string") if isinstance(x, Column) else F.lit(x)
-    return df.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), lit(id_).alias("id"), lit(detail).alias("detail"))
+def entries(df: DataFrame, rows: Sequence[tuple] = (), counts: dict[str, Column | None] | None = None, keys: dict[str, tuple] | None = None) -> DataFrame:
+    """(kind, check, id, detail) of everything that checks need of a table, in one pass over it.
 
+    rows: (severity, check, condition, id, detail): problems of single rows. counts: metric to
+    the condition under which a row counts (None: always). keys: check to (id, detail, condition), to
+    be counted or compared later; condition may be left out. A null condition is false.
+    """
+    text = lambda x: F.lit(None).cast("string") if x is None else (F.col(x) if isinstance(x, str) else x).cast("string")
+    entry = lambda kind, check, id_, detail: F.struct(F.lit(kind).alias("kind"), F.lit(check).alias("check"), text(id_).alias("id"), text(detail).alias("detail"))
+    out = [F.when(cond, entry(severity, check, id_, detail)) for severity, check, cond, id_, detail in rows]
+    out += [F.when(F.lit(True) if cond is None else cond, entry("count", name, None, None)) for name, cond in (counts or {}).items()]
+    out += [F.when(F.lit(True) if len(k) < 3 else k[2], entry("key", name, k[0], k[1])) for name, k in (keys or {}).items()]
+    return df.select(F.explode(F.array_compact(F.array(*out))).alias("e")).select("e.*")
+
+
+def gathered(*tables: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(kind, check, id, detail, n) of all entries, counted once for all checks and written; and the metrics among them."""
+    found = cut(union(*tables).groupBy("kind", "check", "id", "detail").agg(F.count(F.lit(1)).alias("n")), "checks")
+    metrics = {r["check"]: r["n"] for r in found.where("kind = 'count'").collect()}  # a row a metric
+    return found, metrics
+
+
+def problems(found: DataFrame, noted: list[tuple], *others: DataFrame) -> DataFrame:
+    """(severity, check, id, detail): the entries that are problems, those noted from metrics as (severity, check, id, detail), and others'."""
+    local = found.sparkSession.createDataFrame([(s, c, i, None if d is None else str(d)) for s, c, i, d in noted], "severity string, check string, id string, detail string")
+    return distinct_warnings(union(found.where("kind in ('error', 'warning')").select(F.col("kind").alias("severity"), "check", "id", "detail"), local, *others))
+
+
+def _found(df: DataFrame, severity: str, check: str | Column, id_: Column, detail: Column | None = None) -> DataFrame:
+    return df.select(F.lit(severity).alias("severity"), (check if isinstance(check, Column) else F.lit(check)).alias("check"), id_.cast("string").alias("id"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
 
-def _none(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
 
+def report_entries(report: DataFrame, severity: str) -> DataFrame:
+    """An extraction report's (level, message) own errors or warnings."""
+    return entries(report, [(severity, f"extraction report {severity}", F.col("level") == severity, None, "message")])
 
-def report_messages(report: DataFrame, severity: str) -> DataFrame:
-    """(severity, check, id, detail) of an extraction report (level, message): its own errors or warnings."""
-    return _row(report.where(F.col("level") == severity), severity, f"extraction report {severity}", None, F.col("message"))
+
+def wrong_quotes(records: dict[str, tuple[DataFrame, str]], chunks: DataFrame, mode: str) -> DataFrame:
+    """(severity, check, id, detail) of the citations of several kinds of records that fail; each chunk is read once for all. records: name to (records, severity)."""
+    rows = union(*[df.select(F.struct(F.lit(name).alias("kind"), F.lit(severity).alias("severity"), F.col("id").cast("string").alias("id")).alias("id"), "source_chunk_ids", "source_quote") for name, (df, severity) in records.items()])
+    bad = verify_quotes(rows, chunks, mode)
+    severity = F.when(F.col("check") == "missing_chunk", "error").otherwise(F.col("id.severity"))
+    return bad.select(severity.alias("severity"), F.concat_ws(" ", "id.kind", "check").alias("check"), F.col("id.id").alias("id"), F.col("chunk_id").cast("string").alias("detail"))
 
 
 def validate_corpus(documents: DataFrame, sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """(severity, check, id, detail) of fatal problems, and warnings of weak risk provenance; report: (level, message) rows of the extraction."""
-    out = [
-        _row(_none(documents.where(T.has(F.col("type"), "(?i)^s-?1$"))), "error", "no main document"),
-        _row(_none(sections), "error", "no sections"), _row(_none(chunks), "error", "no chunks"),
-        _row(_none(sections.where(F.col("normalized_title").contains("risk factors"))), "error", "no risk section"),
-        *[_row(df.where(F.coalesce("source_url", F.lit("")) == ""), "error", f"{n} without source URL", F.col("id")) for n, df in (("document", documents), ("section", sections), ("chunk", chunks))],
-        *[_row(df.where(F.coalesce(F.size("source_chunk_ids"), F.lit(0)) <= 0), "error", f"{n} without sources", F.col("id")) for n, df in (("fact", facts), ("risk", risks))],
-        _row(chunks.where(T.norm_ws(F.col("text")) == ""), "error", "empty chunk", F.col("id")),
-        *[_row(duplicate_ids(df), "error", f"duplicate {n} id", F.col("id")) for n, df in (("document", documents), ("section", sections), ("chunk", chunks), ("fact", facts), ("risk", risks))],
-        *[verify_quotes(df, chunks, "exact", s).select("severity", F.concat_ws(" ", F.lit(n), "check").alias("check"), "id", F.col("chunk_id").alias("detail")) for n, df, s in (("fact", facts, "error"), ("risk", risks, "warning"))],
-        _row(facts.where(T.has_prohibited_language(F.concat_ws(" ", "plain_english", "investor_relevance"))), "error", "prohibited language", F.col("id")),
-        _row(risks.join(sections.select(F.col("id").alias("source_section_id")), "source_section_id", "left_anti"), "warning", "weak section provenance", F.col("id")),
-        _row(risks.where(F.coalesce("source_quote", F.lit("")) == ""), "warning", "weak quote provenance", F.col("id")),
-    ]
+    """(severity, check, id, detail) of fatal problems, and warnings of weak risk provenance; report: (level, message) rows of the extraction.
+
+    Every table is passed over once for all of its checks, and once more where quotes are compared.
+    """
+    url = lambda n: ("error", f"{n} without source URL", F.coalesce("source_url", F.lit("")) == "", "id", None)
+    sources = lambda n: ("error", f"{n} without sources", F.coalesce(F.size("source_chunk_ids"), F.lit(0)) <= 0, "id", None)
+    tables = [
+        entries(documents, [url("document")], {"main documents": T.has(F.col("type"), "(?i)^s-?1$")}, {"document": ("id", None)}),
+        entries(sections, [url("section")], {"sections": None, "risk sections": F.col("normalized_title").contains("risk factors")}, {"section": ("id", None)}),
+        entries(chunks, [url("chunk"), ("error", "empty chunk", T.norm_ws(F.col("text")) == "", "id", None)], {"chunks": None}, {"chunk": ("id", None)}),
+        entries(facts, [sources("fact"), ("error", "prohibited language", T.has_prohibited_language(F.concat_ws(" ", "plain_english", "investor_relevance")), "id", None)], None, {"fact": ("id", None)}),
+        entries(risks, [sources("risk"), ("warning", "weak quote provenance", F.coalesce("source_quote", F.lit("")) == "", "id", None)], None, {"risk": ("id", None), "risk section": ("source_section_id", "id")}),
+    ]
     if report is not None:
-        out.append(report_messages(report, "error"))
-    return distinct_warnings(union(*out))
+        tables.append(report_entries(report, "error"))
+    found, n = gathered(*tables)
+    noted = [("error", check, None, None) for metric, check in (("main documents", "no main document"), ("sections", "no sections"), ("chunks", "no chunks"), ("risk sections", "no risk section")) if not n.get(metric)]
+    keys = found.where("kind = 'key'")
+    twice = keys.where("n > 1 and check <> 'risk section'")
+    known = keys.where("check = 'section' and id is not null").select("id")
+    lost = keys.where("check = 'risk section'").join(known, "id", "left_anti")
+    return problems(
+        found, noted, _found(twice, "error", F.concat(F.lit("duplicate "), "check", F.lit(" id")), F.col("id")), _found(lost, "warning", "weak section provenance", F.col("detail")),
+        wrong_quotes({"fact": (facts, "error"), "risk": (risks, "warning")}, chunks, "exact"),
+    )
 
 
 def warn_corpus(sections: DataFrame, chunks: DataFrame, facts: DataFrame, risks: DataFrame, tables: DataFrame, golden: DataFrame | None = None, report: DataFrame | None = None, min_sections: int = 50, min_facts: int = 25, full_text: tuple[int, int] = (40, 220), max_weak_sections: int = 10, large_chunk: int = 2500) -> DataFrame:
-    """(severity, check, id, detail) of warnings against thresholds, without duplicates."""
-    n = F.count(F.lit(1)).alias("n")
-    full = risks.agg(F.count_if(F.col("risk_extraction_type") == "full_text").alias("n"))
-    out = [
-        _row(sections.agg(n).where(F.col("n") < min_sections), "warning", "few sections", None, F.col("n")),
-        _row(facts.agg(n).where(F.col("n") < min_facts), "warning", "few facts", None, F.col("n")),
-        _row(full.where(~F.col("n").between(*full_text)), "warning", "full-text risks out of range", None, F.col("n")),
-        _row(risks.where("risk_extraction_type <> 'full_text'").agg(n).where("n > 0"), "warning", "suspicious risks", None, F.col("n")),
-        _row(sections.where((F.length("text") < 80) | (F.length("title") < 3)).agg(n).where(F.col("n") > max_weak_sections), "warning", "weak sections", None, F.col("n")),
-        _row(chunks.where((T.norm_title(F.coalesce("title", F.lit(""))).isin("", "untitled")) & (F.length("text") > large_chunk)).agg(n).where("n > 0"), "warning", "large untitled chunks", None, F.col("n")),
-        _row(table_link_summary(tables).where("unassociated > 0"), "warning", "unlinked tables", None, F.col("unassociated")),
-        _row(risks.where("character_length < 500").agg(n).where("n > 0"), "warning", "short risks", None, F.col("n")),
-        _row(shared_titles(risks).agg(n).where("n > 0"), "warning", "duplicate risk titles", None, F.col("n")),
-        _row(category_concentration(facts), "warning", "facts in few categories", F.col("document_id"), F.col("n_categories")),
+    """(severity, check, id, detail) of warnings against thresholds, without duplicates; every table is passed over once."""
+    kind, title = F.col("risk_extraction_type"), T.norm_title(F.coalesce("title", F.lit("")))
+    rows = [
+        entries(sections, counts={"sections": None, "weak sections": (F.length("text") < 80) | (F.length("title") < 3)}),
+        entries(facts, counts={"facts": None}, keys={"category": ("document_id", "category")}),
+        entries(risks, counts={"full text": kind == "full_text", "suspicious risks": kind != "full_text", "short risks": F.col("character_length") < 500}, keys={"title": (F.substring(T.norm_title(F.col("title")), 1, 90), None)}),
+        entries(chunks, counts={"large untitled chunks": title.isin("", "untitled") & (F.length("text") > large_chunk)}), entries(tables, counts={"unlinked tables": F.col("section_id").isNull()}),
     ]
     if report is not None:
-        out.append(report_messages(report, "warning"))
+        rows.append(report_entries(report, "warning"))
     if golden is not None:
-        out.append(_row(golden.where("not found"), "warning", "missing expected section", F.col("id"), F.col("document_id")))
-    return distinct_warnings(union(*out))
+        rows.append(entries(golden, [("warning", "missing expected section", ~F.col("found"), "id", "document_id")]))
+    found, n = gathered(*rows)
+    at = lambda metric: n.get(metric, 0)
+    shared = found.where("kind = 'key' and check = 'title' and n > 1").count()
+    checks = [
+        ("few sections", at("sections") < min_sections, at("sections")), ("few facts", at("facts") < min_facts, at("facts")), ("full-text risks out of range", not full_text[0] <= at("full text") <= full_text[1], at("full text")),
+        ("weak sections", at("weak sections") > max_weak_sections, at("weak sections")), *[(c, at(c) > 0, at(c)) for c in ("suspicious risks", "large untitled chunks", "unlinked tables", "short risks")], ("duplicate risk titles", shared > 0, shared),
+    ]
+    few = found.where("kind = 'key' and check = 'category'").groupBy("id").agg(F.count("detail").alias("k"), F.sum("n").alias("n")).where("k <= 2 and n >= 10")
+    return problems(found, [("warning", check, None, value) for check, hit, value in checks if hit], _found(few, "warning", "facts in few categories", F.col("id"), F.col("k")))
 
 
 def review_queue(facts: DataFrame, risks: DataFrame, sections: DataFrame) -> DataFrame:

@@ -154,38 +154,65 @@ def most_cited_section(citations: DataFrame, by: str = "brief_section_id") -> Da
 
 
 def validate_brief(items: DataFrame, cards: DataFrame, chunks: DataFrame, policy: DataFrame, citations: DataFrame, rejected: DataFrame, diagnostics: dict[str, int] | None = None, required: tuple[str, ...] = tuple(r[1] for r in ROUTES)) -> DataFrame:
-    """(severity, check, id, detail) of problems of one brief; citations: (id of the item, chunk_id, quote)."""
-    spark, row, n = items.sparkSession, audit._row, F.count(F.lit(1)).alias("n")
-    have = spark.createDataFrame([(s,) for s in required], "id string").join(items.select(F.col("section_id").alias("id")).distinct(), "id", "left_anti")
-    high = cards.where("confidence = 'high' and not needs_review and size(quality_warnings) = 0")
-    cited = cards.select("id", "topic", "source_quote", F.explode("source_chunk_ids").alias("chunk_id")).join(chunks.select(F.col("id").alias("chunk_id"), F.col("title").alias("chunk_title")), "chunk_id").join(F.broadcast(policy), "topic", "left")
-    key = T.norm_title(F.col("chunk_title"))
-    outside = ~F.coalesce(F.exists("allowed_titles", lambda t: T.norm_title(t) == key), F.lit(False))
+    """(severity, check, id, detail) of problems of one brief; citations: (id of the item, chunk_id, quote).
+
+    Items, cards and citations are passed over once for all of their checks; chunks are read for the
+    titles that cards cite, and for the texts that quotes are compared with. policy: a row a topic.
+    """
     prose, said = F.concat_ws(" ", "title", "plain_english"), F.concat_ws(" ", "title", "body")
-    candidate = items.where(T.has_parser_language(said))
-    share = items.agg(n, F.count_if(T.has_parser_language(said)).alias("k"))
-    meta = items.groupBy("section_id").agg(F.bool_and(T.has(said, "(?i)count|parser|generated|source notes")).alias("meta")).where("meta and section_id <> 'source-notes'")
-    risky = items.where("section_id = 'key-risk-themes'")
-    values = F.count_if(F.col("topic").isin("financial", "debt", "dilution") & is_real_value(F.col("source_quote"))).alias("n")
-    weak = cards.where("size(quality_warnings) > 0")
+    real = F.col("topic").isin("financial", "debt", "dilution") & is_real_value(F.col("source_quote"))
+    weak, risky = F.size("quality_warnings") > 0, F.col("section_id") == "key-risk-themes"
+    error = lambda check, cond, id_="id", detail=None: ("error", check, cond, id_, detail)
     quotes = citations.select("id", F.array("chunk_id").alias("source_chunk_ids"), F.col("quote").alias("source_quote"))
-    out = [
-        row(have, "error", "missing section", F.col("id")), row(cards.agg(n).where("n < 8"), "error", "too few cards", None, F.col("n")), row(high.agg(n).where("n < 8"), "error", "too few high-quality cards", None, F.col("n")),
-        row(items.where("section_id = 'ten-things'").agg(n).where("n < 5"), "error", "too few notice items", None, F.col("n")), row(weak, "error", "weak card accepted", F.col("id")),
-        row(items.join(weak.select(F.col("id").alias("card_id")), "card_id"), "error", "item uses a weak card", F.col("id")), row(cards.where("size(source_chunk_ids) = 0"), "error", "card without sources", F.col("id")),
-        *[evidence.verify_quotes(df, chunks, "signature").select("severity", F.concat_ws(" ", F.lit(k), "check").alias("check"), "id", F.col("chunk_id").alias("detail")) for k, df in (("card", cards), ("item", quotes))],
-        row(cited.where(outside), "error", "section not allowed for topic", F.col("id"), F.col("chunk_title")), row(cited.where((F.col("topic") == "risk") & T.has(F.col("source_quote"), GENERIC_PREAMBLE)), "error", "generic preamble quoted", F.col("id")),
-        row(cards.where(T.has_parser_language(prose)), "error", "parser language", F.col("id")), row(cards.where(T.has_advice(F.concat_ws(" ", prose, "why_it_matters"))), "error", "advice", F.col("id")),
-        row(candidate, "error", "parser language in item", F.col("id")), row(share.where("k > 0.2 * greatest(n, 1)"), "error", "too many candidate items", None, F.col("k")), row(meta, "error", "only meta items", F.col("section_id")),
-        row(items.join(citations.select("id").distinct(), "id", "left_anti"), "error", "item without citations", F.col("id")), row(items.where(T.has_advice(F.concat_ws(" ", said, "why_it_matters"))), "error", "advice in item", F.col("id")),
-        row(risky.where(~T.is_clean_title(F.col("title")) | T.has(F.col("title"), "(?i)risk factor$|additional risks")), "error", "weak risk title", F.col("id")), row(risky.groupBy("body").agg(n, F.max("id").alias("id")).where("n > 1"), "error", "risk explanation repeated", F.col("id")),
-        row(cards.agg(values).where("n < 3"), "error", "too few real values", None, F.col("n")), row(evidence.unbacked_figures(cards), "warning", "figure not in quote", F.col("id"), F.col("figure")),
+    tables = [
+        audit.entries(
+            cards,
+            [error("weak card accepted", weak), error("card without sources", F.size("source_chunk_ids") == 0), error("parser language", T.has_parser_language(prose)), error("advice", T.has_advice(F.concat_ws(" ", prose, "why_it_matters")))],
+            {"cards": None, "high cards": (F.col("confidence") == "high") & ~F.col("needs_review") & ~weak, "real values": real}, {"weak card": ("id", None, weak)},
+        ),
+        audit.entries(
+            items,
+            [
+                error("parser language in item", T.has_parser_language(said)), error("advice in item", T.has_advice(F.concat_ws(" ", said, "why_it_matters"))),
+                error("weak risk title", risky & (~T.is_clean_title(F.col("title")) | T.has(F.col("title"), "(?i)risk factor$|additional risks"))),
+            ],
+            {"items": None, "candidates": T.has_parser_language(said), "notices": F.col("section_id") == "ten-things"},
+            {
+                "section": ("section_id", F.coalesce(T.has(said, "(?i)count|parser|generated|source notes"), F.lit(False))), "item": ("id", None), "item card": ("card_id", "id"),
+                "explanation": (F.sha2(F.col("body"), 256), "id", risky & F.col("body").isNotNull()),
+            },
+        ),
+        audit.entries(citations, keys={"cited": ("id", None)}), audit.entries(rejected, counts={"rejected": None}),
     ]
+    found, n = audit.gathered(*tables)
+    at = lambda metric: n.get(metric, 0)
+    keys = found.where("kind = 'key'")
+    noted = [("error", check, None, at(metric)) for metric, least, check in (("cards", 8, "too few cards"), ("high cards", 8, "too few high-quality cards"), ("notices", 5, "too few notice items"), ("real values", 3, "too few real values")) if at(metric) < least]
+    if at("candidates") > 0.2 * max(at("items"), 1):
+        noted.append(("error", "too many candidate items", None, at("candidates")))
     if diagnostics is not None:
-        out += [row(cards.agg(values).where(F.col("n") != diagnostics.get("real_values", 0)), "warning", "real values disagree", None, F.col("n")), row(rejected.agg(n).where(F.col("n") != diagnostics.get("rejected", 0)), "warning", "rejected count disagrees", None, F.col("n"))]
+        noted += [("warning", check, None, at(metric)) for metric, name, check in (("real values", "real_values", "real values disagree"), ("rejected", "rejected", "rejected count disagrees")) if at(metric) != diagnostics.get(name, 0)]
         if diagnostics.get("risk_themes", 0) < 5:
-            out.append(row(spark.range(1), "warning", "few risk themes", None, F.lit(str(diagnostics.get("risk_themes", 0)))))
-    return audit.distinct_warnings(audit.union(*out))
+            noted.append(("warning", "few risk themes", None, diagnostics.get("risk_themes", 0)))
+    sections = keys.where("check = 'section'").groupBy("id").agg(F.bool_and(F.col("detail") == "true").alias("meta"))
+    need = items.sparkSession.createDataFrame([(s,) for s in required], "id string")
+    same = keys.where("check = 'explanation'").groupBy("id").agg(F.sum("n").alias("k"), F.max("detail").alias("item")).where("k > 1")
+    bare = keys.where("check = 'item'").join(keys.where("check = 'cited'").select("id"), "id", "left_anti")
+    user = keys.where("check = 'item card'").join(keys.where("check = 'weak card'").select("id"), "id", "left_semi")
+    titles = evidence.cited_chunks(chunks, cards.select(F.explode("source_chunk_ids").alias("chunk_id"))).select(F.col("id").alias("chunk_id"), F.col("title").alias("chunk_title"))
+    cited = cards.select("id", "topic", "source_quote", F.explode("source_chunk_ids").alias("chunk_id")).join(titles, "chunk_id").join(F.broadcast(policy), "topic", "left")
+    key = T.norm_title(F.col("chunk_title"))
+    outside = ~F.coalesce(F.exists("allowed_titles", lambda t: T.norm_title(t) == key), F.lit(False))
+    linked = audit.entries(cited, [error("section not allowed for topic", outside, "id", "chunk_title"), error("generic preamble quoted", (F.col("topic") == "risk") & T.has(F.col("source_quote"), GENERIC_PREAMBLE))])
+    figures = evidence.unbacked_figures(cards)
+    row = audit._found
+    return audit.problems(
+        found, noted,
+        row(need.join(sections, "id", "left_anti"), "error", "missing section", F.col("id")), row(sections.where("meta and id <> 'source-notes'"), "error", "only meta items", F.col("id")),
+        row(same, "error", "risk explanation repeated", F.col("item")), row(bare, "error", "item without citations", F.col("id")), row(user, "error", "item uses a weak card", F.col("detail")),
+        linked.select(F.col("kind").alias("severity"), "check", "id", "detail"), row(figures, "warning", "figure not in quote", F.col("id"), F.col("figure")),
+        audit.wrong_quotes({"card": (cards, "error"), "item": (quotes, "error")}, chunks, "signature"),
+    )
 
 
 def render_markdown(items: DataFrame, citations: DataFrame, briefs: DataFrame, brief: str = "brief_id") -> DataFrame:
