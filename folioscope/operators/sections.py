@@ -20,19 +20,21 @@ def mark_headings(blocks: DataFrame, major: str = MAJOR) -> DataFrame:
     """blocks with is_heading and level.
 
     A heading is an h-tag, or 3 to 180 characters that are a major title, an item or part number,
-    or capitals with four ASCII letters. Level: from the tag, else 1 for major titles and items, else 2.
+    or capitals with four ASCII letters. Level: from the tag, else 1 for major titles and items, else 2;
+    null where there is no heading. Blocks that are too long for one are not tried on.
     """
     # each step is a projection of its own, so that no test spells out another's expression again
-    rows = blocks.withColumn("_clean", T.norm_ws(F.col("text"))).withColumn("_key", T.key_of_clean(F.col("_clean")))
-    rows = rows.withColumn("_major", F.col("_key").rlike(major))
-    clean = F.col("_clean")
+    rows = blocks.withColumn("_clean", T.norm_ws(F.col("text")))
+    clean, tag = F.col("_clean"), F.coalesce(F.col("tag").rlike("^h"), F.lit(False))
+    rows = rows.withColumn("_key", F.when(tag | (F.length(clean) <= 180), T.key_of_clean(clean)))
+    rows = rows.withColumn("_major", F.coalesce(F.col("_key").rlike(major), F.lit(False)))
     letters = F.regexp_replace(clean, "[^A-Za-z]", "")
     item = T.has(clean, r"(?i)^item\s+\d+[a-z]?\.?\s+")
     by_text = F.length(clean).between(3, 180) & (F.col("_major") | item | T.has(clean, r"(?i)^part\s+[ivx]+") | ((clean == F.upper(clean)) & (F.length(letters) >= 4)))
-    tag = F.coalesce(F.col("tag").rlike("^h"), F.lit(False))
+    rows = rows.withColumn("is_heading", tag | F.coalesce(by_text, F.lit(False)))
     number = F.expr("nullif(try_cast(replace(tag, 'h', '') AS INT), 0)")
     level = F.coalesce(F.when(tag, number), F.when(F.col("_major") | T.has(F.col("text"), r"(?i)^item\s+\d+"), 1).otherwise(2))
-    return rows.withColumns({"is_heading": tag | F.coalesce(by_text, F.lit(False)), "level": level}).drop("_clean", "_key", "_major")
+    return rows.withColumn("level", F.when(F.col("is_heading"), level)).drop("_clean", "_key", "_major")
 
 
 def sessionize_sections(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope import schemas
 from folioscope.operators import audit, brief, evidence, forum, risks, rules, sections
 from folioscope.sources import html, tables
-from folioscope.sources.scratch import bounded, cut, release
+from folioscope.sources.scratch import bounded, cut, release, tidy
 
 FLAGSHIP_RULES = [dict(label="articles", category="a", pattern=r"\b(the|der|la)\b", k=3), dict(label="endings", category="b", pattern=r"[a-z]{3}tion\b", k=3)]
 
@@ -19,6 +19,7 @@ def ingest(pages: DataFrame, manifest: DataFrame | None = None, versions: dict[s
     pages: document_id, url, html. A page is parsed once; its parts, the sections and the chunks are
     written to the shared folder, so no later step goes back to the html. rules_: what `risks.extract_risks` asks for.
     """
+    tidy(pages.sparkSession)
     if manifest is not None:
         todo = audit.needs_processing(audit.source_hashes(pages), manifest, versions or {})
         pages = pages.join(todo.select("document_id"), "document_id", "left_semi")
@@ -49,6 +50,7 @@ def run_ingestion(pages: DataFrame, path: str, versions: dict[str, str], buckets
     document_id stands for one page; pages must not repeat it.
     """
     spark = pages.sparkSession
+    tidy(spark)
     hashes = cut(audit.source_hashes(pages.withColumn("document_id", F.col("document_id").cast("string"))), "hashes")
     manifest = tables.read_table(spark, f"{path}/manifest", schemas.MANIFEST)
     todo = cut(audit.needs_processing(hashes, manifest, versions, force).select("document_id"), "todo")

@@ -34,10 +34,15 @@ def doc_chunks(t: Tables):
     return d.select(F.col("source").alias("document_id"), F.col("doc_id").cast("int").alias("chunk_pos"), F.concat(F.lit("c"), "doc_id").alias("id"), F.concat(F.lit("s"), "doc_id").alias("section_id"), first_line().alias("title"), "text")
 
 
+def line_head(line, i):
+    """What stands before a line: before every ninth one its head in capitals, before another its head as an item, else null."""
+    return F.when(i % 9 == 4, F.upper(F.replace(F.substring(line, 1, 60), F.lit("ß"), F.lit("ss")))).when(i % 9 == 7, F.concat(F.lit("Item "), i.cast("string"), F.lit(". "), F.substring(line, 1, 40)))
+
+
 def line_blocks(t: Tables):
-    """Lines of documents as blocks; before every ninth one stands its head in capitals, and before another its head as an item, so that headings occur."""
+    """Lines of documents as blocks, with heads before some, so that headings occur."""
     rows = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    head = F.when(F.col("i") % 9 == 4, F.upper(F.replace(F.substring("line", 1, 60), F.lit("ß"), F.lit("ss")))).when(F.col("i") % 9 == 7, F.concat(F.lit("Item "), F.col("i"), F.lit(". "), F.substring("line", 1, 40)))
+    head = line_head(F.col("line"), F.col("i"))
     both = F.array(F.struct((2 * F.col("i")).alias("pos"), head.alias("text")), F.struct((2 * F.col("i") + 1).alias("pos"), F.col("line").alias("text")))
     # dealt by document before the patterns are tried: the windows need that shuffle anyway, and a table of one file is one task before it
     return rows.repartition("document_id").select("document_id", F.explode(both).alias("b")).where("b.text is not null").select("document_id", "b.pos", F.lit("p").alias("tag"), "b.text")
@@ -93,7 +98,7 @@ def b8_pick_main_document(t):
     return S.pick_main_document(rows.withColumn("sequence", F.col("sequence").cast("long")), "^7").select("package_id", "sequence", "filename")
 
 
-@query(f"WITH {MARKED} SELECT document_id, pos, is_heading, CAST(level AS BIGINT) AS level FROM marked")
+@query(f"WITH {MARKED} SELECT document_id, pos, is_heading, CAST(CASE WHEN is_heading THEN level END AS BIGINT) AS level FROM marked")
 def b2_mark_headings(t):
     return S.mark_headings(line_blocks(t)).select("document_id", "pos", "is_heading", "level")
 

@@ -42,6 +42,11 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the session delete each query's shuffle files when it ends: jobs of many written steps need them no longer. Jobs make this setting, operators don't."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:
