@@ -147,3 +147,66 @@ def test_profiles_and_defaults(spark):
     assert got == {"u1": ("x", "X Y"), "u2": ("a", "New member"), "12345678-9": ("user_12345678", "New member")}
     df = spark.createDataFrame([("old",), ("none",)], "author_id string")
     assert {(r["author_handle"], r["author_display_name"], r["author_role"]) for r in O.with_author_defaults(df, old).collect()} == {("h", "h", "moderator"), ("member", "Community member", "member")}
+
+
+def test_floored_counts_against_a_fold(spark):
+    """Deletes before inserts, ties, a key with most rows, keys without a name, empty logs."""
+    import random
+
+    g = random.Random(4)
+    rows = [(g.choice(["hot"] * 6 + ["a", "b", None, ""]), g.randint(0, 40), i, g.choice(["insert", "delete", "delete", "edit", None]), g.random() < 0.2) for i in range(600)]
+    df = spark.createDataFrame(rows, "thread_id string, ts int, id int, op string, is_deleted boolean").repartition(5)
+    for keep in (True, False):
+        want = {}
+        for thread, _, _, op, gone in sorted(rows, key=lambda r: r[1:3]):
+            if keep or not gone:
+                want[thread] = max(0, want.get(thread, 0) + {"insert": 1, "delete": -1}.get(op, 0))
+        assert {r["thread_id"]: r["reply_count"] for r in O.reply_counts(df, keep, ("ts", "id")).collect()} == want
+    assert O.reply_counts(df.where("false"), order=("ts", "id")).count() == 0
+    valid = spark.createDataFrame([("t", 1, "delete"), ("t", 2, "insert")], "thread_id string, ts int, op string")
+    assert [O.reply_counts(valid, order=o).first()["reply_count"] for o in ((), ("ts",))] == [0, 1]
+
+
+def test_latency_of_no_name_and_unknown_outcome(spark):
+    rows = [(None, 900.0, True), (None, 800.0, True), ("", 5.0, True), ("a", 1.0, None), ("a", None, True)]
+    got = {r["name"]: (r["n"], r["errors"], r["p95"], r["p99"], r["failed"]) for r in O.latency_report(spark.createDataFrame(rows, "name string, ms double, ok boolean")).collect()}
+    assert got == {None: (2, 0, 900.0, 900.0, True), "": (1, 0, 5.0, 5.0, False), "a": (2, 1, 0.0, 0.0, True)}
+
+
+def test_tree_of_repeated_posts(spark):
+    rows = [(1, None), (2, 1), (2, 1), (2, None), (3, 2), (3, 2), (None, 1)]
+    got = sorted((r["id"], r["root_id"], r["depth"], r["path"]) for r in O.post_tree(spark.createDataFrame(rows, "id long, parent_id long")).collect())
+    assert got == [(1, 1, 0, [1]), (2, 1, 1, [1, 2]), (3, 1, 2, [1, 2, 3])]
+
+
+def test_limits_against_a_window_for_each_bucket(spark):
+    """A hot address with half of all rows, null times and subjects, three steps."""
+    import datetime as dt
+    import random
+
+    from folioscope.operators import ratelimit as L
+
+    g = random.Random(5)
+    t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    limits = (("vote", 1, "user", 60, 2), ("vote", 2, "user", 600, 5), ("vote", 3, "ip", 60, 9), ("post", 1, "user", 60, 1), ("post", 2, "ip", 60, 3), ("bad", 1, "user", 60, 0))
+    rows = [(i, None if i % 50 == 7 else t0 + dt.timedelta(seconds=g.randint(0, 900)), g.choice([1, 2, 3, 4, 5, 6, None]), "unknown" if g.random() < 0.5 else g.choice(["a", " ", None]), g.choice(["vote", "vote", "post", "bad", "other", None])) for i in range(500)]
+    want = {}
+    live = {r[0]: r for r in rows if r[4] in ("vote", "post", "bad")}
+    want |= {r[0]: 0 for r in rows if r[0] not in live}
+    for step in (1, 2, 3):
+        rule = {x[0]: x[2:] for x in limits if x[1] == step}
+        used = {}
+        for i, ts, user, ip, action in sorted(live.values(), key=lambda r: (r[1] is not None, r[1] or t0, r[0])):
+            if action not in rule:
+                continue
+            scope, secs, most = rule[action]
+            subject = ("" if user is None else str(user)) if scope == "user" else (ip or "").strip()
+            key = scope, subject, action, None if ts is None else int(ts.timestamp()) // secs
+            used[key] = used.get(key, 0) + 1
+            if not subject or most < 1 or used[key] > most:
+                want[i] = step
+                del live[i]
+    df = spark.createDataFrame(rows, "event_id int, ts timestamp, user_id int, ip string, action string").repartition(6)
+    out = L.rate_limit(df, limits)
+    got = {r["event_id"]: r["denied_step"] for r in out.collect()}
+    assert got == {r[0]: want.get(r[0]) for r in rows} and {r["retry_after"] for r in out.where("denied_step = 2 and action = 'vote'").collect()} == {600}

@@ -89,3 +89,9 @@ def test_quotes_and_gate(spark):
     cards = spark.createDataFrame([("a", "Cash was $4.694 billion", "and $12 and $7", "total 4,694 (in millions) 12")], "id string, title string, plain_english string, source_quote string")
     assert V.unbacked_figures(cards).count() == 0  # $7 has one digit
     assert [r["figure"] for r in V.unbacked_figures(cards.withColumn("source_quote", F.lit("469"))).orderBy("figure").collect()] == ["12", "4694"]
+
+
+def test_caps_hold_for_no_theme_and_no_chunk(spark):
+    rows = [("d", i, i, None if i < 6 else "t", i if i < 6 else None, 0) for i in range(9)] + [(None, 20 + i, i, "t", i, 0) for i in range(3)]
+    got = K.select_with_caps(spark.createDataFrame(rows, "document_id string, id int, pos int, theme string, chunk_id int, score int"))
+    assert sorted((str(r["document_id"]), r["rank"], r["id"]) for r in got.collect()) == [("None", 1, 20), ("None", 2, 21), ("d", 1, 0), ("d", 2, 1), ("d", 3, 6), ("d", 4, 7)]

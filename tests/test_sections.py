@@ -70,3 +70,32 @@ def test_main_document_and_labels(spark):
     ids = spark.createDataFrame([("section-40-riskfactors",), ("chunk-section9useofproceeds-2",), ("section-3-some_other",), ("section-7",)], "id string")
     titles = spark.createDataFrame([("riskfactors", "Risk Factors"), ("useofproceeds", "Use of Proceeds")], "slug string, title string")
     assert {r["id"]: r["label"] for r in S.section_label(ids, titles).collect()} == {"section-40-riskfactors": "Risk Factors", "chunk-section9useofproceeds-2": "Use of Proceeds", "section-3-some_other": "Some Other", "section-7": "Filing source"}
+
+
+def test_parents_and_folding_over_blocks(spark):
+    """Any block size gives what one look at the whole document gives."""
+    import random
+
+    g = random.Random(8)
+    rows = []
+    for d in ("a", "b", None):
+        for o in range(60 if d != "b" else 1):
+            title = "Risk Factors" if g.random() < 0.1 else f"Part {o}"
+            rows.append((d, o + (d == "a"), f"{d}-{o}", title, title.lower(), g.randint(1, 6), "x" * g.choice([0, 10, 119, 120, 200])))
+    df = spark.createDataFrame(rows, "document_id string, ord int, id string, title string, normalized_title string, level int, text string").repartition(4)
+    parents, folded = {}, {}
+    for d in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: r[1])
+        kept = []
+        for k, r in enumerate(own):
+            parents[r[2]] = next((p[2] for p in reversed(own[:k]) if p[5] < r[5]), None)
+            if kept and len(r[6]) < 120 and r[5] > kept[-1][0][5] and r[3] != "Risk Factors":
+                kept[-1][1].append(f"{r[3]}\n{r[6]}")
+            else:
+                kept.append((r, [r[6]]))
+        folded |= {r[2]: (n, " ".join(" ".join(t).split())) for n, (r, t) in enumerate(kept)}
+    for block in (1, 7, 4096):
+        assert {r["id"]: r["parent_id"] for r in S.section_parents(df, block=block).collect()} == parents
+        out = S.merge_tiny_sections(df.withColumn("extra", F.lit(1)), block=block)
+        assert out.columns == [*df.columns, "extra"] and {r["id"]: (r["ord"], r["text"]) for r in out.collect()} == folded
+    assert S.merge_tiny_sections(df.where("false")).count() == 0 and S.section_parents(df.where("false")).count() == 0

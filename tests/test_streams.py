@@ -50,12 +50,49 @@ def test_direction_over_hours(spark):
     assert len(got) == len(rows)
 
 
-def test_direction_stream_equals_batch(spark, tmp_path):
-    rows = [("c", T0 + dt.timedelta(seconds=s), float(p)) for s, p in ((0, 1), (1, 3), (2, 2), (3, 2))]
-    s = stream(spark, str(tmp_path), rows[:2], rows[2:], schema="coin string, ts timestamp, price double")
-    got = drain(price.tick_direction_stream(s), tmp_path).where("status = 'live'").orderBy("ts").collect()
-    want = price.tick_direction(spark.createDataFrame(rows, "coin string, ts timestamp, price double")).orderBy("ts").collect()
-    assert [r["direction"] for r in got] == [r["direction"] for r in want]
+def test_ticks_without_a_key_or_a_time(spark):
+    rows = [("c", T0, 1.0), (None, T0, 5.0), (None, T0 + dt.timedelta(hours=2), 4.0), ("c", None, 9.0), ("", T0, 7.0), ("c", T0 + dt.timedelta(seconds=1), None)]
+    df = spark.createDataFrame(rows, "coin string, ts timestamp, price double")
+    got = {(r["coin"], r["ts"], r["price"]): r["direction"] for r in price.tick_direction(df).collect()}
+    assert len(got) == len(rows) and got[None, rows[2][1], 4.0] == "down" and got["c", T0, 1.0] == "down" and got["", T0, 7.0] == "flat" and got["c", rows[5][1], None] == "flat"
+    stale = sorted((str(r["coin"]), (r["at"] - T0).total_seconds(), r["status"]) for r in price.staleness(df, str(T0 + dt.timedelta(hours=2))).collect())
+    assert stale == [("", 0, "live"), ("", 20, "stale"), ("None", 0, "live"), ("None", 20, "stale"), ("None", 7200, "live"), ("c", 0, "live"), ("c", 21, "stale")]
+
+
+def test_tick_stream_over_restarts_equals_batch(spark, tmp_path):
+    """Each file a run of its own from the checkpoint; gaps within a file, between files, and at the end."""
+    import random
+
+    g = random.Random(2)
+    kind = "coin string, ts timestamp, price double"
+    rows = sorted({(c, T0 + dt.timedelta(seconds=g.choice([0, 7, 30, 60, 200, 260]) + g.randint(0, 9))): float(g.randint(0, 3)) for c in "abc" * 12}.items(), key=lambda x: x[0][1])
+    rows = [(*k, v) for k, v in rows]
+    cuts = [0, 5, 6, len(rows) // 2, len(rows)]
+    src, path = str(tmp_path / "in"), str(tmp_path)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        spark.createDataFrame([*rows[a:b], (None, T0, 1.0), ("a", None, 1.0), ("a", rows[a][1], None)], kind).coalesce(1).write.mode("append").parquet(src)
+        stream_ = spark.readStream.schema(kind).parquet(src)
+        q = price.tick_direction_stream(stream_, "10 seconds").writeStream.outputMode("append").format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = spark.read.schema(price.TICK).parquet(f"{path}/out")
+    whole = spark.createDataFrame(rows, kind)
+    want = sorted((r["coin"], r["ts"], r["price"], r["direction"]) for r in price.tick_direction(whole).collect())
+    assert sorted((r["coin"], r["ts"], r["price"], r["direction"]) for r in got.where("status = 'live'").collect()) == want
+    mark = max(r[1] for r in rows) - dt.timedelta(seconds=10)
+    stale = sorted((r["coin"], r["at"]) for r in price.staleness(whole, str(mark)).where("status = 'stale'").collect())
+    assert sorted((r["coin"], r["ts"]) for r in got.where("status = 'stale'").collect()) == stale and stale
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    row = lambda s: (T0 + dt.timedelta(seconds=s), "u", "post")
+    kind, src, path = "ts timestamp, user_id string, action string", str(tmp_path / "in"), str(tmp_path / "run")
+    figures = []
+    for rows in ([row(0), row(10), row(61)], [row(400)], [row(5), row(5), row(330), row(900)], []):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(src)
+        counts, n = counters.count_windows(spark.readStream.schema(kind).parquet(src), path, 60, "1 minute")
+        figures.append((n["rows"], n["counted"], n["late"]))
+    assert figures == [(3, 3, 0), (4, 4, 0), (8, 6, 2), (8, 6, 2)]  # 330 s: its window is open until the mark passes 360 s
+    assert {int((r["window_start"] - T0).total_seconds()): r["n"] for r in counts.collect()} == {0: 2, 60: 1, 360: 1, 300: 1, 900: 1}
 
 
 def test_rate_counts_drop_late_rows(spark, tmp_path):
@@ -79,8 +116,20 @@ def test_vote_deltas_sum_to_the_batch_score(spark, tmp_path):
     assert got == want
 
 
-def test_folded_scores_replay(spark, tmp_path):
-    d = spark.createDataFrame([(1, 2), (2, -1), (1, 1)], "target_id long, delta long")
-    for epoch in (0, 1, 1):
-        counters.fold_scores(d, str(tmp_path / "s"), epoch)
-    assert {r["target_id"]: r["score"] for r in spark.read.parquet(str(tmp_path / "s/epoch=1")).collect()} == {1: 6, 2: -2}
+def test_folded_scores_touch_their_buckets_once(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "s")
+    batch = lambda *x: spark.createDataFrame(list(x), "target_id long, delta long")
+    scores = lambda: {r["target_id"]: r["score"] for r in counters.folded_scores(spark, path).collect()}
+    files = lambda: set(glob.glob(f"{path}/bucket=*/*.parquet"))
+    counters.fold_scores(batch(), path, 0, 8)
+    counters.fold_scores(batch(*[(i, 1) for i in range(40)], (1, 5)), path, 1, 8)
+    whole = files()
+    for epoch in (2, 2, 3, 3):
+        counters.fold_scores(batch((1, -2), (1, 1)), path, epoch, 8)
+    assert scores() == {**{i: 1 for i in range(40)}, 1: 4}
+    assert len(whole - files()) < len(whole) / 4  # one bucket of eight was written again
+    counters.fold_scores(batch((1, 7), (2, 7)), path, 3, 8)  # a crash left the bucket of 1 written and, say, that of 2 not
+    one, two = (spark.sql(f"select pmod(xxhash64({i}L), 8)").first()[0] for i in (1, 2))
+    assert scores()[1] == 4 and scores()[2] == (1 if one == two else 8)
