@@ -48,10 +48,9 @@ def n5_folded_votes(t):
     path = new_path(t.spark, "votes")
 
     def twice(batch, epoch):
-        counters.fold_scores(batch, f"{path}/scores", epoch, 16)
-        counters.fold_scores(batch, f"{path}/scores", epoch, 16)
+        counters.fold_votes(batch, path, epoch, 16)
+        counters.fold_votes(batch, path, epoch, 16)
 
     for stream in slices(rows, "event_id", 3, path):
-        deltas = counters.vote_deltas_stream(stream)
-        deltas.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
     return counters.folded_scores(t.spark, f"{path}/scores")

@@ -118,6 +118,33 @@ def fold_scores(batch: DataFrame, path: str, epoch: int, buckets: int = 64) -> N
     out.repartition("bucket", F.pmod(F.xxhash64("target_id", F.lit(1)), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def fold_votes(batch: DataFrame, path: str, epoch: int, buckets: int = 64) -> None:
+    """foreachBatch sink: a batch of votes (event_id, ts, user_id, target_id, value) into the last votes and the scores kept at path.
+
+    Last votes lie in buckets by target, as scores do; a batch reads and writes the buckets of its targets alone. What
+    changes a voter's last vote goes to fold_scores as a delta, then the votes are written. A batch that is
+    replayed after a crash finds either its votes not written, and gives the same deltas, which scores that have the batch's number skip,
+    or finds them written, and gives none. Late and repeated votes change nothing. votes are stored as long numbers and a timestamp.
+    """
+    spark = batch.sparkSession
+    own = ["user_id", "target_id", "ts", "event_id", "value"]
+    last = F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id"))
+    latest = lambda df: df.groupBy("bucket", "user_id", "target_id").agg(last.alias("v")).select("bucket", "user_id", "target_id", "v.*")
+    new = cut(latest(batch.select(*[F.col(c).cast("timestamp" if c == "ts" else "long") for c in own]).withColumn("bucket", bucket_of(F.col("target_id"), buckets))), "votes")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    kind = "user_id long, target_id long, ts timestamp, event_id long, value long, bucket int"
+    old = spark.read.schema(kind).parquet(f"{path}/votes").where(F.col("bucket").isin(touched)) if there(spark, f"{path}/votes") else spark.createDataFrame([], kind)
+    before = old.select(F.col("user_id").alias("_u"), F.col("target_id").alias("_t"), F.struct("ts", "event_id").alias("_at"), F.col("value").alias("_v"))
+    rows = new.join(before, F.col("user_id").eqNullSafe(F.col("_u")) & F.col("target_id").eqNullSafe(F.col("_t")), "left")
+    newer = F.col("_at").isNull() | (F.struct("ts", "event_id") > F.col("_at"))
+    deltas = rows.where(newer).select("target_id", (F.coalesce("value", F.lit(0)) - F.coalesce("_v", F.lit(0))).alias("delta"))
+    fold_scores(deltas, f"{path}/scores", epoch, buckets)
+    merged = latest(new.unionByName(old)).select(*own, "bucket")
+    merged.repartition("bucket", F.pmod(F.xxhash64("target_id", "user_id", F.lit(1)), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/votes")
+
+
 def folded_scores(spark: SparkSession, path: str, target: str = "long") -> DataFrame:
     """(target_id, score) as fold_scores keeps them."""
     return spark.read.schema(f"target_id {target}, score long, epoch long, bucket int").parquet(path).select("target_id", "score")

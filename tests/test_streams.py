@@ -133,3 +133,21 @@ def test_folded_scores_touch_their_buckets_once(spark, tmp_path):
     counters.fold_scores(batch((1, 7), (2, 7)), path, 3, 8)  # a crash left the bucket of 1 written and, say, that of 2 not
     one, two = (spark.sql(f"select pmod(xxhash64({i}L), 8)").first()[0] for i in (1, 2))
     assert scores()[1] == 4 and scores()[2] == (1 if one == two else 8)
+
+
+def test_folded_votes_replay_and_come_late(spark, tmp_path):
+    import random
+
+    g = random.Random(6)
+    kind = "event_id long, ts timestamp, user_id long, target_id long, value long"
+    rows = [(i, T0 + dt.timedelta(seconds=g.randint(0, 60)), g.randint(0, 4), g.randint(0, 6), g.choice([1, -1])) for i in range(120)]
+    path = str(tmp_path)
+    for epoch, part in enumerate((rows[:50], rows[:50], rows[50:90] + rows[:20], [], rows[90:])):
+        for _ in range(2):
+            counters.fold_votes(spark.createDataFrame(part, kind), path, epoch, 4)
+    last, want = {}, {}
+    for e, ts, u, t, v in sorted(rows, key=lambda r: r[1::-1]):
+        last[u, t] = v
+    for (_, t), v in last.items():
+        want[t] = want.get(t, 0) + v
+    assert {r["target_id"]: r["score"] for r in counters.folded_scores(spark, f"{path}/scores").collect()} == want
