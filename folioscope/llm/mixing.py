@@ -62,14 +62,14 @@ def solve_exponent(tokens: dict, target_entropy: float | None = None, max_epochs
 
 
 def mix_sources(docs: DataFrame, target_entropy: float | None = None, max_epochs: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_hash: bool = False) -> DataFrame:
-    """(id, source, n_tokens, epoch, block, block_rank, place, seq): one row each time a row is dealt.
+    """(id, source, n_tokens, epoch, block, block_rank, place): one row each time a row is dealt; with_hash adds text_hash.
 
     A token is a run of non-white-space; an empty or null text counts as one token, so that every
     row can be dealt. With budget None the total is the least at which each source is passed over
     once, so no row is lost. Null sources form one source of their own. In each epoch a source's
     blocks follow a permutation of their own (block_rank), and rows in a block another (place). A
-    part epoch ends with the row that reaches the budget. Ties and repeated rows are dealt
-    separately; rows of one id and text hash are dealt alike. Other columns play no part. Totals per source pass through the driver; blocks hold about block_tokens.
+    part epoch ends with the row that reaches the budget. Rows that repeat an id and text have one place, and each is dealt
+    for itself: a part epoch may deal some of them and not the others. An empty table gives no rows. Other columns play no part. Totals per source pass through the driver; blocks hold about block_tokens.
     """
     n_tokens = F.greatest(F.lit(1), F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^ \\t-\\r]+")), F.lit(1))).cast("long")
     name = F.coalesce(F.col(source_col).cast("string"), F.lit("\0null"))

@@ -54,7 +54,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
     Give the number of shards, or target_bytes and get the least number of leaves under which no
     leaf's share passes it. size is the text's UTF-8 bytes plus 1, 1 for null and empty texts. Rows of
     equal texts stay in one shard; only a group that weighs more than `heavy` of a shard and lies on
-    a median is cut there, by document, and its rows have divided true. An empty table gives an empty result; repeated rows each get a slot of their own. One row a node
+    a median is cut there, by document, and its rows have divided true where some lie on either side. An empty table gives an empty result; repeated rows each get a slot of their own. One row a node
     passes through the driver, so memory there grows with the number of shards alone.
     """
     spark = docs.sparkSession
@@ -99,7 +99,12 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
                 at = keyed.join(small(state, len(plan)), "node").where("key = high")
                 for n, (digit, before, w) in medians(at, F.col("fine"), "left").items():
                     fine[n] = digit if 2 * (goals[n] - before) >= w else digit - 1
-            rows = [(*p, cuts[p[0]], fine[p[0]], p[0] in big) for p in plan]
+            parted = set()
+            if big:  # a heavy group is divided only where it has rows on both sides
+                state = spark.createDataFrame([(n, cuts[n], fine[n]) for n in big], "node int, high long, cut_fine int")
+                sides = keyed.join(small(state, len(plan)), "node").where("key = high").groupBy("node").agg(F.min(F.col("fine") - F.col("cut_fine")).alias("lo"), F.max(F.col("fine") - F.col("cut_fine")).alias("hi"))
+                parted = {r["node"] for r in sides.where("lo <= 0 and hi > 0").collect()}  # one row a node
+            rows = [(*p, cuts[p[0]], fine[p[0]], p[0] in parted) for p in plan]
             done = spark.createDataFrame(rows, "node int, dim int, lo double, span double, goal long, cut long, cut_fine int, by_document boolean")
             right = (key > F.col("cut")) | ((key == F.col("cut")) & (F.col("fine") > F.col("cut_fine")))
             split = points.join(small(done, len(plan)), "node", "left")

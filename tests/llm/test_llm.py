@@ -65,6 +65,19 @@ def brute_components(texts, words, percent):
     return {i: (len(s), top(i)) for i, s in enumerate(sets)}
 
 
+def test_pages_of_one_template_are_no_candidates(spark):
+    """Pages that share five sixths of their words, in one passage or two, and none of whose pairs links; among them some copies."""
+    head, tail = " ".join(f"h{i}" for i in range(215)), " ".join(f"t{i}" for i in range(215))
+    pages = [f"{head} {' '.join(f'own{i}x{j}' for j in range(70))} {tail}" for i in range(400)]
+    texts = [*pages, *[p.replace("x5 ", "y5 ") for p in pages[:20]]]
+    sets = jaccard.shared_tokens(table(spark, texts), 4, 85, 4, np.zeros(0, np.uint64), {}, "doc_id", "text")
+    entries = jaccard.index_entries(sets, 85)
+    lists = entries.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.max("wide").alias("any"), F.max("gives").alias("given")).where("n > 1 and any = 1 and given = 1")
+    assert (lists.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0) < 0.01 * len(texts) ** 2 / 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(table(spark, texts)).collect()}
+    assert got == {i: i if i < 400 else i - 400 for i in range(420)}
+
+
 @pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80), (4, 50), (2, 40)])
 def test_jaccard_join_is_exact(spark, words, percent):
     g = random.Random(3)
@@ -218,6 +231,11 @@ def test_kd_shards(spark):
     assert heavy["divided"].any() == (heavy["shard"].nunique() > 1)
     whole = shards.kd_shards(table(spark, texts), n_shards=16, heavy=100.0).toPandas()
     assert not whole["divided"].any() and whole[whole["doc_id"] >= len(texts) - 700]["shard"].nunique() == 1
+    for got in (small, heavy, whole):  # marked rows are of groups that lie in several shards, and a row alone is in no group
+        marked = got[got["divided"]]
+        assert all(got[got["text_crc32"] == c]["shard"].nunique() > 1 for c in set(marked["text_crc32"]))
+    few = shards.kd_shards(table(spark, [*[f"a text of its own {i} " * (i % 5 + 1) for i in range(64)], *["the same text here"] * 64]), n_shards=16).toPandas()
+    assert few["divided"].sum() in (0, 64) and not few[few["doc_id"] < 64]["divided"].any()
 
 
 def test_kd_shards_edges(spark):
