@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as T
 from folioscope.operators import audit as Q
 from folioscope.operators import brief as B
 from folioscope.operators import evidence as V
 from folioscope.operators import sections as S
 from folioscope.plans import jobs
-from folioscope.plans.queries_text import FRAGMENT_RULES, LINE, doc_chunks, doc_sections, first_line
+from folioscope.plans.queries_text import _CLEAN_SQL, FRAGMENT_RULES, LINE, doc_chunks, doc_sections, first_line
 from folioscope.plans.registry import Tables, key, like, query, re2, short, slug, ws
 from folioscope.sources import tables as A
 
@@ -230,7 +231,41 @@ def a5_render_markdown(t):
     return B.render_markdown(items, cites, briefs)
 
 
-@query()
+_sig = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+
+
+def _noted(severity: str, check: str, table: str, where: str, id_: str = "NULL", detail: str = "NULL") -> str:
+    return f"SELECT '{severity}' AS severity, '{check}' AS \"check\", CAST({id_} AS VARCHAR) AS id, CAST({detail} AS VARCHAR) AS detail FROM {table} WHERE {where}"
+
+
+_PROSE, _SAID = "title || ' ' || body", "title || ' ' || body"
+#: Each check of a brief by itself: what the items, cards and citations show row by row, then counts against thresholds.
+_VALIDATED = (
+    ROUTED
+    + f""", i AS (SELECT prefix || '-' || {slug('id')} AS id, id AS card_id, section_id, title, body FROM items), d AS (SELECT 'c' || doc_id AS chunk_id, text, {LINE} AS chunk_title FROM documents),
+ q AS (SELECT DISTINCT 'card' AS kind, id, chunk_id, source_quote FROM c UNION ALL SELECT DISTINCT 'item', i.id, c.chunk_id, c.source_quote FROM i JOIN c ON c.id = i.card_id),
+ v AS (SELECT count(*) AS n FROM c WHERE topic IN ('financial', 'debt', 'dilution') AND {like('source_quote', B.REAL_VALUE)}),
+ problems AS (SELECT 'error' AS severity, kind || CASE WHEN d.chunk_id IS NULL THEN ' missing_chunk' ELSE ' bad_quote' END AS "check", id, q.chunk_id AS detail FROM q LEFT JOIN d ON d.chunk_id = q.chunk_id WHERE d.chunk_id IS NULL OR NOT contains({_sig('d.text')}, {_sig('q.source_quote')}) UNION ALL """
+    + " UNION ALL ".join([
+        _noted("error", "missing section", "r", "section_id NOT IN (SELECT section_id FROM items)", "section_id"), _noted("error", "too few cards", "(SELECT count(*) AS n FROM c)", "n < 8", detail="n"),
+        _noted("error", "too few high-quality cards", "(SELECT count(*) AS n FROM c WHERE confidence = 'high' AND NOT needs_review)", "n < 8", detail="n"), _noted("error", "too few notice items", "(SELECT count(*) AS n FROM items WHERE section_id = 'ten-things')", "n < 5", detail="n"),
+        _noted("error", "section not allowed for topic", "c JOIN d USING (chunk_id)", f"topic NOT IN ('business', 'financial', 'debt') OR {key('chunk_title')} <> 'business'", "id", "chunk_title"),
+        _noted("error", "generic preamble quoted", "c JOIN d USING (chunk_id)", "topic = 'risk' AND regexp_matches(source_quote, '(?i)involves a high degree of risk')", "id"),
+        _noted("error", "parser language", "c", like(_PROSE, T.PARSER_WORDS), "id"), _noted("error", "advice", "c", like(_PROSE + " || ' It matters.'", T.ADVICE), "id"),
+        _noted("error", "parser language in item", "i", like(_SAID, T.PARSER_WORDS), "id"), _noted("error", "advice in item", "i", like(_SAID + " || ' It matters.'", T.ADVICE), "id"),
+        _noted("error", "too many candidate items", f"(SELECT count(*) AS n, count(*) FILTER ({like(_SAID, T.PARSER_WORDS)}) AS k FROM i)", "k > 0.2 * greatest(n, 1)", detail="k"),
+        _noted("error", "only meta items", f"(SELECT section_id, bool_and(regexp_matches({_SAID}, '(?i)count|parser|generated|source notes')) AS meta FROM i GROUP BY 1)", "meta AND section_id <> 'source-notes'", "section_id"),
+        _noted("error", "weak risk title", "(SELECT id, section_id, title AS x FROM i)", f"section_id = 'key-risk-themes' AND (NOT ({_CLEAN_SQL}) OR regexp_matches(x, '(?i)risk factor$|additional risks'))", "id"),
+        _noted("error", "risk explanation repeated", "(SELECT max(id) AS id, count(*) AS n FROM i WHERE section_id = 'key-risk-themes' GROUP BY body)", "n > 1", "id"),
+        _noted("error", "too few real values", "v", "n < 3", detail="n"), _noted("warning", "real values disagree", "v", "n <> 3", detail="n"),
+        _noted("warning", "rejected count disagrees", "(SELECT count(*) AS n FROM benchmark)", "n <> 2", detail="n"), _noted("warning", "few risk themes", "(SELECT 1 AS n)", "true", detail="n"),
+        _noted("warning", "figure not in quote", f"(SELECT id, regexp_replace(unnest(regexp_extract_all({_PROSE}, '{re2(chr(92) + '$' + chr(92) + 's?[0-9][0-9,]*(?:' + chr(92) + '.[0-9]+)?' + chr(92) + 's*(?:million|billion)?')}')), '[^0-9]', '', 'g') AS figure, regexp_replace(source_quote, '[^0-9]', '', 'g') AS q FROM c)", "length(figure) >= 2 AND NOT contains(q, figure)", "id", "figure"),
+    ])
+    + ") SELECT DISTINCT severity, \"check\", id, detail FROM problems"
+)
+
+
+@query(_VALIDATED)
 def j8_validate_brief(t):
     c = cards(t)
     items = B.assemble_brief(c)
@@ -327,10 +362,10 @@ def j10_review_queue(t):
     return Q.review_queue(facts(t), risks(t), doc_sections(t))
 
 
-@query("SELECT document_id, pos, family, CASE WHEN n = 1 THEN id ELSE id || '-' || pos END AS id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, id ORDER BY pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY family, k) - 1 AS pos FROM (SELECT source AS document_id, lang AS id, 0 AS family, doc_id AS k FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source, lang, 1, doc_id FROM documents WHERE doc_id % 3 = 0)))")
+@query("SELECT document_id, pos, family, CASE WHEN n = 1 THEN id ELSE id || '-' || pos END AS id FROM (SELECT *, row_number() OVER (PARTITION BY document_id, id ORDER BY pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY family, k) - 1 AS pos FROM (SELECT source AS document_id, lang AS id, 0 AS family, doc_id AS k FROM documents UNION ALL SELECT source, 'n' || n_chars % 7, 1, doc_id FROM documents)))")
 def k1_assemble_facts(t):
-    fam = lambda k: t.documents.where(F.col("doc_id") % k == 0).select(F.col("source").alias("document_id"), F.col("lang").alias("id"), F.col("doc_id").alias("n"))
-    return Q.assemble_facts([fam(2), fam(3)], []).select("document_id", "pos", "family", "id")
+    fam = lambda id_: t.documents.select(F.col("source").alias("document_id"), id_.alias("id"), F.col("doc_id").alias("n"))
+    return Q.assemble_facts([fam(F.col("lang")), fam(F.concat(F.lit("n"), F.col("n_chars") % 7))], []).select("document_id", "pos", "family", "id")
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
