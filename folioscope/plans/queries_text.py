@@ -195,7 +195,19 @@ def c8_clamp_sentence(t):
     return t.documents.select("doc_id", T.clamp_sentence(F.col("text"), 180).alias("title"))
 
 
-@query()
+def window_sql(table: str, keys: str) -> str:
+    """SELECT of keys and quote of rows (keys, t, nd): the window around nd, its borders found in lists of the places where sentences and words end. Place i is text[i], from 0."""
+    space = f"regexp_matches(ch[i - p0 + 1], '{T.SPACE}')"
+    ends = f"ch[i - p0 + 1] IN ('.', '!', '?') AND (i = 0 OR ch[i - p0] <> '.') AND (i + 1 >= n OR regexp_matches(ch[i - p0 + 2], '{T.SPACE}'))"
+    return f"""SELECT {keys}, {PRETTY(ws("CASE WHEN hit < 0 THEN left(t, 760) ELSE substr(t, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT)) END"))} AS quote FROM (
+ SELECT *, CASE WHEN lead IS NOT NULL THEN coalesce(list_min(list_filter(range(lead, hit), lambda i: NOT {space})), hit) ELSE low END AS start,
+  coalesce(list_max(list_filter(range(past + (high - past) // 2, high), lambda i: {ends})) + 1, CASE WHEN high < n AND NOT regexp_matches(ch[high - p0 + 1], '{T.SPACE}') THEN coalesce(list_max(list_filter(range(past, high), lambda i: {space})) + 1, past) ELSE high END) AS stop FROM (
+ SELECT *, coalesce(list_max(list_filter(range(low + 1, hit), lambda i: {ends})) + 1, CASE WHEN low > 0 AND NOT regexp_matches(ch[low - p0], '{T.SPACE}') THEN coalesce(list_min(list_filter(range(low, hit), lambda i: {space})), hit) END) AS lead FROM (
+ SELECT *, CASE WHEN hit < 0 THEN [] ELSE string_split(substr(t, CAST(p0 AS BIGINT) + 1, CAST(high - p0 + 2 AS BIGINT)), '') END AS ch FROM (
+ SELECT *, greatest(0, low - 1) AS p0 FROM (SELECT *, greatest(0, hit - 140) AS low, least(n, greatest(past, hit + 760)) AS high FROM (SELECT *, hit + length(nd) AS past FROM (SELECT *, instr(lower(t), lower(nd)) - 1 AS hit, length(t) AS n FROM {table})))))))"""
+
+
+@query(window_sql("(SELECT doc_id, text AS t, CASE WHEN doc_id % 5 = 0 THEN 'no such needle' ELSE substr(text, 301, 40) END AS nd FROM documents)", "doc_id"))
 def c9_quote_window(t):
     from folioscope.operators.evidence import quote_window
 
