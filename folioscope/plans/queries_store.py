@@ -9,6 +9,7 @@ from folioscope.plans import jobs
 from folioscope.plans.queries_text import _TINY, FRAGMENT_RULES, LINES, line_head
 from folioscope.plans.registry import Tables, query, ws
 from folioscope.sources import briefs as N
+from folioscope.sources import html as H
 from folioscope.sources import tables as A
 from folioscope.sources.scratch import cut, new_path
 
@@ -62,6 +63,12 @@ _PAGE_LINES = LINES.replace("lines AS (", "raw AS (") + f", lines AS (SELECT doc
 _materialized = lambda x: x.replace(" AS (", " AS MATERIALIZED (")
 
 
+@query(f"WITH {_PAGE_LINES} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY pos) - 1 AS pos, 'p' AS tag, text FROM lines WHERE text <> ''")
+def b1_regular_blocks(t):
+    """Blocks of pages that are all paragraphs, over every document."""
+    return H.html_blocks(doc_pages(t)).select("document_id", "pos", "tag", "text")
+
+
 @query(_TINY.replace(_materialized(LINES), _materialized(_PAGE_LINES)))
 def a3_incremental_ingestion(t):
     """Two runs over a store: pages as they were, and then as they are. Some were other, some were missing, some have vanished since."""

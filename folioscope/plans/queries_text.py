@@ -359,10 +359,14 @@ def _items(t):
     return rows.withColumn("pos", F.col("pos") - 1)
 
 
-@query(f"""WITH k AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' OR regexp_matches({key('title')}, '^risk factors?$|^[0-9]+$') THEN 'toc_entry' WHEN length(body) < 180 THEN 'heading_only'
-  WHEN length(body) < 500 OR length(body) < length(title) + 160 OR {like('trim(title)', r'(?i)^.{1,40},\s*(which|that)\b')} OR regexp_matches(trim(title), '^[A-Z]{{2,}},') OR {like('trim(title)', r'\b(U|U\.S|Inc|Corp|Mr|Mrs|Ms|Dr|No|Co|vs|e\.g|i\.e)$')} THEN 'fragment' ELSE 'full_text' END AS risk_extraction_type FROM {_ITEMS}),
-w AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' THEN 'Extracted from "' || chunk_title || '" rather than the main Risk Factors section.' WHEN risk_extraction_type = 'toc_entry' THEN 'Looks like a table-of-contents or section-heading entry.' WHEN risk_extraction_type = 'heading_only' THEN 'Looks like a heading with little supporting body text.' WHEN risk_extraction_type = 'fragment' THEN 'Risk source text is short or appears to start/end mid-factor.' WHEN title = 'Risk factor' THEN 'Missing specific risk title.' END AS extraction_warning FROM k)
-SELECT doc_id, pos, risk_extraction_type, extraction_warning, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review FROM w""")
+def classified(items: str) -> str:
+    """CTEs k and w of items (chunk_title, title, body): their classes and warnings."""
+    return f"""k AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' OR regexp_matches({key('title')}, '^risk factors?$|^[0-9]+$') THEN 'toc_entry' WHEN length(body) < 180 THEN 'heading_only'
+  WHEN length(body) < 500 OR length(body) < length(title) + 160 OR {like('trim(title)', r'(?i)^.{1,40},\s*(which|that)\b')} OR regexp_matches(trim(title), '^[A-Z]{{2,}},') OR {like('trim(title)', r'\b(U|U\.S|Inc|Corp|Mr|Mrs|Ms|Dr|No|Co|vs|e\.g|i\.e)$')} THEN 'fragment' ELSE 'full_text' END AS risk_extraction_type FROM {items}),
+w AS (SELECT *, CASE WHEN trim(chunk_title) <> 'RISK FACTORS' THEN 'Extracted from "' || chunk_title || '" rather than the main Risk Factors section.' WHEN risk_extraction_type = 'toc_entry' THEN 'Looks like a table-of-contents or section-heading entry.' WHEN risk_extraction_type = 'heading_only' THEN 'Looks like a heading with little supporting body text.' WHEN risk_extraction_type = 'fragment' THEN 'Risk source text is short or appears to start/end mid-factor.' WHEN title = 'Risk factor' THEN 'Missing specific risk title.' END AS extraction_warning FROM k)"""
+
+
+@query(f"WITH {classified(_ITEMS)} SELECT doc_id, pos, risk_extraction_type, extraction_warning, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review FROM w")
 def f2_classify_risk(t):
     return K.classify_risk(_items(t)).select("doc_id", "pos", "risk_extraction_type", "extraction_warning", "confidence", "needs_review")
 
@@ -378,7 +382,15 @@ def risk_chunks(t):
     return S.chunk_sections(doc_sections(t).withColumn("title", F.lit(K.MAIN_SECTION)))
 
 
-@query()
+_whole = lambda x: x.replace("n := length(", "body := (").replace("x.n > 120", "length(x.body) > 120")
+_RISK_ITEMS = f"""(SELECT *, 'RISK FACTORS' AS chunk_title, row_number() OVER (PARTITION BY document_id ORDER BY chunk_pos, item_pos) AS pos FROM (SELECT document_id, chunk_pos, section_id, chunk_id, text, item_pos, x.title AS title, x.body AS body, x.extraction_method AS extraction_method FROM (SELECT * EXCLUDE (items), generate_subscripts(items, 1) AS item_pos, unnest(items) AS x
+ FROM (SELECT document_id, chunk_pos, id AS section_id, 'chunk-' || {slug("id")} || '-' || part AS chunk_id, text, CASE WHEN len({_whole(_FOUND)}) >= 3 THEN {_whole(_FOUND)} ELSE {_whole(_REST)} END AS items FROM chunks))))"""
+_SPECIFIC = f"CASE WHEN {like('body', r'(?i)\b(the|der)\b')} AND {like('body', r'(?i)\b(on|die)\b')} THEN 'mixed' WHEN {like('body', r'(?i)\b(the|der)\b')} THEN 'company_specific' ELSE 'generic' END"
+
+
+@query(f"""WITH {CHUNKED}, {classified(_RISK_ITEMS)} SELECT 'risk-' || pos || '-' || {slug("title")} AS id, document_id, pos, title, {RULES_SQL("body")} AS category, body AS original_text, {_SPECIFIC} AS specificity, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence,
+ section_id AS source_section_id, [chunk_id] AS source_chunk_ids, left(text, 700) AS source_quote, CAST(length(body) AS BIGINT) AS character_length, 'The filing flags this as a ' || {RULES_SQL("body")} || ' risk. Review the source text for exact wording before relying on a summary.' AS plain_english, '{K.REASON.replace("'", "''")}' AS why_it_matters,
+ extraction_method, risk_extraction_type, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review, extraction_warning FROM w""")
 def f4_extract_risks(t):
     return K.extract_risks(risk_chunks(t), FRAGMENT_RULES, r"\b(on|die)\b", r"\b(the|der)\b", OPENERS)
 
@@ -404,7 +416,10 @@ def i8_select_with_caps(t):
     return K.select_with_caps(rows)
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id, {_SENTENCES} AS s FROM documents), p AS (SELECT doc_id, s[1] AS t, list_filter(s[2:], lambda x: length(x) > 40 AND x <> s[1] AND NOT {like('x', T.ADVICE)}) AS pool, list_filter(regexp_extract_all(lower(s[1]), '\\b[a-z]{{5,}}\\b'), lambda w: NOT list_contains([{', '.join(f"'{w}'" for w in K.STOPWORDS)}], w)) AS words FROM a WHERE len(s) > 0),
+ c AS (SELECT doc_id, pool, list_filter(pool, lambda x: len(list_filter(words, lambda w: contains(lower(x), w))) > 0) AS related FROM p),
+ r AS (SELECT doc_id, list_sort(list_transform(CASE WHEN len(related) > 0 THEN related ELSE pool END, lambda x, i: struct_pack(score := -(least(3, len(regexp_extract_all(x, '{T.RISK_SIGNAL}'))) + least(2, len(regexp_extract_all(x, '(?i)\\b(the|der)\\b'))) + CASE WHEN length(x) BETWEEN 60 AND 300 THEN 1 ELSE 0 END), i := i, x := x)))[:2] AS best FROM c)
+ SELECT doc_id, generate_subscripts(best, 1) - 1 AS pos, unnest(best).x AS sentence FROM r""")
 def i9_supporting_sentences(t):
     s = T.split_sentences(F.col("text"))
     return t.documents.select("doc_id", K.supporting_sentences(s, s[0], r"\b(the|der)\b").alias("x")).select("doc_id", F.posexplode("x").alias("pos", "sentence"))
