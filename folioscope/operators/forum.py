@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from folioscope.operators.rules import THEMES, resolve_theme
-from folioscope.sources.scratch import cut
+from folioscope.sources.scratch import bounded, cut
 
 #: Page sizes, preview length and the targets of the latency report.
 MOST_ROWS, PAGE, POSTS_PAGE, PREVIEW = 100, 25, 50, 280
@@ -74,8 +74,19 @@ def thread_feed(threads: DataFrame, theme: str | None = "all", sort: str = "scor
     return rows.orderBy(F.desc("score" if sort == "score" else "created_at"), "pos")
 
 
-def report_queue(reports: DataFrame, cursor: tuple | None = None, limit: int | None = None) -> DataFrame:
-    return keyset_page(reports.where("status = 'open'"), [("created_at", False), ("id", False)], cursor, limit)
+def report_queue(reports: DataFrame, cursor: tuple | None = None, limit: int | None = None, moderator: bool = False) -> DataFrame:
+    """A page of open reports, oldest first; only a moderator sees any."""
+    rows = reports.where("status = 'open'") if moderator else reports.where(F.lit(False))
+    return keyset_page(rows, [("created_at", False), ("id", False)], cursor, limit)
+
+
+def with_roles(attempts: DataFrame, profiles: DataFrame, user: str = "user_id") -> DataFrame:
+    """attempts with is_moderator as the users' profiles (id, role) say; users without a profile are none, and a user with several is one if any says so.
+
+    Only moderators' ids are joined.
+    """
+    mods = bounded(profiles.where("role = 'moderator'").select(F.col("id").alias("_mod")).distinct(), "moderators")
+    return attempts.drop("is_moderator").join(mods, F.col(user) == F.col("_mod"), "left").withColumn("is_moderator", F.col("_mod").isNotNull()).drop("_mod")
 
 
 def profile_from_signup(signups: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ def apply_counters(threads: DataFrame, votes: DataFrame, post_events: DataFrame,
 def validate_writes(attempts: DataFrame, threads: DataFrame) -> DataFrame:
     """attempts with verdict: `ok` or the first rule broken.
 
-    attempts: kind (thread, post, vote, report, moderate), is_moderator, title_len, body_len, value,
+    attempts: kind (thread, post, vote, report, moderate), is_moderator (see with_roles), title_len, body_len, value,
     reason_len, target_type, score, thread_id. A moderator may write in locked and deleted threads; moderation
     needs one.
     """

@@ -107,6 +107,16 @@ def p9_validate_writes(t):
     return O.validate_writes(rows, threads(t)).select("id", "verdict")
 
 
+@query("SELECT doc_id, coalesce(doc_id % 500 IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS is_moderator, CASE WHEN n_chars % 4 = 0 AND NOT coalesce(doc_id % 500 IN (SELECT doc_id FROM labels WHERE quality = 1), false) THEN 'not a moderator' WHEN n_chars % 4 > 0 AND n_chars > 20000 THEN 'body length' ELSE 'ok' END AS verdict FROM documents")
+def p9_roles(t):
+    """Documents as attempts of 500 users, whose roles stand in labels; a quarter of them are moderation."""
+    d, k = t.documents, F.col("n_chars") % 4
+    rows = d.select("doc_id", (F.col("doc_id") % 500).alias("user_id"), F.lit(True).alias("is_moderator"), F.when(k == 0, "moderate").otherwise("post").alias("kind"), F.lit(3).alias("title_len"), F.col("n_chars").alias("body_len"), F.lit(1).alias("value"), F.lit(1).alias("reason_len"), F.lit("thread").alias("target_type"), F.lit(0).alias("score"), F.col("doc_id").alias("thread_id"))
+    held = d.select(F.col("doc_id").alias("id"), F.lit(False).alias("is_locked"), F.lit(False).alias("is_deleted"))
+    profiles_ = t.labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "moderator").otherwise("member").alias("role"))
+    return O.validate_writes(O.with_roles(rows, profiles_), held).select("doc_id", "is_moderator", "verdict")
+
+
 ACTIONS = "(SELECT user_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'keep' END AS action, event_id AS target_id FROM events)"
 
 
@@ -200,7 +210,7 @@ def i4_thread_feed(t):
 @query("SELECT event_id AS id, ts AS created_at FROM events WHERE event_type = 'error' AND user_id % 2 = 0 ORDER BY ts, event_id LIMIT 25")
 def i5_report_queue(t):
     rows = t.events.where("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("user_id") % 2 == 0, "open").otherwise("resolved").alias("status"))
-    return O.report_queue(rows).select("id", "created_at")
+    return O.report_queue(rows, moderator=True).select("id", "created_at")
 
 
 @query("""WITH RECURSIVE p AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + CASE WHEN turn = 0 OR turn % 5 = 4 THEN 999 ELSE turn // 2 END AS parent_id FROM conversations WHERE NOT (turn > 0 AND turn // 2 = turn)),

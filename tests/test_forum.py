@@ -210,3 +210,11 @@ def test_limits_against_a_window_for_each_bucket(spark):
     out = L.rate_limit(df, limits)
     got = {r["event_id"]: r["denied_step"] for r in out.collect()}
     assert got == {r[0]: want.get(r[0]) for r in rows} and {r["retry_after"] for r in out.where("denied_step = 2 and action = 'vote'").collect()} == {600}
+
+
+def test_roles_come_from_profiles_and_reports_are_for_moderators(spark):
+    profiles = spark.createDataFrame([(1, "moderator"), (2, "member"), (3, None), (2, "moderator"), (None, "moderator")], "id long, role string")
+    rows = O.with_roles(spark.createDataFrame([(1, False), (2, True), (3, True), (4, True), (None, True)], "user_id long, is_moderator boolean"), profiles)
+    assert {r["user_id"]: r["is_moderator"] for r in rows.collect()} == {1: True, 2: True, 3: False, 4: False, None: False} and rows.count() == 5
+    reports = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "open"), (2, dt.datetime(2023, 1, 1), "open"), (3, dt.datetime(2022, 1, 1), "closed")], "id long, created_at timestamp, status string")
+    assert [r["id"] for r in O.report_queue(reports, moderator=True).collect()] == [2, 1] and O.report_queue(reports).count() == 0
