@@ -36,4 +36,4 @@ def test_queries_run_without_the_package_on_workers(tmp_path):
     out = subprocess.run([sys.executable, "-c", RUN, str(Path(__file__).resolve().parents[2]), SF], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     rows = dict(line.split() for line in out.stdout.splitlines() if line.startswith(("op", "pipeline")))
     assert out.returncode == 0, out.stderr[-2000:]
-    assert len(rows) == 11 and all(int(n) > 0 for n in rows.values())
+    assert len(rows) == 14 and all(int(n) > 0 for n in rows.values())
