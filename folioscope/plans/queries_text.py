@@ -98,9 +98,9 @@ def b8_pick_main_document(t):
     return S.pick_main_document(rows.withColumn("sequence", F.col("sequence").cast("long")), "^7").select("package_id", "sequence", "filename")
 
 
-@query(f"WITH {MARKED} SELECT document_id, pos, is_heading, CAST(CASE WHEN is_heading THEN level END AS BIGINT) AS level FROM marked")
+@query(f"WITH {MARKED} SELECT document_id, pos, is_heading, CAST(CASE WHEN is_heading THEN level ELSE 0 END AS BIGINT) AS level FROM marked")
 def b2_mark_headings(t):
-    return S.mark_headings(line_blocks(t)).select("document_id", "pos", "is_heading", "level")
+    return S.mark_headings(line_blocks(t)).select("document_id", "pos", "is_heading", F.coalesce("level", F.lit(0)).alias("level"))
 
 
 @query(f"WITH {GROUPED} SELECT document_id, ord, id, title, level, md5(text) AS text_md5 FROM sections")
