@@ -63,11 +63,13 @@ def run_ingestion(pages: DataFrame, path: str, versions: dict[str, str], buckets
         own = lambda name: tables.stored_artifacts(spark, path)[name].drop("bucket").join(bounded(todo), "document_id", "left_semi")
         parts = cut(html.page_parts(changed), "parts")
         blocks = parts.where("kind = 'block'").drop("kind").repartition("document_id")
+        listed = cut(parts.where("kind = 'table'").select("document_id", F.col("pos").alias("ord"), "text"), "tables")
         found = cut(sections.section_parents(sections.sessionize_sections(sections.mark_headings(blocks))), "sections")
+        release(parts)
         merge("sections", sections.merge_tiny_sections(found))
         release(found)
-        merge("tables", sections.associate_tables(parts.where("kind = 'table'").select("document_id", F.col("pos").alias("ord"), "text"), own("sections")))
-        release(parts)
+        merge("tables", sections.associate_tables(listed, own("sections")))
+        release(listed)
         merge("chunks", sections.chunk_sections(own("sections")))
         merge("risks", risks.extract_risks(own("chunks"), **rules_))
         made = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv]) if versions else F.create_map().cast("map<string,string>")

@@ -119,14 +119,14 @@ _JUDGED = f"""WITH f AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'risk' E
   CASE WHEN NOT contains({_sig("t")}, {_sig("quote")}) THEN 'Source quote is not an exact source chunk excerpt.' END], lambda x: x IS NOT NULL) END AS reasons FROM w)"""
 
 
-@query(_JUDGED + " SELECT id, item_id AS card_pos, topic, title, 's' || item_id * 3 AS source_section_id, [chunk_id] AS source_chunk_ids, quote AS source_quote, 'x' AS extracted_text, plain_english, 'y' AS why_it_matters, 'high' AS confidence, false AS needs_review, 'manual' AS extraction_method, CAST([] AS VARCHAR[]) AS quality_warnings FROM j WHERE len(reasons) = 0")
+@query(_JUDGED + " SELECT id, item_id AS card_pos, topic, title, 's' || item_id * 3 AS source_section_id, chunk_id AS source_chunk_ids, quote AS source_quote, 'x' AS extracted_text, plain_english, 'y' AS why_it_matters, 'high' AS confidence, false AS needs_review, 'manual' AS extraction_method, '' AS quality_warnings FROM j WHERE len(reasons) = 0")
 def p5_evidence_accepted(t):
-    return gate(t)[0]
+    return gate(t)[0].withColumns({c: F.array_join(c, " | ") for c in ("source_chunk_ids", "quality_warnings")})
 
 
-@query(_JUDGED + " SELECT id, topic, title, [chunk_id] AS source_chunk_ids, reasons FROM j WHERE len(reasons) > 0")
+@query(_JUDGED + " SELECT id, topic, title, chunk_id AS source_chunk_ids, array_to_string(reasons, ' | ') AS reasons FROM j WHERE len(reasons) > 0")
 def p5_evidence_rejected(t):
-    return gate(t)[1]
+    return gate(t)[1].withColumns({c: F.array_join(c, " | ") for c in ("source_chunk_ids", "reasons")})
 
 
 @query("WITH s AS (SELECT 's' || doc_id AS id, source AS document_id, 's' || (doc_id - 20) AS parent_id FROM documents WHERE length(text) >= 400) SELECT document_id, id, parent_id FROM s WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.document_id = s.document_id AND p.id = s.parent_id)")

@@ -389,10 +389,10 @@ _SPECIFIC = f"CASE WHEN {like('body', r'(?i)\b(the|der)\b')} AND {like('body', r
 
 
 @query(f"""WITH {CHUNKED}, {classified(_RISK_ITEMS)} SELECT 'risk-' || pos || '-' || {slug("title")} AS id, document_id, pos, title, {RULES_SQL("body")} AS category, body AS original_text, {_SPECIFIC} AS specificity, CASE WHEN risk_extraction_type = 'full_text' THEN 'medium' ELSE 'low' END AS confidence,
- section_id AS source_section_id, [chunk_id] AS source_chunk_ids, left(text, 700) AS source_quote, CAST(length(body) AS BIGINT) AS character_length, 'The filing flags this as a ' || {RULES_SQL("body")} || ' risk. Review the source text for exact wording before relying on a summary.' AS plain_english, '{K.REASON.replace("'", "''")}' AS why_it_matters,
+ section_id AS source_section_id, chunk_id AS source_chunk_ids, left(text, 700) AS source_quote, CAST(length(body) AS BIGINT) AS character_length, 'The filing flags this as a ' || {RULES_SQL("body")} || ' risk. Review the source text for exact wording before relying on a summary.' AS plain_english, '{K.REASON.replace("'", "''")}' AS why_it_matters,
  extraction_method, risk_extraction_type, risk_extraction_type <> 'full_text' OR extraction_warning IS NOT NULL AS needs_review, extraction_warning FROM w""")
 def f4_extract_risks(t):
-    return K.extract_risks(risk_chunks(t), FRAGMENT_RULES, r"\b(on|die)\b", r"\b(the|der)\b", OPENERS)
+    return K.extract_risks(risk_chunks(t), FRAGMENT_RULES, r"\b(on|die)\b", r"\b(the|der)\b", OPENERS).withColumn("source_chunk_ids", F.array_join("source_chunk_ids", " | "))
 
 
 _SIGNAL = T.RISK_SIGNAL
