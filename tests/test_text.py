@@ -54,6 +54,11 @@ def test_sentences(one):
     assert one(T.split_sentences, "") == []
 
 
+def test_sentences_keep_digits_at_their_ends(one):
+    assert one(T.split_sentences, "0 Call 490. 1 Ask 101. It is 112") == ["0 Call 490. 1 Ask 101.", "It is 112"]
+    assert one(T.split_sentences, "It cost 10") == ["It cost 10"]
+
+
 def test_clamp(one):
     assert one(lambda c: T.clamp_sentence(c, 10), "short") == "short"
     assert one(lambda c: T.clamp_sentence(c, 10), "one two three four") == "one two…"
