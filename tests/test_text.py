@@ -59,6 +59,10 @@ def test_sentences_keep_digits_at_their_ends(one):
     assert one(T.split_sentences, "It cost 10") == ["It cost 10"]
 
 
+def test_first_characters_have_one_capital(one):
+    assert [one(lambda c: T.scrub_terms(c, []), x) for x in ("ßa", "ﬁn", "ᾳ", "éa", "a", "")] == ["ẞa", "ﬁn", "ᾼ", "Éa", "A", ""]
+
+
 def test_clamp(one):
     assert one(lambda c: T.clamp_sentence(c, 10), "short") == "short"
     assert one(lambda c: T.clamp_sentence(c, 10), "one two three four") == "one two…"
