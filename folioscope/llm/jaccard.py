@@ -233,8 +233,10 @@ def index_entries(sets_: DataFrame, percent: int) -> DataFrame:
                 largest = (100 + percent) * (len(t) - np.arange(len(t))) // percent - n
                 t, d, largest = t[:p], d[:p], largest[:p]
                 least = least_shared(n, percent)
+                # largest falls along the set, so able tokens come first; a pair's second token may be one further on, as all but one shared are still to come there
                 able = largest >= least
-                t, d, largest = t[able], d[able], largest[able]  # largest falls along the set, so these come first
+                able = np.concatenate([[True], able[:-1]]) & able[:1]
+                t, d, largest = t[able], d[able], largest[able]
                 is_rare = d <= FREQUENT
                 many, many_largest = t[~is_rare], largest[~is_rare]
                 is_wide = len(many) > MOST_COMBINED or least_shared(n, percent) < K
@@ -244,6 +246,8 @@ def index_entries(sets_: DataFrame, percent: int) -> DataFrame:
                 entry = np.concatenate([t[is_rare], combined, alone])
                 most = np.minimum(np.concatenate([largest[is_rare], many_largest[a], many_largest]), n)
                 counts = np.repeat([1, 1, int(is_wide)], [int(is_rare.sum()), len(combined), len(alone)])
+                can = most >= least
+                entry, most, counts = entry[can], most[can], counts[can]
                 low, own = np.searchsorted(starts, [least, n], "right") - 1
                 high = np.searchsorted(starts, most, "right") - 1
                 for c in range(low, own + 1):
@@ -360,7 +364,7 @@ def open_pairs(listed: DataFrame, near: DataFrame, found: DataFrame, percent: in
     rows = common.cut(rows, "listed")
     h = F.xxhash64("key")
     lists = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 24)).alias("s"))
-    lists = common.cut(lists.where("lo <> hi and c > 2").groupBy("c", "x", "s").agg(F.min("entry").alias("entry")).select("entry", "c"), "lists")
+    lists = common.cut(lists.where("lo <> hi").groupBy("c", "x", "s").agg(F.min("entry").alias("entry")).select("entry", "c"), "lists")
     short = rows.join(lists.where(F.col("c") <= SHORT), "entry").select("entry", "key", "root")
     other = short.select("entry", F.col("key").alias("b"), F.col("root").alias("root_b"))
     pairs = common.cut(short.join(other, "entry").where("key < b and root <> root_b").select(F.col("key").alias("a"), "b").distinct(), "pairs")

@@ -129,6 +129,28 @@ def test_jaccard_join_of_hot_tokens_copies_and_open_lists(spark, monkeypatch, sh
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(list(texts[:181]), 4, percent) | {i: (5, 180) for i in range(180, len(texts))}
 
 
+def test_jaccard_join_at_the_edge_of_the_threshold(spark, monkeypatch):
+    """A text and its last 85 of 100 words, all frequent: of what they share, the first word alone leaves enough words for a link."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    texts = [" ".join(f"t{i}" for i in range(100)), " ".join(f"t{i}" for i in range(15, 100))]
+    texts += [" ".join([f"t{i}" for i in range(k, k + 10)] + [f"own{k}x{n}x{j}" for j in range(20)]) for k in range(0, 100, 10) for n in range(4)]
+    got = jaccard.jaccard_components(table(spark, texts), 1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 1, 85)
+    assert {r["doc_id"]: r["component_id"] for r in got}[1] == 0
+
+
+def test_jaccard_join_of_entries_of_two_texts(spark, monkeypatch):
+    """In large clusters, an entry of two texts may be the only one where they meet, while each has met another text first."""
+    monkeypatch.setattr(jaccard, "MOST_CLUSTERED", 1)
+    texts = []
+    for i in range(40):
+        q, s = [f"q{i}x{j}" for j in range(40)], [f"s{i}x{j}" for j in range(37)]
+        texts += [" ".join([*q[3:], *[f"p{i}x{j}" for j in range(3)]]), " ".join(q), " ".join(q[:3] + s)]
+        texts += [" ".join(q[3:] + s + [f"j{i}x{n}x{j}" for j in range(60)]) for n in range(3)]
+    got = jaccard.jaccard_components(table(spark, texts), 1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, 1, 85)
+
+
 def test_jaccard_join_of_small_sets_at_low_thresholds(spark):
     """Sets that link by a single shingle which many sets have."""
     texts = [f"a b c {i}" for i in range(20)] + ["a b c"]
