@@ -11,6 +11,7 @@ from folioscope.operators import ratelimit as L
 from folioscope.operators import rules as R
 from folioscope.plans.queries_text import THEME, THREAD_SECTION, thread_sections
 from folioscope.plans.registry import Tables, query
+from folioscope.sources.scratch import new_path
 from folioscope.streaming import counters, price
 from folioscope.streaming.run import drain
 
@@ -315,4 +316,7 @@ def n4_rate_counts_stream(t):
 @query("SELECT target_id, CAST(sum(value) AS BIGINT) AS score FROM (SELECT user_id, event_id % 97 AS target_id, arg_max(CASE WHEN value >= 100 THEN 1 ELSE -1 END, (ts, event_id)) AS value FROM events GROUP BY ALL) GROUP BY 1")
 def n5_votes_stream(t):
     rows = event_stream(t).select("event_id", "ts", "user_id", (F.col("event_id") % 97).alias("target_id"), F.when(F.col("value") >= 100, 1).otherwise(-1).cast("long").alias("value"))
-    return drain(counters.vote_deltas_stream(rows)).groupBy("target_id").agg(F.sum("delta").alias("score"))
+    path = new_path(t.spark, "votes")
+    fold = lambda batch, epoch: counters.fold_votes(batch, path, epoch, 16)
+    rows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(fold).start().awaitTermination()
+    return counters.folded_scores(t.spark, f"{path}/scores")
