@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.operators import audit as Q
 from folioscope.plans import jobs
 from folioscope.plans.queries_text import _TINY, FRAGMENT_RULES, LINES, line_head
-from folioscope.plans.registry import Tables, query, ws
+from folioscope.plans.registry import Tables, dealt, query, ws
 from folioscope.sources import briefs as N
 from folioscope.sources import html as H
 from folioscope.sources import tables as A
@@ -55,7 +55,7 @@ def doc_pages(t: Tables):
     """A page for each document, a paragraph for each block that line_blocks() gives."""
     escaped = lambda c: F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>\n"))
     html = F.array_join(F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.coalesce(escaped(line_head(line, i)), F.lit("")), escaped(line))), "")
-    return t.documents.select(F.col("doc_id").cast("string").alias("document_id"), html.alias("html"), F.lit(None).cast("string").alias("url"))
+    return dealt(t.documents.select("doc_id", "text")).select(F.col("doc_id").cast("string").alias("document_id"), html.alias("html"), F.lit(None).cast("string").alias("url"))
 
 
 #: Blocks of a page have their white space normalised.

@@ -99,3 +99,32 @@ def test_parents_and_folding_over_blocks(spark):
         out = S.merge_tiny_sections(df.withColumn("extra", F.lit(1)), block=block)
         assert out.columns == [*df.columns, "extra"] and {r["id"]: (r["ord"], r["text"]) for r in out.collect()} == folded
     assert S.merge_tiny_sections(df.where("false")).count() == 0 and S.section_parents(df.where("false")).count() == 0
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them(monkeypatch):
+    from folioscope.sources import html as H
+
+    pages = ["<p>a &lt b<table><TR><td>1<td id='x'>2</table><br/>c&", "<div class=\"a b\">x<div>y</div></p></div>z", "a < b<p>c", "<p>x<title><b></title>y", "<!-- <p> -->q<h2 id=\"\">r</h2 >", "", "<p id='a' ID='b'>u</p/>v", "<ul><li>1<li>2</ul><a href='/x'/>w"]
+    read = lambda: [(H.blocks(p), H._tables(H.parse(p))) for p in pages]
+    assert [H.Tree(p).plain for p in pages] == [True, True, False, False, False, True, False, True]
+    got = read()
+    monkeypatch.setattr(H.Tree, "read_plain", lambda self, html: False)
+    assert got == read()
+
+
+def test_large_batches_are_parsed_in_parts(spark, monkeypatch):
+    from folioscope.sources import html as H
+
+    monkeypatch.setattr(H, "AT_ONCE", 64)
+    pages = spark.createDataFrame([(None, "<p>n</p>"), *[(i, f"<p>{i} {'w' * (i % 90)}</p><p>b</p>") for i in range(300)], (301, None), (302, "")], "document_id long, html string").coalesce(1)
+    got = [tuple(r) for r in H.html_blocks(pages).select("document_id", "pos", "text").collect()]
+    assert got == [(None, 0, "n"), *[x for i in range(300) for x in ((i, 0, f"{i} {'w' * (i % 90)}".strip()), (i, 1, "b"))]]
+
+
+def test_risk_titles_over_unusual_breaks(spark):
+    """Each title's body runs to the next one, whatever characters are in it."""
+    from folioscope.operators import risks
+
+    text = "Intro. " + " ".join(f"We may lose customers of kind {c} in the market. Body {c}\u0085 {'word ' * 30}end." for c in "abcd")
+    rows = risks.split_risk_text(spark.createDataFrame([("t", text)], "title string, text string")).orderBy("item_pos").collect()
+    assert [r["title"] for r in rows] == [f"We may lose customers of kind {c} in the market" for c in "abcd"] and all(r["body"].endswith("end.") for r in rows)
