@@ -48,8 +48,11 @@ def risk_cards(
         used = K.let(first, lambda f: F.coalesce((F.length(f) >= 45) & T.is_clean_title(f), F.lit(False)))
         return K.let(used, lambda u: K.let(F.when(u, first).otherwise(plain), lambda ts: K.let(T.clamp_sentence(ts, 180), lambda ct: F.struct(s.alias("sentences"), u.alias("used_first"), ts.alias("title_sentence"), ct.alias("card_title"), (T.is_clean_title(ct) & ~T.has_advice(ct)).alias("ok")))))
 
-    rows = rows.withColumn("x", K.let(T.split_sentences(F.col("body")), lambda s: titled(s, F.col("plain_title")))).where("x.ok").select("*", "x.*")
+    rows = rows.repartition("id").withColumn("x", K.let(T.split_sentences(F.col("body")), lambda s: titled(s, F.col("plain_title"))))
+    # written once: a filter on it, and all that is read of it twice below, would else find the sentences again
+    rows = cut(rows, "titled").where("x.ok").select("*", "x.*").drop("x")
     rows = rows.withColumn("theme", R.theme_for(F.col("title_sentence"), F.col("body"), list(themes))).withColumn("score", K.salience(F.col("card_title"), F.col("body"), F.col("specificity"), entities))
+    rows = cut(rows, "scored")
     chosen = K.select_with_caps(rows)
     rows = cut(rows.join(chosen, ["document_id", "id"]), "chosen")
     rows = rows.join(evidence.cited_chunks(chunks, rows).select(F.col("id").alias("chunk_id"), F.col("text").alias("chunk_text")), "chunk_id")
