@@ -64,3 +64,50 @@ def test_feed(spark):
     events = spark.createDataFrame([("t1", "insert", False)], "thread_id string, op string, is_deleted boolean")
     got = jobs.forum_feed(threads, profiles, votes, events).orderBy(F.desc("score")).collect()
     assert [(r["id"], r["score"], r["reply_count"], r["theme"], r["has_more"]) for r in got] == [("t2", 1, 0, None, False), ("t1", 0, 1, "risks", False)]
+
+
+def test_blocks_are_grouped_once(spark):
+    """Parents are found twice over the sections; the blocks must not be read for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).select(F.concat(F.lit("d"), F.col("id") % 3).alias("document_id"), F.col("id").cast("int").alias("pos"), F.lit("p").alias("tag"), F.when(F.col("id") % 10 < 3, F.lit("ITEM HEAD")).otherwise(F.lit("Some words. " * 20)).alias("text"))
+    out = jobs.ingest_blocks(rows.mapInArrow(count, rows.schema), categories=[], boilerplate="x")
+    assert out["sections"].count() > 3 and seen.value == 60
+
+
+def test_risks_are_split_of_risk_chunks_only(spark, capsys):
+    """No filter on the split items may be moved to the chunks: it would split them all, and the risky ones twice."""
+    from folioscope.operators import risks
+
+    chunks = spark.range(4).selectExpr("'d' AS document_id", "CAST(id AS INT) AS chunk_pos", "CAST(id AS STRING) AS id", "'s' AS section_id", "if(id = 1, 'Risk Factors', 'Other') AS title", "if(id = 1, 'risk_factor', 'narrative') AS chunk_type", "concat('Risks Related to ', repeat('our many wares ', 20)) AS text")
+    got = risks.extract_risks(chunks, [], "x")
+    got.explain()
+    filters = [line for line in capsys.readouterr().out.splitlines() if "Filter (" in line]
+    assert filters and not any("regexp_extract_all" in line for line in filters)
+    assert [r["source_chunk_ids"] for r in got.collect()] == [["1"]]
+
+
+def test_packing_as_by_the_plain_split():
+    import random
+    import re
+
+    from folioscope.operators.sections import pack
+
+    def plain(text, n):
+        out, buffer = [], ""
+        for sentence in re.split(r"(?<=\.) +(?=[A-Z(])", text):
+            if len(buffer) + 1 + len(sentence) > n and buffer.strip():
+                out, buffer = [*out, buffer.strip()], ""
+            buffer += " " + sentence
+        return [*out, buffer.strip()] if buffer.strip() else out
+
+    g = random.Random(3)
+    for _ in range(3000):
+        text = "".join(g.choice((" ", ".", "A", "b", "(", ". A")) for _ in range(g.randrange(40)))
+        for n in (1, 9, len(text), len(text) + 1, 60):
+            assert pack(text, n) == plain(text, n)
