@@ -35,3 +35,17 @@ def test_sections_with_a_shared_word_meet_no_table_that_they_do_not_hold(spark,
     assert "contains" not in capsys.readouterr().out.lower()
     # a head without its first digits stands in a later one as well
     assert all(r["section_id"] == f"s{r['ord']}" for r in got.collect())
+
+
+def test_without_tables_no_section_is_read(spark):
+    """Pages without tables, as in w1_ingestion."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    secs = spark.createDataFrame([("d", k, f"s{k}", "alpha beta") for k in range(9)], "document_id string, ord int, id string, text string")
+    got = S.associate_tables(spark.createDataFrame([], "document_id string, ord int, text string"), secs.mapInArrow(count, secs.schema))
+    assert got.collect() == [] and seen.value == 0
