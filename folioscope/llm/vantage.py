@@ -9,7 +9,7 @@ triangle inequality only decides, with a margin for rounding, which nodes are lo
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,9 @@ MOST = 1 << 27
 SLACK = 1e-9
 
 
-@dataclass
-class Node:
+def Node(ids: np.ndarray) -> SimpleNamespace:  # noqa: N802  a class of this package could not be broadcast to workers without it
     """ids: the vantage point, or a leaf's centroids. below: (node, least and most distance of its centroids from the vantage point)."""
-
-    ids: np.ndarray
-    below: list[tuple[int, float, float]] = field(default_factory=list)
+    return SimpleNamespace(ids=ids, below=[])
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -39,9 +36,9 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("ijk,ijk->ij", d, d)
 
 
-def build(centroids: np.ndarray) -> list[Node]:
+def build(centroids: np.ndarray) -> list[SimpleNamespace]:
     """Nodes, the root first. The vantage point is that of the node's centroids from which the others' distances vary most; the nearer half goes to one side."""
-    nodes: list[Node] = []
+    nodes: list[SimpleNamespace] = []
     far = np.sqrt(squared(centroids, centroids).astype(np.float64))
 
     def grow(ids: np.ndarray) -> int:
@@ -64,7 +61,7 @@ def build(centroids: np.ndarray) -> list[Node]:
     return nodes
 
 
-def nearest(x: np.ndarray, centroids: np.ndarray, nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, int]:
+def nearest(x: np.ndarray, centroids: np.ndarray, nodes: list[SimpleNamespace]) -> tuple[np.ndarray, np.ndarray, int]:
     """Each row's nearest centroid (ties: the smallest number), its squared distance, and how many distances were computed."""
     n, looked = len(x), 0
     best, who = np.full(n, np.iinfo(np.int64).max), np.full(n, len(centroids), np.int32)
