@@ -58,7 +58,7 @@ def odd(tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["i9_supporting_sentences"])
+@pytest.mark.parametrize("name", ["i9_supporting_sentences", "f3_number_records"])
 def test_same_as_sql_on_odd_texts(spark, odd, name):
     path, con = odd
     got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.ORACLE[name]).df()

@@ -95,3 +95,10 @@ def test_caps_hold_for_no_theme_and_no_chunk(spark):
     rows = [("d", i, i, None if i < 6 else "t", i if i < 6 else None, 0) for i in range(9)] + [(None, 20 + i, i, "t", i, 0) for i in range(3)]
     got = K.select_with_caps(spark.createDataFrame(rows, "document_id string, id int, pos int, theme string, chunk_id int, score int"))
     assert sorted((str(r["document_id"]), r["rank"], r["id"]) for r in got.collect()) == [("None", 1, 20), ("None", 2, 21), ("d", 1, 0), ("d", 2, 1), ("d", 3, 6), ("d", 4, 7)]
+
+
+def test_risks_without_a_title_or_a_place(spark):
+    rows = [("d", 1, 0, "Risk Factor: A-B"), ("d", 2, 0, ""), ("d", 2, 1, None), ("d", 3, 0, " . "), ("d", None, 0, "Last")]
+    got = K.number_records(spark.createDataFrame(rows, "document_id string, chunk_pos int, item_pos int, title string")).orderBy("pos")
+    assert got.columns == ["document_id", "chunk_pos", "item_pos", "title", "pos", "id"]
+    assert [r["id"] for r in got.collect()] == ["risk-1-risk-factor-ab", "risk-2-untitled", "risk-3-untitled", "risk-4-untitled", "risk-5-last"]
