@@ -58,7 +58,7 @@ def odd(tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["i9_supporting_sentences", "f3_number_records"])
+@pytest.mark.parametrize("name", ["i9_supporting_sentences", "f3_number_records", "j3_validate_corpus", "p4_verify_quotes"])
 def test_same_as_sql_on_odd_texts(spark, odd, name):
     path, con = odd
     got, want = registry.QUERIES[name](spark, path).toPandas(), con.sql(registry.ORACLE[name]).df()
@@ -68,3 +68,11 @@ def test_same_as_sql_on_odd_texts(spark, odd, name):
 def test_sentences_are_found_once_a_text(spark):
     plan = registry.QUERIES["i9_supporting_sentences"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("posexplode(") == 1 and "size(element_at(" not in plan
+
+
+def test_whole_validation_has_more_checks_than_its_query(spark, odd):
+    from folioscope.operators import audit
+
+    found = {(r["check"], r["id"]) for r in audit.validate_corpus(*queries_audit.corpus(registry.Tables(spark, odd[0]))).collect()}
+    assert {i for check, i in found if check == "empty chunk"} == {f"c{i}" for i in (0, 5, 700, 702)} and ("no main document", None) not in found
+    assert {i for check, i in found if check == "weak quote provenance"} == {f"r{i}" for i in (0, 3, 700, 701)}

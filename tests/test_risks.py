@@ -102,3 +102,10 @@ def test_risks_without_a_title_or_a_place(spark):
     got = K.number_records(spark.createDataFrame(rows, "document_id string, chunk_pos int, item_pos int, title string")).orderBy("pos")
     assert got.columns == ["document_id", "chunk_pos", "item_pos", "title", "pos", "id"]
     assert [r["id"] for r in got.collect()] == ["risk-1-risk-factor-ab", "risk-2-untitled", "risk-3-untitled", "risk-4-untitled", "risk-5-last"]
+
+
+def test_chunk_without_a_text_is_not_missing(spark):
+    ch = spark.createDataFrame([("c1", None), ("c2", "")], "id string, text string")
+    rec = spark.createDataFrame([("a", ["c1", "c2", "c3"], "so"), ("b", ["c1", "c2"], "")], "id string, source_chunk_ids array<string>, source_quote string")
+    for mode in ("exact", "signature"):
+        assert {(r["id"], r["chunk_id"], r["check"]) for r in V.verify_quotes(rec, ch, mode).collect()} == {("a", "c2", "bad_quote"), ("a", "c3", "missing_chunk")}
